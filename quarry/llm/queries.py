@@ -14,5 +14,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcode(docs, tokenizer_path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op2_bpe": op2_bpe}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quarry.llm.packing import pack_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, outputs=("ids_crc32",))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op5_packing": op5_packing, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}

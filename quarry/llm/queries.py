@@ -29,5 +29,54 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op5_packing": op5_packing, "op9_sharding": op9_sharding}
-ORACLE_SQL: dict[str, str] = {}
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.topk import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors.where("vec_id % 100 = 0"), vectors, 10, "vec_id", "embedding", scale=1024.0)
+
+
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_embeddings": op3_embeddings,
+    "op5_packing": op5_packing,
+    "op6_topk": op6_topk,
+    "op9_sharding": op9_sharding,
+}
+
+ORACLE_SQL = {
+    "op3_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, e FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(vec_id, other) AS (
+  SELECT a, b FROM link UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON r.other = l.a
+), least AS (SELECT vec_id, min(other) AS m FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links,
+  least(v.vec_id, coalesce(m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(m, v.vec_id)) AS kept
+FROM v LEFT JOIN n USING (vec_id) LEFT JOIN least USING (vec_id)""",
+    "op6_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}

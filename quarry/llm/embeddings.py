@@ -74,11 +74,10 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n places by the pairs."""
     label = np.arange(n)
     while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
+        top_i, top_j = label[i], label[j]
+        low = np.minimum(top_i, top_j)
+        np.minimum.at(label, top_i, low)
+        np.minimum.at(label, top_j, low)
         while not np.array_equal(label[label], label):
             label = label[label]
         open_ = label[i] != label[j]

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.tables import table, tokenizer_path
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, max_bits=4)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.bpe import transcode
 
@@ -43,6 +49,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op3_embeddings": op3_embeddings,
     "op5_packing": op5_packing,

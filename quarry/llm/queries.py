@@ -20,6 +20,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcode(docs, tokenizer_path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.urls import Rule, judge
+
+    rules = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow")]
+    return judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +59,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op3_embeddings": op3_embeddings,
+    "op4_urls": op4_urls,
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
     "op9_sharding": op9_sharding,

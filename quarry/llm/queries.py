@@ -61,6 +61,12 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors.where("vec_id % 100 = 0"), vectors, 10, "vec_id", "embedding", scale=1024.0)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
@@ -70,6 +76,7 @@ QUERIES = {
     "op6_topk": op6_topk,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {

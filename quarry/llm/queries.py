@@ -36,6 +36,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), public_tokenizers.PATTERN, outputs=("ids_crc32",))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.toxicity import judge
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op4_urls": op4_urls,
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
+    "op7_lm": op7_lm,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,

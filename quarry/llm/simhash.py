@@ -141,5 +141,6 @@ def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, blocks: in
     least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = found.join(least, "component").select(F.col("node").alias("fp"), "component_id")
     of = distinct.join(linked, "fp", "left").select(F.col("fp").alias("own"), F.coalesce("component_id", "rep").alias("component_id"))
+    of = materialize(of, "classes")  # the last join then shuffles both sides itself, and a hot fingerprint can be split
     back = docs.join(of, F.col("fp") == F.col("own"))
     return back.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

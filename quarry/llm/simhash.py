@@ -38,11 +38,14 @@ def shingles(text: str, words: int) -> list[bytes]:
     return [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)]
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Bit k is set if it is set in over half of the shingles' XXH64; zero without a word."""
+def fingerprint(text: str, words: int, once: bool = False) -> int:
+    """Bit k is set if it is set in over half of the shingles' XXH64; zero without a word. once:
+    each different shingle counts once."""
     from xxhash import xxh64_intdigest
 
     parts = shingles(text, words)
+    if once:
+        parts = list(set(parts))
     if not parts:
         return 0
     ones = np.zeros(64, dtype=np.int64)
@@ -71,59 +74,79 @@ def masks(max_bits: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def _forest(max_bits: int):  # noqa: ANN202
+def _forest(max_bits: int, proof_bits: int):  # noqa: ANN202
     """Over rows sorted by tile: links within each run of a tile, as edges of a spanning forest."""
 
-    def close(run_of: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def close(run_of: np.ndarray, fp: np.ndarray, proof: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.searchsorted(run_of, run_of, side="right")
         at = np.arange(len(fp))
         left, right = [], []
         step = 1
         while len(at := at[at + step < ends[at]]):
             near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= max_bits]
+            near = near[np.bitwise_count(proof[near] ^ proof[near + step]) <= proof_bits]
             left.append(near)
             right.append(near + step)
             step += 1
         return (np.concatenate(left), np.concatenate(right)) if left else (at, at)
 
-    def edges(tile: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+    def edges(tile: np.ndarray, fp: np.ndarray, proof: np.ndarray) -> pa.RecordBatch | None:
         run_of = np.concatenate([[0], np.cumsum(np.any(tile[1:] != tile[:-1], axis=1))])
-        i, j = close(run_of, fp)
+        i, j = close(run_of, fp, proof)
         if not len(i):
             return None
-        own, place = np.unique(fp, return_inverse=True)
+        own, place = np.unique(np.stack([fp, proof], axis=1), axis=0, return_inverse=True)
+        place = place.ravel()
         least = roots(len(own), place[i], place[j])
         hung = np.flatnonzero(least != np.arange(len(own)))
-        return pa.RecordBatch.from_arrays([pa.array(own[hung].view(np.int64)), pa.array(own[least[hung]].view(np.int64))], ["a", "b"])
+        columns = [own[hung], own[least[hung]]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[:, k]).view(np.int64)) for c in columns for k in (0, 1)], ["a", "a_proof", "b", "b_proof"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, fp = np.empty((0, 4), np.int64), np.empty(0, np.uint64)
+        tile, fp, proof = np.empty((0, 4), np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in batches:
-            columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
             tile = np.concatenate([tile, np.stack(columns[:4], axis=1)])
-            fp = np.concatenate([fp, columns[4].view(np.uint64)])
+            fp, proof = np.concatenate([fp, columns[4].view(np.uint64)]), np.concatenate([proof, columns[5].view(np.uint64)])
             # the last tile may go on in the next batch
-            done = int(np.flatnonzero(np.any(tile != tile[-1], axis=1))[-1] + 1) if len(tile) and np.any(tile != tile[-1]) else 0
-            if done and (found := edges(tile[:done], fp[:done])) is not None:
+            other = np.flatnonzero(np.any(tile != tile[-1], axis=1))
+            done = int(other[-1]) + 1 if len(other) else 0
+            if done and (found := edges(tile[:done], fp[:done], proof[:done])) is not None:
                 yield found
-            tile, fp = tile[done:], fp[done:]
-        if len(fp) and (found := edges(tile, fp)) is not None:
+            tile, fp, proof = tile[done:], fp[done:], proof[done:]
+        if len(fp) and (found := edges(tile, fp, proof)) is not None:
             yield found
 
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 7) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that connect whatever is within
-    max_bits of one another; every link is within max_bits, or hangs on others that are."""
-    filed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "part"))
+def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 7, proof_bits: int = 64) -> DataFrame:
+    """a, a_proof, b, b_proof: links between distinct fingerprints (fp, proof) that connect whatever
+    is within max_bits of one another in fp and within proof_bits in proof; every row is such a
+    link, or hangs on others that are."""
+    filed = distinct.select("fp", "proof", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "part"))
     shared = filed.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = filed.join(shared, ["choice", "part"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("fp", "proof"), F.col("chunks")).cast("int")
     tiles = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("choice", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    tiles = tiles.select("choice", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "proof")
     by = ["choice", "part", "i", "j"]
-    return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_forest(max_bits), "a bigint, b bigint")
+    return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_forest(max_bits, proof_bits), "a bigint, a_proof bigint, b bigint, b_proof bigint")
+
+
+def _grouped(docs: DataFrame, max_bits: int, blocks: int, proof_bits: int) -> DataFrame:
+    """doc_id, fp, proof and component_id of stored rows doc_id, fp, proof."""
+    distinct = materialize(docs.groupBy("fp", "proof").agg(F.min("doc_id").alias("rep")), "distinct")
+    node = lambda a, b: F.struct(F.col(a).alias("fp"), F.col(b).alias("proof"))
+    found = components(links(distinct, max_bits, blocks, proof_bits).select(node("a", "a_proof").alias("a"), node("b", "b_proof").alias("b")))
+    found = found.select("node.fp", "node.proof", "component")
+    least = found.join(distinct, ["fp", "proof"]).groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = found.join(least, "component").select("fp", "proof", "component_id")
+    of = distinct.join(linked, ["fp", "proof"], "left").select("fp", "proof", F.coalesce("component_id", "rep").alias("component_id"))
+    # stored, so that the last join shuffles both sides itself and a hot fingerprint can be split
+    return docs.join(materialize(of, "classes"), ["fp", "proof"])
 
 
 def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, blocks: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,13 +157,34 @@ def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, blocks: in
     fingerprint zero and link like any other. Repeated rows are rows of their own; rows with a null
     doc_id take part, and their component_id is null only if no linked row has an id. Other columns
     are ignored. An empty table gives an empty result."""
-    docs = materialize(fingerprints(df, words, id_col, text_col), "fingerprints")
-    distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct, max_bits, blocks))
-    members = found.join(distinct.withColumnRenamed("fp", "node"), "node")
-    least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = found.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    of = distinct.join(linked, "fp", "left").select(F.col("fp").alias("own"), F.coalesce("component_id", "rep").alias("component_id"))
-    of = materialize(of, "classes")  # the last join then shuffles both sides itself, and a hot fingerprint can be split
-    back = docs.join(of, F.col("fp") == F.col("own"))
+    docs = materialize(fingerprints(df, words, id_col, text_col), "fingerprints").withColumn("proof", F.lit(0).cast("long"))
+    back = _grouped(docs, max_bits, blocks, 64)
     return back.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, words: int = 5, proof_bits: int = 12, max_bits: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without near copies: of each group the row with the smallest doc_id.
+
+    For texts alike by 0.8 or more in runs of `words` words, whose long shingles differ in many
+    bits, pairs come from a first fingerprint over the different single words, at max_bits or fewer
+    bits, and are proved by a second one over the shingles: proof_bits of 64 is about where shingle
+    sets are alike by 0.8. Null and wordless texts are copies of each other. Rows that share a
+    doc_id are one document, of which one row stays; rows without a doc_id stay."""
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fps = [[fingerprint(t, 1, once=True) for t in texts], [fingerprint(t, words) for t in texts]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f, pa.int64()) for f in fps)], ["doc_id", "fp", "proof"])
+
+    docs = materialize(text_column(df, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint, proof bigint"), "fingerprints")
+    groups = materialize(_grouped(docs, max_bits, blocks, proof_bits).select("doc_id", "component_id"), "groups")
+    by_id = groups.groupBy("doc_id").agg(F.max("component_id").alias("m"), F.count(F.lit(1)).alias("n"))
+    dropped = by_id.where("m <> doc_id").select(F.col("doc_id").alias("_dropped"))
+    kept = by_id.where("m = doc_id and n > 1")
+    out = df.join(dropped, F.col(f"`{id_col}`") == F.col("_dropped"), "left_anti")
+    if not kept.isEmpty():
+        once = out.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
+        out = once.unionByName(out.where(F.col(f"`{id_col}`").isNull()))
+    return out.select(*[F.col(f"`{c}`") for c in columns])

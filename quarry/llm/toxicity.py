@@ -292,6 +292,20 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     return text_column(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
+def reject(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below a half, as they are. Null texts count as empty and stay."""
+    shared = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, grammar.weights))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Grammar(*shared.value)
+        for batch in batches:
+            stay = [own.score(t.as_py() or "") < 0.5 for t in batch.column(place)]
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(folds: int = 5, fold: int = 0):  # noqa: ANN201
     """Whether a row's doc_id falls into the fold that learning never sees."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,6 +187,17 @@ def _laid(texts: list[str], number: _Numbers) -> tuple[list[list[str]], np.ndarr
     return words, np.array(flat, dtype=np.int64), np.cumsum(sizes) - sizes
 
 
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about `most` bytes of text; a longer text is a run of its own. Words as
+    Python objects take many times the bytes of their text."""
+    sizes = np.asarray(pc.binary_length(batch.column(1)), dtype=np.int64)
+    part = (np.cumsum(sizes) - sizes) // most
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def word_counts(docs: DataFrame, at_once: int = 500_000) -> DataFrame:
     """word (the end of a text is the empty one), its shape (-1 for the end) and count."""
 
@@ -234,7 +246,7 @@ def context_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         v = shared.value
         number, group_of = _Numbers(v), v.group_of()
         total = np.zeros(cells, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             if batch.num_rows:
                 _, flat, starts = _laid(batch.column(1).to_pylist(), number)
                 total += np.bincount(contexts_of(flat, starts, group_of, v.contexts) * v.size + flat, minlength=cells)
@@ -292,9 +304,7 @@ def score(df: DataFrame, held: Column | None = None, id_col: str = "doc_id", tex
         within = {w: np.log10((c + 0.5) / mass[shape(w)]) for w, c in v.head.items() if w and w not in own}
         row = TaskContext.get().partitionId() << 40
         names = ["row", "doc_id", "word", "shape", "tf", "n_tokens", "n_known", "base", "score"]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in _slices(whole)):
             words, flat, starts = _laid(batch.column(1).to_pylist(), number)
             cells = contexts_of(flat, starts, group_of, v.contexts) * v.size + flat
             model = np.add.reduceat(flat_table[cells], starts)

@@ -1 +1 @@
-
+"""Reading files into tables and writing results."""

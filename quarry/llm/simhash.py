@@ -27,6 +27,8 @@ from quarry.llm.embeddings import roots
 #: Members of a bucket that are compared in one piece.
 BUCKET = 512
 SEED = 42
+#: Ids of copies that are sent to every executor at most.
+SENT = 1_000_000
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -183,6 +185,10 @@ def keep_one(df: DataFrame, words: int = 5, proof_bits: int = 12, max_bits: int
     by_id = groups.groupBy("doc_id").agg(F.max("component_id").alias("m"), F.count(F.lit(1)).alias("n"))
     dropped = by_id.where("m <> doc_id").select(F.col("doc_id").alias("_dropped"))
     kept = by_id.where("m = doc_id and n > 1")
+    dropped = materialize(dropped, "dropped")
+    # up to SENT ids, some 20 MB, go to every executor and the texts stay where they are; beyond, both
+    # sides are shuffled
+    dropped = F.broadcast(dropped) if dropped.count() <= SENT else dropped.hint("merge")
     out = df.join(dropped, F.col(f"`{id_col}`") == F.col("_dropped"), "left_anti")
     if not kept.isEmpty():
         once = out.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])

@@ -242,8 +242,12 @@ def examples(found: list[tuple[str, list[tuple[int, int, int]]]], count: int, se
         gaps = [i for i, c in enumerate(text[:60]) if c == " "] or [0]
         cut = int(gaps[int(r.integers(0, len(gaps)))])
         made, kind = _variants(r)
+        if r.random() < 0.15:  # at the start of a text, or as all of it
+            text, cut = "  " + (text if r.random() < 0.8 else ""), 0
         line = f"{text[:cut]} {made}{r.choice([' ', ' ', ', ', '. '])}{text[cut + 1 :]}"
         spans = [(KINDS.index(kind), cut + 1, cut + 1 + len(made))] if kind else []
+        if cut == 0:
+            line, spans = line[1:], [(k, a - 1, b - 1) for k, a, b in spans]
         add(line, [s for s in spans if s[2] <= WINDOW])
         if spans and spans[0][2] > WINDOW:
             xs.pop()

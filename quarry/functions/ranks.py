@@ -51,7 +51,8 @@ def deciles(x: Column, by: list[str | Column], tie: list[str | Column], groups:
     """ceil(pct * groups) - 1 of the first rank, from 0; -1 for nulls."""
     r, n = first_rank(x, by, tie)
     g = F.ceil(r * F.lit(groups) / n).cast("int") - 1
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(groups - 1), g)), F.lit(-1))
+    # least and greatest skip nulls, so nulls are told apart first
+    return F.when(r.isNull(), F.lit(-1)).otherwise(F.greatest(F.lit(0), F.least(F.lit(groups - 1), g)))
 
 
 def groups_floor(x: Column, by: list[str | Column], tie: list[str | Column], groups: int) -> Column:
@@ -59,12 +60,12 @@ def groups_floor(x: Column, by: list[str | Column], tie: list[str | Column], gro
     on an edge goes up. -1 for nulls and small cross-sections."""
     r, n = first_rank(x, by, tie)
     g = F.floor(r * F.lit(groups) / n).cast("int")
-    return F.coalesce(F.when(n >= groups, F.least(F.lit(groups - 1), g)), F.lit(-1))
+    return F.when(r.isNull() | (n < groups), F.lit(-1)).otherwise(F.least(F.lit(groups - 1), g))
 
 
 def quantile_cut(rank: Column, n: Column, groups: int) -> Column:
     """Group from 0 of a first rank cut at linear quantiles of 1..n, right-closed."""
-    return F.greatest(F.lit(0), F.ceil((rank - 1) * F.lit(float(groups)) / F.greatest(n - 1, F.lit(1)) - 1e-12).cast("int") - 1)
+    return F.when(rank.isNotNull(), F.greatest(F.lit(0), F.ceil((rank - 1) * F.lit(float(groups)) / F.greatest(n - 1, F.lit(1)) - 1e-12).cast("int") - 1))
 
 
 def by_thresholds(x: Column, edges: list[float], labels: list[str], unknown: str = "UNKNOWN") -> Column:

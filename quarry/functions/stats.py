@@ -84,7 +84,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], average: bool = True)
 
 def log_loss(y: Column, p: Column, clip: float = 1e-8) -> Column:
     q = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), p))
-    return F.avg(-(F.when(y > 0, F.ln(q)).otherwise(F.ln(1 - q))))
+    return F.avg(F.when(y.isNotNull() & p.isNotNull(), -(F.when(y > 0, F.ln(q)).otherwise(F.ln(1 - q)))))
 
 
 def brier(y: Column, p: Column) -> Column:

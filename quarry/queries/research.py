@@ -101,12 +101,12 @@ def _first_sql(x: str, by: str = "snapshot_date") -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN row_number() OVER (PARTITION BY {by}, {x} IS NULL ORDER BY {x}, security_key) END"
 
 
-@query("rank_deciles", f"SELECT security_key, snapshot_date, coalesce(greatest(0, least(9, CAST(ceil(r * 10.0 / n) AS INT) - 1)), -1) AS decile FROM (SELECT *, {_first_sql(_M)} AS r, count({_M}) OVER (PARTITION BY snapshot_date) AS n FROM panel)", PANEL)
+@query("rank_deciles", f"SELECT security_key, snapshot_date, CASE WHEN r IS NULL THEN -1 ELSE greatest(0, least(9, CAST(ceil(r * 10.0 / n) AS INT) - 1)) END AS decile FROM (SELECT *, {_first_sql(_M)} AS r, count({_M}) OVER (PARTITION BY snapshot_date) AS n FROM panel)", PANEL)
 def rank_deciles(spark: SparkSession, sf: str) -> DataFrame:
     return _ids(panel(spark, sf), ranks.deciles(F.col(_M), ["snapshot_date"], ["security_key"]).alias("decile"))
 
 
-_FLOOR = f"SELECT *, coalesce(CASE WHEN n >= 3 THEN least(2, CAST(floor(r * 3.0 / n) AS INT)) END, -1) AS tercile FROM (SELECT *, {_first_sql(_V)} AS r, count({_V}) OVER (PARTITION BY snapshot_date) AS n FROM panel)"
+_FLOOR = f"SELECT *, CASE WHEN r IS NULL OR n < 3 THEN -1 ELSE least(2, CAST(floor(r * 3.0 / n) AS INT)) END AS tercile FROM (SELECT *, {_first_sql(_V)} AS r, count({_V}) OVER (PARTITION BY snapshot_date) AS n FROM panel)"
 
 
 @query("rank_groups_floor", f"SELECT security_key, snapshot_date, tercile FROM ({_FLOOR})", PANEL)
@@ -114,7 +114,7 @@ def rank_groups_floor(spark: SparkSession, sf: str) -> DataFrame:
     return _ids(panel(spark, sf), ranks.groups_floor(F.col(_V), ["snapshot_date"], ["security_key"], 3).alias("tercile"))
 
 
-@query("rank_nested_deciles", f"SELECT security_key, snapshot_date, coalesce(greatest(0, least(9, CAST(ceil(r2 * 10.0 / n2) AS INT) - 1)), -1) AS decile FROM (SELECT security_key, snapshot_date, {_first_sql('short_interest_pct', 'snapshot_date, tercile')} AS r2, count(short_interest_pct) OVER (PARTITION BY snapshot_date, tercile) AS n2 FROM ({_FLOOR}))", PANEL)
+@query("rank_nested_deciles", f"SELECT security_key, snapshot_date, CASE WHEN r2 IS NULL THEN -1 ELSE greatest(0, least(9, CAST(ceil(r2 * 10.0 / n2) AS INT) - 1)) END AS decile FROM (SELECT security_key, snapshot_date, {_first_sql('short_interest_pct', 'snapshot_date, tercile')} AS r2, count(short_interest_pct) OVER (PARTITION BY snapshot_date, tercile) AS n2 FROM ({_FLOOR}))", PANEL)
 def rank_nested_deciles(spark: SparkSession, sf: str) -> DataFrame:
     p = panel(spark, sf).withColumn("tercile", ranks.groups_floor(F.col(_V), ["snapshot_date"], ["security_key"], 3))
     return _ids(p, ranks.deciles(F.col("short_interest_pct"), ["snapshot_date", "tercile"], ["security_key"]).alias("decile"))
@@ -184,7 +184,7 @@ def agg_volatility_regimes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("forward_return_5d").alias("mean")))
 
 
-_CELLS = f"deciled AS (SELECT *, {_Y} AS y, coalesce(greatest(0, least(9, CAST(ceil(r1 * 10.0 / n1) AS INT) - 1)), -1) AS d1, coalesce(greatest(0, least(9, CAST(ceil(r2 * 10.0 / n2) AS INT) - 1)), -1) AS d2 FROM (SELECT *, {_first_sql(_M)} AS r1, count({_M}) OVER (PARTITION BY snapshot_date) AS n1, {_first_sql('short_interest_pct')} AS r2, count(short_interest_pct) OVER (PARTITION BY snapshot_date) AS n2 FROM panel))"
+_CELLS = f"deciled AS (SELECT *, {_Y} AS y, CASE WHEN r1 IS NULL THEN -1 ELSE greatest(0, least(9, CAST(ceil(r1 * 10.0 / n1) AS INT) - 1)) END AS d1, CASE WHEN r2 IS NULL THEN -1 ELSE greatest(0, least(9, CAST(ceil(r2 * 10.0 / n2) AS INT) - 1)) END AS d2 FROM (SELECT *, {_first_sql(_M)} AS r1, count({_M}) OVER (PARTITION BY snapshot_date) AS n1, {_first_sql('short_interest_pct')} AS r2, count(short_interest_pct) OVER (PARTITION BY snapshot_date) AS n2 FROM panel))"
 
 
 def _deciled(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,10 +14,12 @@ words grow with the corpus; frequent ones, up to HEAD, go to the executors, rare
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +58,15 @@ def shape(word: str) -> int:
     return (_script(word) * 3 + _TAILS.get(word[-1:], 0)) * 4 + (0 if n <= 3 else 1 if n <= 6 else 2 if n <= 10 else 3)
 
 
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+
+
 def tokens(text: str) -> list[str]:
     """Words, lower-cased in A-Z alone and parted at \\x20 and \\x09-\\x0D."""
-    return [w.decode() for w in text.encode().lower().split()]
+    low = text.encode().lower()
+    if _OTHER_SPACE(text):  # at which split() of a string would part words too
+        return [w.decode() for w in low.split()]
+    return low.decode().split()
 
 
 # --- the model -------------------------------------------------------------------------------
@@ -80,9 +88,6 @@ class Vocabulary:
     def contexts(self) -> int:
         return len(self.groups) + COARSE + 1  # and the time before a text's start
 
-    def numbers(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.targets)} | {END: self.size - 1}
-
     def group_of(self) -> np.ndarray:
         """The context group of each target."""
         g = np.array([min(i, len(self.groups)) for i in range(self.size)])
@@ -93,18 +98,48 @@ class Vocabulary:
         return g
 
 
-class _Numbers(dict):
-    """Word to target number; shapes of words not seen before are remembered up to a limit."""
+class _Numbers:
+    """Numbers of words in a worker: one look-up a token; all else is by arrays over the numbers."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__(vocabulary.numbers())
+        own = {w: i for i, w in enumerate(vocabulary.targets)} | {END: vocabulary.size - 1}
+        self.words = sorted({*vocabulary.head, END})
+        self.index = {w: i for i, w in enumerate(self.words)}
         self.first = len(vocabulary.targets)
-
-    def __missing__(self, word: str) -> int:
-        n = self.first + shape(word)
-        if len(self) < 400_000:
-            self[word] = n
-        return n
+        self.target = np.array([own[w] if w in own else self.first + shape(w) for w in self.words], dtype=np.int64)
+        self._shapes: dict[str, int] = {}
+
+    def shapes(self, words: list[str]) -> np.ndarray:
+        """Shapes of words; those of many are remembered."""
+        known = self._shapes
+        if len(known) > 400_000:
+            known.clear()
+        out = []
+        for w in words:
+            n = known.get(w)
+            if n is None:
+                n = known[w] = shape(w)
+            out.append(n)
+        return np.array(out, dtype=np.int64)
+
+    def lay(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Texts end to end: each token's number (-1 for a word without one), its target, and where each
+        text begins; then the places, words and shapes of the words without a number."""
+        every: list[str] = []
+        sizes = []
+        for t in texts:
+            w = tokens(t)
+            every += w
+            every.append(END)
+            sizes.append(len(w) + 1)
+        index = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+        rare = np.flatnonzero(index < 0)
+        words = [every[i] for i in rare.tolist()]
+        shapes = self.shapes(words)
+        target = self.target[index]
+        target[rare] = self.first + shapes
+        size = np.array(sizes, dtype=np.int64)
+        return index, target, np.cumsum(size) - size, rare, words, shapes
 
 
 def contexts_of(numbers: np.ndarray, starts: np.ndarray, group_of: np.ndarray, contexts: int) -> np.ndarray:
@@ -175,18 +210,6 @@ def parameters_to_table(w: dict[str, np.ndarray]) -> np.ndarray:
 # --- gathering from the corpus ---------------------------------------------------------------
 
 
-def _laid(texts: list[str], number: _Numbers) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """Words of each text, the numbers of all tokens end to end, and where each text begins."""
-    words = [tokens(t) for t in texts]
-    flat: list[int] = []
-    lookup, end = number.__getitem__, number[END]
-    for w in words:
-        flat.extend(map(lookup, w))
-        flat.append(end)
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    return words, np.array(flat, dtype=np.int64), np.cumsum(sizes) - sizes
-
-
 def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `most` bytes of text; a longer text is a run of its own. Words as
     Python objects take many times the bytes of their text."""
@@ -248,8 +271,8 @@ def context_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         total = np.zeros(cells, np.int64)
         for batch in (part for whole in batches for part in _slices(whole)):
             if batch.num_rows:
-                _, flat, starts = _laid(batch.column(1).to_pylist(), number)
-                total += np.bincount(contexts_of(flat, starts, group_of, v.contexts) * v.size + flat, minlength=cells)
+                _, target, starts, *_ = number.lay(batch.column(1).to_pylist())
+                total += np.bincount(contexts_of(target, starts, group_of, v.contexts) * v.size + target, minlength=cells)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -299,54 +322,40 @@ def score(df: DataFrame, held: Column | None = None, id_col: str = "doc_id", tex
         v, table, mass, floor = shared.value
         number, group_of = _Numbers(v), v.group_of()
         flat_table = table.ravel()
-        known = {w: np.log10((c + 0.5) / floor) for w, c in v.head.items()}
-        own = set(v.targets)
-        within = {w: np.log10((c + 0.5) / mass[shape(w)]) for w, c in v.head.items() if w and w not in own}
+        count = np.array([v.head.get(w, 0) for w in number.words], dtype=np.float64)
+        base_of = np.log10((count + 0.5) / floor)
+        seen_of = (count > 0).astype(np.int64)
+        # words without a target of their own have their share of their shape's mass
+        inside_of = np.zeros(len(count))
+        other = (number.target >= number.first) & (number.target < v.size - 1)
+        inside_of[other] = np.log10((count[other] + 0.5) / mass[number.target[other] - number.first])
         row = TaskContext.get().partitionId() << 40
-        names = ["row", "doc_id", "word", "shape", "tf", "n_tokens", "n_known", "base", "score"]
+        none = pa.nulls
+        names = ["row", "doc_id", "word", "shape", "n_tokens", "n_known", "base", "score"]
         for batch in (part for whole in batches for part in _slices(whole)):
-            words, flat, starts = _laid(batch.column(1).to_pylist(), number)
-            cells = contexts_of(flat, starts, group_of, v.contexts) * v.size + flat
-            model = np.add.reduceat(flat_table[cells], starts)
-            ends = known.get(END)
-            rows, r_row, r_word, r_tf = [], [], [], []
-            for k, ws in enumerate(words):
-                base, inside, seen, rest = (ends or np.log10(0.5 / floor)), 0.0, len(ws) + (ends is not None), []
-                for w in ws:
-                    b = known.get(w)
-                    if b is None:
-                        rest.append(w)
-                    else:
-                        base += b
-                        if w in within:
-                            inside += within[w]
-                seen -= len(rest)
-                rows.append((len(ws) + 1, seen, base, model[k] + inside))
-                for w, tf in Counter(rest).items():
-                    r_row.append(row)
-                    r_word.append(w)
-                    r_tf.append(tf)
-                row += 1
-            m = len(rows)
-            first = np.arange(row - m, row)
-            none = pa.nulls
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(first), batch.column(0), none(m, pa.string()), none(m, pa.int32()), none(m, pa.int64()), *(pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64())))], names
-            )
-            if r_row:
-                q = len(r_row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r_row, pa.int64()), none(q, pa.int64()), pa.array(r_word, pa.string()), pa.array([shape(w) for w in r_word], pa.int32()), pa.array(r_tf, pa.int64()), none(q, pa.int64()), none(q, pa.int64()), none(q, pa.float64()), none(q, pa.float64())], names
-                )
-
-    schema = "row bigint, doc_id bigint, word string, shape int, tf bigint, n_tokens bigint, n_known bigint, base double, score double"
+            index, target, starts, rare, words, shapes = number.lay(batch.column(1).to_pylist())
+            model = flat_table[contexts_of(target, starts, group_of, v.contexts) * v.size + target] + inside_of[index]
+            base, seen = base_of[index], seen_of[index]
+            base[rare] = seen[rare] = 0
+            model[rare] -= inside_of[-1]  # what number -1 has read
+            m, q = len(starts), len(rare)
+            first = np.arange(row, row + m)
+            row += m
+            sizes = np.diff(np.append(starts, len(index)))
+            totals = [sizes, np.add.reduceat(seen, starts), np.add.reduceat(base, starts), np.add.reduceat(model, starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(first), batch.column(0), none(m, pa.string()), none(m, pa.int32()), *map(pa.array, totals)], names)
+            if q:
+                of = first[np.searchsorted(starts, rare, side="right") - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(of), none(q, pa.int64()), pa.array(words, pa.string()), pa.array(shapes.astype(np.int32)), none(q, pa.int64()), none(q, pa.int64()), none(q, pa.float64()), none(q, pa.float64())], names)
+
+    schema = "row bigint, doc_id bigint, word string, shape int, n_tokens bigint, n_known bigint, base double, score double"
     scored = materialize(docs.mapInArrow(run, schema), "scored")
-    rare = scored.where("word is not null").select("row", "word", "shape", "tf")
+    rare = scored.where("word is not null").select("row", "word", "shape")
     found = counts.where((F.col("c") < least) & (F.col("shape") >= 0)).select("word", "c")
     masses = F.element_at(F.array(*[F.lit(float(x)) for x in mass]), F.col("shape") + 1)
     c = F.coalesce("c", F.lit(0))
     tail = rare.join(found, "word", "left").select(
-        "row", F.when(c > 0, F.col("tf")).otherwise(0).alias("k"), (F.col("tf") * F.log10((c + 0.5) / F.lit(floor))).alias("b"), (F.col("tf") * F.log10((c + 0.5) / masses)).alias("s")
+        "row", F.when(c > 0, 1).otherwise(0).alias("k"), F.log10((c + 0.5) / F.lit(floor)).alias("b"), F.log10((c + 0.5) / masses).alias("s")
     )
     tail = tail.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     whole = scored.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(tail, "row", "left")

@@ -108,3 +108,81 @@ def permute_within(df: DataFrame, by: list[str], column: str, tie: list[str], se
     other = df.select(*[F.col(c).alias(f"_{c}") for c in by], drawn.alias("_n"), F.col(column).alias("_v"))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("_at") == F.col("_n")]
     return own.join(other, on).withColumn(column, F.col("_v")).drop("_at", "_n", "_v", *[f"_{c}" for c in by])
+
+
+def auc_of(y: np.ndarray, s: np.ndarray) -> float | None:
+    """Area under the ROC curve from average ranks; none for a single class."""
+    order = np.argsort(s, kind="stable")
+    values, first, count = np.unique(s[order], return_index=True, return_counts=True)
+    rank = np.empty(len(s))
+    rank[order] = np.repeat(first + (count + 1) / 2, count)
+    p, n = int((y > 0).sum()), int((y <= 0).sum())
+    return None if not p or not n else float((rank[y > 0].sum() - p * (p + 1) / 2) / (p * n))
+
+
+def paired_delta_auc(y: np.ndarray, a: np.ndarray, b: np.ndarray, seed: int, iterations: int = 1000) -> tuple[float | None, float | None, float | None]:
+    """auc(b) - auc(a) and its interval, both classes resampled apart and both scores on the same rows."""
+    up, down = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
+    if not len(up) or not len(down):
+        return None, None, None
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(iterations):
+        i = np.concatenate([rng.choice(up, len(up)), rng.choice(down, len(down))])
+        out.append(auc_of(y[i], b[i]) - auc_of(y[i], a[i]))
+    return auc_of(y, b) - auc_of(y, a), *_interval(np.array(out))
+
+
+def interaction_interval(groups: dict[str, tuple[int, int]], seed: int, iterations: int = 2000) -> dict[str, float | None]:
+    """high-risk high - high-risk low - other high + other low of rates from (events, n): the estimate, its
+    interval and how often it is above zero."""
+    names = ("risk_high", "risk_low", "other_high", "other_low")
+    if any(groups[k][1] == 0 for k in names):
+        return {"estimate": None, "ci_low": None, "ci_high": None, "p_positive": None}
+    rng, signs = np.random.default_rng(seed), (1, -1, -1, 1)
+    draws = sum(s * rng.binomial(groups[k][1], groups[k][0] / groups[k][1], iterations) / groups[k][1] for k, s in zip(names, signs, strict=True))
+    low, high = _interval(draws)
+    return {"estimate": sum(s * groups[k][0] / groups[k][1] for k, s in zip(names, signs, strict=True)), "ci_low": low, "ci_high": high, "p_positive": float((draws > 0).mean())}
+
+
+def max_statistic(spark: SparkSession, outcomes: dict[str, np.ndarray], targets: dict[str, tuple[str, Callable[[np.ndarray], np.ndarray]]], masks: np.ndarray, draws: int, seed: int = 42) -> DataFrame:
+    """permutation, score: the best lift less 1 over all candidates under permutation of the outcomes.
+
+    Each return column is shuffled once per draw among its finite rows, so the targets made from it stay
+    coherent. masks: candidates x rows. The research sample goes to every task; draws run in parallel."""
+    masks = np.asarray(masks, dtype=np.float32)
+
+    def statistic(rng: np.random.Generator) -> float:
+        shuffled = {}
+        for k in sorted(outcomes):
+            v = outcomes[k].copy()
+            at = np.flatnonzero(np.isfinite(v))
+            v[at] = v[rng.permutation(at)]
+            shuffled[k] = v
+        best = -np.inf
+        for column, make in targets.values():
+            v = shuffled[column]
+            ok = np.isfinite(v)
+            y = np.where(ok, make(np.where(ok, v, 0.0)), 0.0).astype(np.float32)
+            n, e = masks @ ok.astype(np.float32), masks @ y
+            base = y.sum() / max(1, ok.sum())
+            if base > 0 and (n > 0).any():
+                best = max(best, float((e[n > 0] / n[n > 0] / base - 1).max()))
+        return best
+
+    return permutations(spark, draws, statistic, seed)
+
+
+def null_test(spark: SparkSession, y: np.ndarray, mask: np.ndarray, draws: int, seed: int = 42) -> dict[str, float]:
+    """The lift of a frozen selection against shuffled outcomes of the same period."""
+    y, mask = np.asarray(y, float), np.asarray(mask, bool)
+    ok = np.isfinite(y)
+    y, mask = y[ok], mask[ok]
+    base = float((y > 0).mean()) if len(y) else 0.0
+    if not base or not mask.any():
+        return {"observed": float("nan"), "p_value": float("nan"), "exceedances": 0}
+    observed = float((y[mask] > 0).mean() / base)
+    k, n = int((y > 0).sum()), len(y)
+    # the events that a shuffle puts into the selection are a hypergeometric draw
+    scores = permutations(spark, draws, lambda rng: float(rng.hypergeometric(k, n - k, int(mask.sum())) / mask.sum() / base), seed)
+    row = scores.agg(F.count_if(F.col("score") >= observed).alias("e"), empirical_p(observed).alias("p")).first()
+    return {"observed": observed, "p_value": row["p"], "exceedances": row["e"]}

@@ -5,8 +5,8 @@ is kept. |u.v - q(u).q(v)| <= |e_u| + |e_v| + 3 |e_u| |e_v|, so a pair whose qua
 this bound stays below the threshold can't reach it; only the others are computed in doubles.
 Equal vectors are one class with a multiplicity, so copies are never paired with each other.
 
-A tile's bound goes further: a block knows its mean direction and the largest angle from it to a
-member, and two blocks whose directions are too far apart are skipped whole, without loss.
+Vectors are dealt into numbered blocks by a hash. Every unordered pair of numbers is a tile; each
+block is sent to its tiles under their two numbers, so tiles meet by an equi-join and spread evenly.
 """
 
 from __future__ import annotations
@@ -86,16 +86,6 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _tiles(threshold: float):  # noqa: ANN202
-    def far(u: np.ndarray, v: np.ndarray) -> bool:
-        """Whether the blocks' directions rule out every pair."""
-        cu, cv = u.mean(0), v.mean(0)
-        nu, nv = np.linalg.norm(cu), np.linalg.norm(cv)
-        if not nu or not nv:
-            return False
-        cu, cv = cu / nu, cv / nv
-        wide = np.arccos(np.clip((u @ cu).min(), -1, 1)) + np.arccos(np.clip((v @ cv).min(), -1, 1))
-        return np.arccos(np.clip(cu @ cv, -1, 1)) - wide > np.arccos(threshold) + 1e-6
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -105,8 +95,6 @@ def _tiles(threshold: float):  # noqa: ANN202
                     ids_b, b = ids_a, a
                 else:
                     ids_b, b = unpack(row["ids_b"], row["vals_b"])
-                    if far(unit(a[:, 1:]), unit(b[:, 1:])):
-                        continue
                 i, j = close_pairs(a[:, 1:], b[:, 1:], threshold, row["same"])
                 if not len(i):
                     continue
@@ -137,15 +125,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     distinct = materialize(classes.select("rep", F.concat(F.array("copies"), F.col("vec")).alias("vec")), "vectors")
     n = distinct.count()
     parts = max(1, -(-n // BLOCK))
-    packed = materialize(blocks(distinct.repartition(parts, "rep"), BLOCK, "rep", "vec").select(F.xxhash64("ids").alias("block"), "ids", "vals"), "blocks")
-    places = packed.select("block")
-    # every unordered pair of blocks once: a list of pairs of block numbers, some bytes each
-    order = places.withColumn("one", F.lit(1))
-    pairs = order.select(F.col("block").alias("block_a"), "one").join(order.select(F.col("block").alias("block_b"), "one"), "one").where("block_a <= block_b").select("block_a", "block_b")
-    # halves of a pair go wherever the pair's number says, so that tasks get even shares of tiles
-    left = pairs.join(packed.select(F.col("block").alias("block_a"), F.col("ids").alias("ids_a"), F.col("vals").alias("vals_a")), "block_a")
-    right = packed.select(F.col("block").alias("block_b"), F.col("ids").alias("ids_b"), F.col("vals").alias("vals_b"))
-    tiles = left.join(right, "block_b").select("ids_a", "vals_a", "ids_b", "vals_b", (F.col("block_a") == F.col("block_b")).alias("same"))
+    # a group is one block, or a few where the hash deals it more than BLOCK vectors
+    dealt = distinct.withColumn("grp", F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(parts))).repartition(parts, "grp")
+    packed = materialize(blocks(dealt, BLOCK, "rep", "vec", "grp").withColumn("block", F.xxhash64("ids")), "blocks")
+    upward = F.explode(F.sequence(F.col("grp"), F.lit(parts - 1).cast("long")))
+    downward = F.explode(F.sequence(F.lit(0).cast("long"), F.col("grp")))
+    left = packed.select(F.col("grp").alias("a"), upward.alias("b"), F.col("block").alias("block_a"), F.col("ids").alias("ids_a"), F.col("vals").alias("vals_a"))
+    right = packed.select(downward.alias("a"), F.col("grp").alias("b"), F.col("block").alias("block_b"), F.col("ids").alias("ids_b"), F.col("vals").alias("vals_b"))
+    met = left.hint("shuffle_hash").join(right, ["a", "b"]).where("a < b or block_a <= block_b")
+    tiles = met.select("ids_a", "vals_a", "ids_b", "vals_b", (F.col("block_a") == F.col("block_b")).alias("same"))
     found = materialize(tiles.mapInArrow(_tiles(threshold), "node bigint, links bigint, root bigint"), "near")
     linked = found.groupBy("node").agg(F.sum("links").alias("far_links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators.identity import next_ids, only_if_unique
 
@@ -63,7 +64,7 @@ def lookup(rows: DataFrame, instruments: DataFrame, row_id: str, value: str, key
     return out.select(row_id, found.alias(value), label.alias("instrument_resolution"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of two names that matches in blocks, 0 if either is empty: 2 * matched / total."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype=float)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -70,11 +71,11 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype=float)
 
 
-def best_match(names: DataFrame, candidates: DataFrame, name: str, block: Column, least: float = 0.8) -> DataFrame:
+def best_match(names: DataFrame, candidates: DataFrame, name: str, block: Callable[[Column], Column], least: float = 0.8) -> DataFrame:
     """Of each name the candidate most alike within its block, such as the first letters: blocks keep the
     comparisons few. names: name; candidates: symbol, candidate."""
-    left = names.select(name).distinct().withColumn("_b", block)
-    met = left.join(candidates.withColumn("_b", F.substring(F.col("candidate"), 1, 3)), "_b").withColumn("similarity", similarity(F.col(name), F.col("candidate"))).where(F.col("similarity") >= least)
+    left = names.select(name).distinct().withColumn("_b", block(F.col(name)))
+    met = left.join(candidates.withColumn("_b", block(F.col("candidate"))), "_b").withColumn("similarity", similarity(F.col(name), F.col("candidate"))).where(F.col("similarity") >= least)
     w = Window.partitionBy(name).orderBy(F.col("similarity").desc(), "symbol")
     return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(name, "symbol", "candidate", "similarity")
 

@@ -269,13 +269,15 @@ def join_asof_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "join_asof_fallback",
-    "SELECT r.security_key, r.snapshot_date, p.date AS price_date, CASE WHEN p.date IS NULL THEN 'unmatched' WHEN r.security_key % 10 <> 0 THEN 'exact' ELSE 'entity' END AS match FROM (SELECT *, CASE WHEN security_key % 10 <> 0 THEN security_key ELSE 1 END AS k FROM register) r ASOF LEFT JOIN prices p ON r.k = p.symbol AND r.snapshot_date <= p.date",
-    REGISTER + ", " + PRICES,
+    "SELECT r.security_key, r.snapshot_date, p.date AS price_date, CASE WHEN p.date IS NULL THEN 'unmatched' WHEN r.k >= 0 THEN 'exact' ELSE 'market' END AS match FROM (SELECT g.security_key, snapshot_date, CASE WHEN s.symbol IS NULL THEN -1 ELSE g.security_key END AS k FROM register g LEFT JOIN (SELECT DISTINCT symbol FROM listed) s ON g.security_key = s.symbol) r ASOF LEFT JOIN (SELECT symbol, date FROM listed UNION ALL SELECT -1, market_date FROM market) p ON r.k = p.symbol AND r.snapshot_date <= p.date",
+    REGISTER + ", " + PRICES + ", " + MARKET + ", listed AS (SELECT p.* FROM prices p JOIN supplier ON symbol = s_suppkey WHERE s_acctbal >= 5000)",
 )
 def join_asof_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    r = register(spark, sf).select("security_key", "snapshot_date").withColumns({"exact": F.col("security_key"), "entity": F.lit(1).cast("bigint")})
-    p = prices(spark, sf).where("symbol % 10 <> 0").select(F.col("symbol").alias("key"), F.col("date").alias("price_date"), "close")
-    out = asof.forward_with_fallback(r, p, ["exact", "entity"], ["exact", "entity"], "snapshot_date", "price_date", ["close"])
+    """Suppliers with a low balance have no series of their own and are priced by the market's."""
+    r = register(spark, sf).select("security_key", "snapshot_date").withColumns({"exact": F.col("security_key"), "other": F.lit(-1).cast("bigint")})
+    listed = prices(spark, sf).join(table(spark, sf, "supplier").where("s_acctbal >= 5000"), F.col("symbol") == F.col("s_suppkey"), "left_semi")
+    p = listed.select(F.col("symbol").alias("key"), F.col("date").alias("price_date"), "close").unionByName(market(spark, sf).select(F.lit(-1).cast("bigint").alias("key"), F.col("market_date").alias("price_date"), F.col("market_close").alias("close")))
+    out = asof.forward_with_fallback(r, p, ["exact", "other"], ["exact", "market"], "snapshot_date", "price_date", ["close"])
     return out.select("security_key", "snapshot_date", "price_date", "match")
 
 
@@ -297,12 +299,12 @@ def join_temporal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "join_identity_resolve",
-    "SELECT o_orderkey, CASE WHEN isin_n = 1 THEN isin_e WHEN isin_n IS NULL AND issuer_n = 1 THEN issuer_e END AS entity_id, CASE WHEN isin_n = 1 THEN 'isin' WHEN isin_n > 1 THEN 'ambiguous_isin' WHEN issuer_n = 1 THEN 'issuer' WHEN issuer_n > 1 THEN 'ambiguous_issuer' ELSE 'unresolved' END AS identity_resolution FROM orders LEFT JOIN (SELECT p_partkey AS isin, count(DISTINCT p_brand) AS isin_n, min(p_brand) AS isin_e FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) i ON o_custkey = isin LEFT JOIN (SELECT p_size AS issuer, count(DISTINCT p_brand) AS issuer_n, min(p_brand) AS issuer_e FROM part WHERE p_partkey % 3 = 0 AND p_size <= 20 GROUP BY 1) s ON o_custkey % 40 = issuer",
+    "SELECT o_orderkey, CASE WHEN isin_n = 1 THEN isin_e WHEN isin_n IS NULL AND issuer_n = 1 THEN issuer_e END AS entity_id, CASE WHEN isin_n = 1 THEN 'isin' WHEN isin_n > 1 THEN 'ambiguous_isin' WHEN issuer_n = 1 THEN 'issuer' WHEN issuer_n > 1 THEN 'ambiguous_issuer' ELSE 'unresolved' END AS identity_resolution FROM orders LEFT JOIN (SELECT p_partkey AS isin, count(DISTINCT p_brand) AS isin_n, min(p_brand) AS isin_e FROM part WHERE p_type = 'ECONOMY' GROUP BY 1) i ON o_custkey = isin LEFT JOIN (SELECT p_size AS issuer, count(DISTINCT p_brand) AS issuer_n, min(p_brand) AS issuer_e FROM part WHERE p_type = 'ECONOMY' AND p_size <= 20 GROUP BY 1) s ON o_custkey % 40 = issuer",
 )
 def join_identity_resolve(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("isin"), (F.col("o_custkey") % 40).alias("issuer"), F.to_date("o_orderdate").alias("d"))
     none = F.lit(None).cast("date")
-    a = table(spark, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("isin"), F.when(F.col("p_size") <= 20, F.col("p_size").cast("bigint")).alias("issuer"), F.col("p_brand").alias("entity_id"), none.alias("valid_from"), none.alias("valid_to"))
+    a = table(spark, sf, "part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("isin"), F.when(F.col("p_size") <= 20, F.col("p_size").cast("bigint")).alias("issuer"), F.col("p_brand").alias("entity_id"), none.alias("valid_from"), none.alias("valid_to"))
     return identity.resolve(rows, a, "o_orderkey", "d").select("o_orderkey", "entity_id", "identity_resolution")
 
 

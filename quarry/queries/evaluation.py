@@ -83,18 +83,18 @@ def ev_most_frequent(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.most_frequent(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("value")), "value")
 
 
-@query("id_lookup", "SELECT o_orderkey, CASE WHEN a.n = 1 THEN a.v WHEN a.n IS NULL AND b.n = 1 THEN b.v END AS symbol, CASE WHEN a.n = 1 THEN 'isin' WHEN a.n > 1 THEN 'ambiguous_isin' WHEN b.n = 1 THEN 'lei' WHEN b.n > 1 THEN 'ambiguous_lei' ELSE 'unresolved' END AS instrument_resolution FROM orders LEFT JOIN (SELECT p_partkey // 2 AS k, count(DISTINCT p_type) AS n, min(p_type) AS v FROM part WHERE p_partkey < 300 GROUP BY 1) a ON o_custkey = a.k LEFT JOIN (SELECT p_size AS k, count(DISTINCT p_type) AS n, min(p_type) AS v FROM part WHERE p_partkey < 60 GROUP BY 1) b ON o_custkey % 70 = b.k")
+@query("id_lookup", "SELECT o_orderkey, CASE WHEN a.n = 1 THEN a.v WHEN a.n IS NULL AND b.n = 1 THEN b.v END AS symbol, CASE WHEN a.n = 1 THEN 'isin' WHEN a.n > 1 THEN 'ambiguous_isin' WHEN b.n = 1 THEN 'lei' WHEN b.n > 1 THEN 'ambiguous_lei' ELSE 'unresolved' END AS instrument_resolution FROM orders LEFT JOIN (SELECT p_partkey // 2 AS k, count(DISTINCT p_type) AS n, min(p_type) AS v FROM part WHERE p_size > 10 GROUP BY 1) a ON o_custkey = a.k LEFT JOIN (SELECT p_size AS k, count(DISTINCT p_type) AS n, min(p_type) AS v FROM part WHERE p_brand = 'Brand#2' AND p_size > 10 GROUP BY 1) b ON o_custkey % 70 = b.k")
 def id_lookup(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("isin"), (F.col("o_custkey") % 70).alias("lei"))
-    p = table(spark, sf, "part").where("p_partkey < 300")
-    instruments = p.select(F.floor(F.col("p_partkey") / 2).alias("isin"), F.when(F.col("p_partkey") < 60, F.col("p_size").cast("bigint")).alias("lei"), F.col("p_type").alias("symbol"))
+    p = table(spark, sf, "part").where("p_size > 10")
+    instruments = p.select(F.floor(F.col("p_partkey") / 2).alias("isin"), F.when(F.col("p_brand") == "Brand#2", F.col("p_size").cast("bigint")).alias("lei"), F.col("p_type").alias("symbol"))
     return entities.lookup(rows, instruments, "o_orderkey", "symbol", ("isin", "lei"))
 
 
-@query("id_cascade", "SELECT c_custkey, coalesce(CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS VARCHAR), CASE WHEN c_nationkey < 10 THEN 'N' || c_nationkey END) AS symbol, CASE WHEN c_custkey % 3 = 0 THEN 'manual' WHEN c_nationkey < 10 THEN 'nation' ELSE 'unmapped' END AS mapping_source FROM customer")
+@query("id_cascade", "SELECT c_custkey, coalesce(CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey END AS VARCHAR), CASE WHEN c_nationkey < 10 THEN 'N' || c_nationkey END) AS symbol, CASE WHEN c_mktsegment = 'BUILDING' THEN 'manual' WHEN c_nationkey < 10 THEN 'nation' ELSE 'unmapped' END AS mapping_source FROM customer")
 def id_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    manual = c.where("c_custkey % 3 = 0").select("c_custkey", F.col("c_custkey").cast("string").alias("symbol"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    manual = c.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.col("c_custkey").cast("string").alias("symbol"))
     nation = table(spark, sf, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("symbol"))
     return entities.cascade(c, [(manual, "c_custkey", "manual"), (nation, "c_nationkey", "nation")], "symbol").select("c_custkey", "symbol", "mapping_source")
 
@@ -102,16 +102,15 @@ def id_cascade(spark: SparkSession, sf: str) -> DataFrame:
 @query("id_name_similarity")
 def id_name_similarity(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier")
-    names = s.select(text.company(F.concat(F.lit("Suplier "), F.regexp_extract("s_name", r"(\d+)", 1))).alias("name")).where(F.col("name").endswith("7"))
+    names = s.select(text.company(F.concat(F.lit("Suplier "), F.regexp_extract("s_name", r"(\d+)", 1))).alias("name"))
     candidates = s.select(F.col("s_suppkey").alias("symbol"), text.company(F.regexp_replace("s_name", "#", " ")).alias("candidate"))
-    return entities.best_match(names, candidates, "name", F.substring("name", 1, 3))
+    return entities.best_match(names, candidates, "name", lambda c: F.right(c, F.lit(3)))
 
 
-@query("id_discover", "SELECT 'B' || p_partkey AS isin, CAST(NULL AS VARCHAR) AS lei, upper(p_name) AS issuer, CASE WHEN p_partkey < 10 THEN 'ENT-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE 'ENT-' || lpad(CAST(99 + row_number() OVER (PARTITION BY p_partkey < 10 ORDER BY 'B' || p_partkey) AS VARCHAR), 6, '0') END AS entity_id FROM part WHERE p_partkey < 30 AND NOT (p_partkey < 5)")
+@query("id_discover", "SELECT 'B' || p_partkey AS isin, CAST(NULL AS VARCHAR) AS lei, upper(p_name) AS issuer, CASE WHEN p_size <= 10 THEN 'ENT-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE 'ENT-' || lpad(CAST(500000 + row_number() OVER (PARTITION BY p_size <= 10 ORDER BY 'B' || p_partkey) AS VARCHAR), 6, '0') END AS entity_id FROM part WHERE p_size > 5")
 def id_discover(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts up to size 5 are known as they are, up to size 10 by another name; the others are new."""
     none = F.lit(None).cast("string")
-    p = table(spark, sf, "part").where("p_partkey < 30")
-    seen = p.select(F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("isin"), none.alias("lei"), F.upper("p_name").alias("issuer"), "p_partkey")
-    ids = F.format_string("ENT-%06d", F.col("p_partkey"))
-    aliases = seen.where("p_partkey < 5").withColumn("entity_id", ids).unionByName(seen.where("p_partkey >= 5 and p_partkey < 10").withColumn("entity_id", ids).withColumn("issuer", F.lit("OLD NAME")))
-    return entities.discover(seen.drop("p_partkey"), aliases.drop("p_partkey"), 99)
+    seen = table(spark, sf, "part").select(F.concat(F.lit("B"), F.col("p_partkey").cast("string")).alias("isin"), none.alias("lei"), F.upper("p_name").alias("issuer"), "p_size", F.format_string("ENT-%06d", F.col("p_partkey")).alias("entity_id"))
+    known = seen.where("p_size <= 10").withColumn("issuer", F.when(F.col("p_size") <= 5, F.col("issuer")).otherwise("OLD NAME"))
+    return entities.discover(seen.select("isin", "lei", "issuer"), known.drop("p_size"), 500_000)

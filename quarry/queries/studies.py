@@ -61,10 +61,12 @@ def pf_concentration(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(portfolio.concentration(portfolio.selection_counts(_held(spark, sf))))
 
 
-@query("pf_exclusions", "SELECT 'drop_' || k AS excluded, round(avg(target_return), 6) + 0.0 AS mean FROM pred, (SELECT DISTINCT security_key AS k FROM panel WHERE security_key < 3) WHERE security <> k GROUP BY 1", _PF)
+@query("pf_exclusions", "SELECT 'drop_' || k AS excluded, round(avg(target_return), 6) + 0.0 AS mean FROM pred, (SELECT security AS k FROM held GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) WHERE security <> k GROUP BY 1", _PF)
 def pf_exclusions(spark: SparkSession, sf: str) -> DataFrame:
+    """The universe without each of the ten securities selected most often."""
     p = _predictions(spark, sf)
-    sets = panel(spark, sf).where("security_key < 3").select("security_key").distinct().select(F.concat(F.lit("drop_"), F.col("security_key").cast("string")).alias("excluded"), F.col("security_key").alias("security"))
+    top = portfolio.selection_counts(_held(spark, sf)).orderBy(F.col("selections").desc(), "security").limit(10)
+    sets = top.select(F.concat(F.lit("drop_"), F.col("security").cast("string")).alias("excluded"), "security")
     return rounded(portfolio.excluding(p, sets).groupBy("excluded").agg(F.avg("target_return").alias("mean")))
 
 
@@ -106,7 +108,7 @@ def qc_match_distance(spark: SparkSession, sf: str) -> DataFrame:
     return panel(spark, sf).groupBy(F.datediff("price_date", "snapshot_date").alias("days")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("qc_forward_returns", "SELECT 0 AS mismatches", "")
+@query("qc_forward_returns", "SELECT CAST(count(*) FILTER ((a.forward_return_5d IS NULL) <> (b.close IS NULL) OR abs(a.forward_return_5d - (b.close / a.close - 1)) > greatest(1e-9, 1e-9 * abs(a.forward_return_5d))) AS INT) AS mismatches FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM history) a LEFT JOIN (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) - 5 AS i FROM history) b ON a.symbol = b.symbol AND a.i = b.i", HISTORY)
 def qc_forward_returns(spark: SparkSession, sf: str) -> DataFrame:
     p = prices(spark, sf)
     w = Window.partitionBy("symbol").orderBy("date")
@@ -131,9 +133,9 @@ def qc_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return series.coverage(prices(spark, sf), "symbol", "date", "1995-02-01", "2001-10-01")
 
 
-@query("qc_mapping_coverage", "SELECT coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN a.symbol IS NULL THEN 'mapping_only' WHEN b.symbol IS NULL THEN 'prices_only' ELSE 'both' END AS found_in FROM (SELECT DISTINCT symbol FROM prices WHERE symbol % 7 <> 0) a FULL JOIN (SELECT symbol FROM sectors WHERE symbol % 5 <> 0) b ON a.symbol = b.symbol", PRICES + ", " + SECTORS)
+@query("qc_mapping_coverage", "SELECT coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN a.symbol IS NULL THEN 'mapping_only' WHEN b.symbol IS NULL THEN 'prices_only' ELSE 'both' END AS found_in FROM (SELECT DISTINCT symbol FROM prices WHERE date < DATE '1995-02-10') a FULL JOIN (SELECT s_suppkey AS symbol FROM supplier WHERE s_acctbal > 0) b ON a.symbol = b.symbol", PRICES)
 def qc_mapping_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return qc.mapping_coverage(prices(spark, sf).where("symbol % 7 <> 0"), sectors(spark, sf).where("symbol % 5 <> 0"), "symbol")
+    return qc.mapping_coverage(prices(spark, sf).where("date < date'1995-02-10'"), table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("symbol")), "symbol")
 
 
 @query("qc_price_conflicts", "SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, count(*) AS rows, count(DISTINCT l_extendedprice) AS prices FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_extendedprice) > 1")
@@ -142,10 +144,10 @@ def qc_price_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return qc.clean_prices(rows, ["symbol", "date"], "close", ["l_orderkey"])[1]
 
 
-@query("qc_evidence", "SELECT o_orderkey, CASE WHEN a IS NULL AND b IS NULL THEN 'unresolved' WHEN a IS NULL THEN CASE WHEN len(b) > 1 THEN 'ambiguous' ELSE 'unique' END WHEN b IS NULL THEN CASE WHEN len(a) > 1 THEN 'ambiguous' ELSE 'unique' END WHEN len(list_intersect(a, b)) = 0 THEN 'conflict' WHEN len(list_intersect(a, b)) > 1 THEN 'ambiguous' ELSE 'unique' END AS status FROM orders LEFT JOIN (SELECT p_size AS k, list(DISTINCT p_brand) AS a FROM part WHERE p_partkey % 50 = 0 GROUP BY 1) x ON o_custkey % 60 = x.k LEFT JOIN (SELECT p_type AS k, list(DISTINCT p_brand) AS b FROM part WHERE p_partkey % 50 = 0 GROUP BY 1) y ON CASE WHEN o_custkey % 2 = 0 THEN 'ECONOMY' END = y.k")
+@query("qc_evidence", "SELECT o_orderkey, CASE WHEN a IS NULL AND b IS NULL THEN 'unresolved' WHEN a IS NULL THEN CASE WHEN len(b) > 1 THEN 'ambiguous' ELSE 'unique' END WHEN b IS NULL THEN CASE WHEN len(a) > 1 THEN 'ambiguous' ELSE 'unique' END WHEN len(list_intersect(a, b)) = 0 THEN 'conflict' WHEN len(list_intersect(a, b)) > 1 THEN 'ambiguous' ELSE 'unique' END AS status FROM orders LEFT JOIN (SELECT p_size AS k, list(DISTINCT p_brand) AS a FROM part WHERE p_name = 'small ring' GROUP BY 1) x ON o_custkey % 60 = x.k LEFT JOIN (SELECT p_type AS k, list(DISTINCT p_brand) AS b FROM part WHERE p_name = 'small ring' GROUP BY 1) y ON CASE WHEN o_custkey % 2 = 0 THEN 'ECONOMY' END = y.k")
 def qc_evidence(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("size"), F.when(F.col("o_custkey") % 2 == 0, "ECONOMY").alias("type"))
-    index = table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_size").cast("bigint").alias("size"), F.col("p_type").alias("type"), F.col("p_brand").alias("isin"))
+    index = table(spark, sf, "part").where("p_name = 'small ring'").select(F.col("p_size").cast("bigint").alias("size"), F.col("p_type").alias("type"), F.col("p_brand").alias("isin"))
     return identity.evidence(rows, index, "o_orderkey", ("size", "type")).select("o_orderkey", "status")
 
 

@@ -64,14 +64,20 @@ def rows_in(df: DataFrame) -> int:
     return df.count()
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, rows: int, per_bucket: int = 100_000) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, rows: int | dict[int, int], per_bucket: int = 100_000) -> DataFrame:
     """Add a rank from 0 without gaps within each key, however many rows a key holds.
 
-    A key's rows are spread over hash buckets of the order columns; ranks run within a bucket, and
+    rows: how many there are, or, of a single key with few values, how many each value has; then only
+    the values above per_bucket are spread. A key's rows are spread over hash buckets of the order columns; ranks run within a bucket, and
     the buckets' counts, summed, are the offset. So no task sorts more than about per_bucket rows.
     Rows that are equal in all order columns may take each other's rank."""
-    buckets = max(1, -(-rows // per_bucket))
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    if isinstance(rows, dict):
+        many = {k: -(-n // per_bucket) for k, n in rows.items() if n > per_bucket}
+        parts = F.create_map(*[F.lit(x) for kv in many.items() for x in kv]) if many else None
+        buckets = F.coalesce(F.try_element_at(parts, F.col(keys[0]).cast("int")), F.lit(1)) if many else F.lit(1)
+    else:
+        buckets = F.lit(max(1, -(-rows // per_bucket)))
+    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), buckets).cast("int"))
     counts = spread.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bucket").alias("_o_bucket"), F.coalesce(before, F.lit(0)).alias("_before"))

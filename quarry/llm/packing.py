@@ -250,7 +250,7 @@ def pack(cut_up: DataFrame, capacity: int = 2048, length_col: str = "length", or
     if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
         raise ValueError(f"lengths must be 1 to {capacity}: {min(histogram)} to {max(histogram)}")
     placed = plan(histogram, capacity)
-    ranked = gapless_rank(cut_up, [length_col], [F.col(c) for c in order], "_rank", sum(histogram.values()))
+    ranked = gapless_rank(cut_up, [length_col], [F.col(c) for c in order], "_rank", histogram, per_bucket=1000)
     shared = cut_up.sparkSession.sparkContext.broadcast(placed)
     names = cut_up.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_up.schema) + ", sequence_id bigint, offset bigint"

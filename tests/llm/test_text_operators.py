@@ -159,9 +159,10 @@ def test_gapless_rank_over_many_buckets(spark):
     from quarry.llm.common import gapless_rank
 
     df = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
-    rows = gapless_rank(df, ["k"], [F.col("id")], "r", 500, per_bucket=20).collect()
-    for k in range(3):
-        assert sorted(r["r"] for r in rows if r["k"] == k) == list(range(sum(i % 3 == k for i in range(500))))
+    for given in (500, {0: 167, 1: 167, 2: 166}, {0: 167, 1: 3}):
+        rows = gapless_rank(df, ["k"], [F.col("id")], "r", given, per_bucket=20).collect()
+        for k in range(3):
+            assert sorted(r["r"] for r in rows if r["k"] == k) == list(range(sum(i % 3 == k for i in range(500))))
 
 
 # --- 7 language model ------------------------------------------------------------------------

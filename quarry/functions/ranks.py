@@ -13,18 +13,21 @@ from quarry.functions.parse import finite
 
 
 def pct_rank(x: Column, by: list[str | Column]) -> Column:
-    """Rank divided by the number of values, ties sharing their average rank."""
+    """Rank divided by the number of values, ties sharing their average rank.
+
+    Rank, ties and count are windows over the same partitions, rank and ties in the same order: one
+    shuffle by cross-section and one sort a column."""
     v = finite(x)
-    order = Window.partitionBy(*by, v.isNull()).orderBy(v)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, v))
+    w = Window.partitionBy(*by).orderBy(v.asc_nulls_last())
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
     n = F.count(v).over(Window.partitionBy(*by))
-    return F.when(v.isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / n)
+    return F.when(v.isNotNull(), (F.rank().over(w) + (ties - 1) / 2) / n)
 
 
 def first_rank(x: Column, by: list[str | Column], tie: list[str | Column]) -> tuple[Column, Column]:
     """Rank from 1 with ties in the order of `tie`, and the number of values."""
     v = finite(x)
-    r = F.row_number().over(Window.partitionBy(*by, v.isNull()).orderBy(v, *tie))
+    r = F.row_number().over(Window.partitionBy(*by).orderBy(v.asc_nulls_last(), *tie))
     return F.when(v.isNotNull(), r), F.count(v).over(Window.partitionBy(*by))
 
 

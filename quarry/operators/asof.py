@@ -10,18 +10,19 @@ def forward(left: DataFrame, right: DataFrame, key: str, left_date: str, right_d
     """For each left row the first right row of its key on or after its date; unmatched rows keep
     nulls. Adds right_date and values.
 
-    Both sides are laid end to end, sorted once by (key, date), and the next right row is carried
-    back: one shuffle, no row multiplied, whatever the number of dates between. Left keys and dates
+    Both sides are laid end to end, sorted once by (key, date) from the latest on, and the last right
+    row seen is carried along: one shuffle, no row multiplied, one step a row. (A frame that looks ahead
+    to the end would be computed anew for each row.) Left keys and dates
     may repeat; of right rows with equal dates the least by value counts. Null keys or dates do not
-    match. A key is one sort run; salt() is for keys that hold too many rows."""
+    match. A key is one sort run, so its rows meet in one task, as in any sort by series."""
     payload = F.struct(F.col(right_date).alias("_date"), *[F.col(v).alias(v) for v in values])
     kind = right.select(payload.alias("p")).schema["p"].dataType
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(left.columns)])
     rest_kind = left.select(rest.alias("r")).schema["r"].dataType
     a = left.select(F.col(key).alias("_k"), F.col(left_date).alias("_d"), F.lit(0).alias("_side"), rest.alias("_row"), F.lit(None).cast(kind).alias("_p"))
     b = right.where(F.col(key).isNotNull() & F.col(right_date).isNotNull()).select(F.col(key).alias("_k"), F.col(right_date).alias("_d"), F.lit(1).alias("_side"), F.lit(None).cast(rest_kind).alias("_row"), payload.alias("_p"))
-    ahead = Window.partitionBy("_k").orderBy("_d", "_side", "_p").rowsBetween(0, Window.unboundedFollowing)
-    met = a.unionByName(b).withColumn("_m", F.when(F.col("_k").isNotNull() & F.col("_d").isNotNull(), F.first("_p", ignorenulls=True).over(ahead))).where("_side = 0")
+    back = Window.partitionBy("_k").orderBy(F.col("_d").desc(), F.col("_side").desc(), F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    met = a.unionByName(b).withColumn("_m", F.when(F.col("_k").isNotNull() & F.col("_d").isNotNull(), F.last("_p", ignorenulls=True).over(back))).where("_side = 0")
     own = [F.col(f"_row.c{i}").alias(c) for i, c in enumerate(left.columns)]
     return met.select(*own, F.col("_m._date").alias(right_date), *[F.col(f"_m.{v}").alias(v) for v in values])
 

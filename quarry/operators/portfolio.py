@@ -33,29 +33,44 @@ def weights(df: DataFrame, by: list[str], cap: float = 0.05) -> DataFrame:
     return df.withColumn("weight", F.least(F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(*by)), F.lit(cap)))
 
 
+def _moves(held: DataFrame, period: str, key: str, by: list[str], more: list[str]) -> DataFrame:
+    """Each holding in its period and, as what was there before, in the next: one row a key and period."""
+    now = F.struct(F.col(period).alias("_p"), F.col("weight").alias("_w"), F.lit(0.0).alias("_was"), *[F.col(c).alias(c) for c in more])
+    then = F.struct((F.col(period) + 1).alias("_p"), F.lit(0.0).alias("_w"), F.col("weight").alias("_was"), *[F.lit(None).cast(held.schema[c].dataType).alias(c) for c in more])
+    rows = held.select(*by, key, F.explode(F.array(now, then)).alias("_m")).select(*by, key, "_m.*")
+    return rows.groupBy(*by, F.col("_p").alias(period), key).agg(F.sum("_w").alias("_w"), F.sum("_was").alias("_was"), *[F.max(c).alias(c) for c in more])
+
+
+def _turned() -> Column:
+    return 0.5 * (F.sum(F.abs(F.col("_w") - F.col("_was"))) + F.abs(F.sum("_w") - F.sum("_was")))
+
+
 def turnover(held: DataFrame, period: str = "period", key: str = "security", by: list[str] | None = None) -> DataFrame:
-    """Half the sum of changes in weights and cash, by period; all of it is bought in the first."""
+    """Half the sum of changes in weights and cash, by period; all of it is bought in the first. The
+    holdings are read once: no join of a period with the one before."""
     by = by or []
-    before = held.select(*by, (F.col(period) + 1).alias(period), key, F.col("weight").alias("_was"))
-    both = held.select(*by, period, key, "weight").join(before, [*by, period, key], "full")
-    change = both.groupBy(*by, period).agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("_was", F.lit(0.0)))).alias("_moved"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("_in"), F.coalesce(F.sum("_was"), F.lit(0.0)).alias("_out"))
-    last = held.groupBy(*by).agg(F.max(period).alias("_last")) if by else held.agg(F.max(period).alias("_last"))
-    change = change.join(last, by) if by else change.crossJoin(F.broadcast(last))  # one row
-    return change.where(F.col(period) <= F.col("_last")).select(*by, period, (0.5 * (F.col("_moved") + F.abs(F.col("_in") - F.col("_out")))).alias("turnover"))
+    moved = _moves(held, period, key, by, [])
+    return moved.groupBy(*by, period).agg(_turned().alias("turnover"), F.sum("_w").alias("_in")).where("_in > 0").drop("_in")
 
 
 def strategy(df: DataFrame, every: int = 5, fraction: float = 0.2, cap: float = 0.05, bps: float = 10.0, side: int = 1, by: list[str] | None = None) -> DataFrame:
     """Per period gross, cost, net and benchmark return. df: date, security, score, target_return and
-    the columns of by, along which separate experiments run in one job."""
+    the columns of by, along which separate experiments run in one job.
+
+    Universe, selection and weights are windows over one partition a period; turnover and returns are
+    one aggregate over the holdings."""
     by = by or []
-    days = rebalance_dates(df, every)
-    rows = clean(df).join(F.broadcast(days), "date")
-    universe = rows.groupBy(*by, "period", "date").agg(F.avg("target_return").alias("benchmark"))
-    held = weights(select_top(rows, fraction, [*by, "period"]), [*by, "period"], cap)
-    gross = held.groupBy(*by, "period").agg((F.sum(F.col("weight") * F.col("target_return")) * side).alias("gross"), F.sum("weight").alias("invested"), F.count(F.lit(1)).alias("names"))
-    out = universe.join(gross, [*by, "period"]).join(turnover(held, by=by), [*by, "period"])
+    rows = clean(df).join(F.broadcast(rebalance_dates(df, every)), "date")
+    w = Window.partitionBy(*by, "period")
+    take = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(w) * fraction))
+    rows = rows.withColumns({"benchmark": F.avg("target_return").over(w), "_k": take, "_r": F.row_number().over(w.orderBy(F.col("score").desc(), "security"))})
+    held = rows.where(F.col("_r") <= F.col("_k")).withColumn("weight", F.least(F.lit(1.0) / F.col("_k"), F.lit(cap)))
+    moved = _moves(held, "period", "security", by, ["date", "benchmark", "target_return"])
+    out = moved.groupBy(*by, "period").agg(
+        F.max("date").alias("date"), F.max("benchmark").alias("benchmark"), (F.sum(F.col("_w") * F.col("target_return")) * side).alias("gross"), F.sum("_w").alias("invested"), F.count_if(F.col("_w") > 0).alias("names"), _turned().alias("turnover")
+    )
     cost = F.col("turnover") * bps / 1e4
-    return out.withColumns({"cost": cost, "net": F.col("gross") - cost})
+    return out.where("names > 0").withColumns({"cost": cost, "net": F.col("gross") - cost})
 
 
 def compounded(r: str) -> Column:

@@ -104,7 +104,9 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     """Register rows with their features, priced as of the first day on or after the month's start."""
     rows = features.observation_features(register(spark, sf))
     h = history(spark, sf)
-    values = [c for c in h.columns if c not in ("symbol", "date")]
+    # what no query of the panel asks for is not carried along, and so never computed
+    unused = {"symbol", "date", "price_volatility_60d", "min_return_5d_date", "max_return_5d_date"}
+    values = [c for c in h.columns if c not in unused]
     rows = asof.forward(rows.withColumn("_s", F.col("security_key")), h.withColumnRenamed("symbol", "_s").withColumnRenamed("date", "price_date"), "_s", "snapshot_date", "price_date", values).drop("_s")
     return rows.join(sectors(spark, sf).withColumnRenamed("symbol", "security_key"), "security_key", "left")
 

@@ -92,63 +92,69 @@ def _forest(max_bits: int, proof_bits: int):  # noqa: ANN202
             step += 1
         return (np.concatenate(left), np.concatenate(right)) if left else (at, at)
 
-    def edges(tile: np.ndarray, fp: np.ndarray, proof: np.ndarray) -> pa.RecordBatch | None:
+    def edges(tile: np.ndarray, fp: np.ndarray, proof: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
         run_of = np.concatenate([[0], np.cumsum(np.any(tile[1:] != tile[:-1], axis=1))])
         i, j = close(run_of, fp, proof)
         if not len(i):
             return None
-        own, place = np.unique(np.stack([fp, proof], axis=1), axis=0, return_inverse=True)
-        place = place.ravel()
+        own, place = np.unique(node, return_inverse=True)
         least = roots(len(own), place[i], place[j])
         hung = np.flatnonzero(least != np.arange(len(own)))
-        columns = [own[hung], own[least[hung]]]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[:, k]).view(np.int64)) for c in columns for k in (0, 1)], ["a", "a_proof", "b", "b_proof"])
+        return pa.RecordBatch.from_arrays([pa.array(own[hung]), pa.array(own[least[hung]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, fp, proof = np.empty((0, 4), np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        tile, rest = np.empty((0, 4), np.int64), [np.empty(0, np.int64)] * 3
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)]
             tile = np.concatenate([tile, np.stack(columns[:4], axis=1)])
-            fp, proof = np.concatenate([fp, columns[4].view(np.uint64)]), np.concatenate([proof, columns[5].view(np.uint64)])
+            rest = [np.concatenate(x) for x in zip(rest, columns[4:], strict=True)]
             # the last tile may go on in the next batch
             other = np.flatnonzero(np.any(tile != tile[-1], axis=1))
             done = int(other[-1]) + 1 if len(other) else 0
-            if done and (found := edges(tile[:done], fp[:done], proof[:done])) is not None:
+            fp, proof, node = rest
+            if done and (found := edges(tile[:done], fp[:done].view(np.uint64), proof[:done].view(np.uint64), node[:done])) is not None:
                 yield found
-            tile, fp, proof = tile[done:], fp[done:], proof[done:]
-        if len(fp) and (found := edges(tile, fp, proof)) is not None:
+            tile, rest = tile[done:], [x[done:] for x in rest]
+        fp, proof, node = rest
+        if len(fp) and (found := edges(tile, fp.view(np.uint64), proof.view(np.uint64), node)) is not None:
             yield found
 
     return run
 
 
 def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 7, proof_bits: int = 64) -> DataFrame:
-    """a, a_proof, b, b_proof: links between distinct fingerprints (fp, proof) that connect whatever
-    is within max_bits of one another in fp and within proof_bits in proof; every row is such a
-    link, or hangs on others that are."""
-    filed = distinct.select("fp", "proof", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "part"))
+    """a, b: links between distinct fingerprints that connect whatever is within max_bits of one
+    another in fp and, if there is a second fingerprint proof, within proof_bits in it. Links are
+    between the nodes' names, column node, or fp itself; every row is such a link, or hangs on others."""
+    carried = [c for c in ("fp", "proof", "node") if c in distinct.columns]
+    filed = distinct.select(*carried, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "part"))
     shared = filed.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = filed.join(shared, ["choice", "part"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
-    own = F.pmod(F.xxhash64("fp", "proof"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64(*[c for c in carried if c != "node"]), F.col("chunks")).cast("int")
     tiles = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("choice", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "proof")
+    proof = F.col("proof") if "proof" in carried else F.lit(0).cast("long").alias("proof")
+    node = F.col("node") if "node" in carried else F.col("fp").alias("node")
+    tiles = tiles.select("choice", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", proof, node)
     by = ["choice", "part", "i", "j"]
-    return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_forest(max_bits, proof_bits), "a bigint, a_proof bigint, b bigint, b_proof bigint")
-
-
-def _grouped(docs: DataFrame, max_bits: int, blocks: int, proof_bits: int) -> DataFrame:
-    """doc_id, fp, proof and component_id of stored rows doc_id, fp, proof."""
-    distinct = materialize(docs.groupBy("fp", "proof").agg(F.min("doc_id").alias("rep")), "distinct")
-    node = lambda a, b: F.struct(F.col(a).alias("fp"), F.col(b).alias("proof"))
-    found = components(links(distinct, max_bits, blocks, proof_bits).select(node("a", "a_proof").alias("a"), node("b", "b_proof").alias("b")))
-    found = found.select("node.fp", "node.proof", "component")
-    least = found.join(distinct, ["fp", "proof"]).groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = found.join(least, "component").select("fp", "proof", "component_id")
-    of = distinct.join(linked, ["fp", "proof"], "left").select("fp", "proof", F.coalesce("component_id", "rep").alias("component_id"))
+    return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_forest(max_bits, proof_bits), "a bigint, b bigint")
+
+
+def _grouped(docs: DataFrame, max_bits: int, blocks: int, proof_bits: int = 64) -> DataFrame:
+    """Stored rows doc_id, fp and perhaps proof, with component_id. With one fingerprint it names the
+    nodes; with two the smallest doc_id does, so fingerprints that share it are one node."""
+    keys = [c for c in docs.columns if c != "doc_id"]
+    node = F.col("fp") if keys == ["fp"] else F.col("rep")
+    distinct = materialize(docs.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "distinct")
+    named = distinct if keys == ["fp"] else distinct.where("rep is not null").withColumn("node", node)
+    found = components(links(named, max_bits, blocks, proof_bits))
+    distinct = distinct.withColumn("node", node)
+    least = found.join(distinct.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = found.join(least, "component").select("node", "component_id")
+    of = distinct.join(linked, "node", "left").select(*keys, F.coalesce("component_id", "rep").alias("component_id"))
     # stored, so that the last join shuffles both sides itself and a hot fingerprint can be split
-    return docs.join(materialize(of, "classes"), ["fp", "proof"])
+    return docs.join(materialize(of, "classes"), keys)
 
 
 def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, blocks: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +165,8 @@ def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, blocks: in
     fingerprint zero and link like any other. Repeated rows are rows of their own; rows with a null
     doc_id take part, and their component_id is null only if no linked row has an id. Other columns
     are ignored. An empty table gives an empty result."""
-    docs = materialize(fingerprints(df, words, id_col, text_col), "fingerprints").withColumn("proof", F.lit(0).cast("long"))
-    back = _grouped(docs, max_bits, blocks, 64)
+    docs = materialize(fingerprints(df, words, id_col, text_col), "fingerprints")
+    back = _grouped(docs, max_bits, blocks)
     return back.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

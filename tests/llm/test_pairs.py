@@ -83,7 +83,7 @@ def test_links_connect_exactly(spark, monkeypatch, bucket):
             fps.add(x)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(s, 0) for s in signed], "fp long, proof long")
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
     got = simhash.links(df).collect()
     at = {s: i for i, s in enumerate(signed)}
     near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]

@@ -118,6 +118,35 @@ def test_keep_one(spark, docs):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [512, 3])
+def test_keep_one_equals_brute_force(spark, monkeypatch, bucket):
+    """Texts with single words or one passage replaced, alike by 0.5 to 1, about half of them below 0.8."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    r = random.Random(7)
+    texts = []
+    for _ in range(40):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randrange(20, 150))]
+        texts.append(base)
+        for kind in range(6):
+            t, share = list(base), r.uniform(0.005, 0.06)
+            if kind % 2:
+                size = max(1, int(4 * share * len(t)))
+                at = r.randrange(len(t) - size)
+                t[at : at + size] = [f"v{r.randrange(3000)}" for _ in range(size)]
+            else:
+                for at in r.sample(range(len(t)), max(1, int(share * len(t)))):
+                    t[at] = f"v{r.randrange(3000)}"
+            texts.append(t)
+    notice = [f"n{i}" for i in range(30)]  # a passage that many different texts share
+    texts += [[f"u{r.randrange(3000)}" for _ in range(25)] + notice for _ in range(30)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
+    assert sum(0.8 <= x < 0.9 for x in alike.values()) > 20 and sum(0.6 <= x < 0.8 for x in alike.values()) > 20
+    want = _reach(len(texts), [p for p, x in alike.items() if x >= 0.8])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.keep_one(df).collect()) == sorted(set(want))
+
+
 # --- 3 embeddings ----------------------------------------------------------------------------
 
 

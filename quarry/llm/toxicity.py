@@ -17,7 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from math import ceil, exp, log, log1p
+from math import exp, log, log1p
 from zlib import crc32
 
 import numpy as np
@@ -183,15 +183,17 @@ def sketch(text: str) -> list[int]:
     return [min(crc32(r, k) for r in runs) for k in range(1, SKETCHES + 1)]
 
 
-def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, least: int, odds: float) -> dict[str, float]:
+def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, least: int, odds: float, evidence: float = 0.0) -> dict[str, float]:
     """Entries seen in at least `least` toxic documents whose odds of being toxic, smoothed, exceed
-    those of all documents by `odds` in logarithm; an entry that a shorter one covers as well is
-    left out. The weight is that logarithm, from 0 to 1 at 8."""
-    good = {}
+    those of all documents by `odds` in logarithm, and whose rows, drawn by chance from all, would be
+    as toxic with a logarithm of likelihood of -`evidence` at most; an entry that a shorter one covers
+    as well is left out. The weight is the logarithm of the odds, from 0 to 1 at 8."""
+    good, rate = {}, toxic / max(1, toxic + clean)
     for e, t, c in counts:
         if t >= least:
             o = log((t + 0.1) / (toxic + 0.2)) - log((c + 0.1) / (clean + 0.2))
-            if o >= odds:
+            gain = t * log(t / (t + c) / rate) + (c * log(c / (t + c) / (1 - rate)) if c else 0.0)
+            if o >= odds and gain >= evidence:
                 good[e] = (o, t)
     out = {}
     for e, (o, _) in good.items():
@@ -217,15 +219,15 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> t
     return tuple(float(v) for v in w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 5, common: float = 0.015, odds: float = 3.0, label_col: str = "toxic") -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 5, evidence: float = 10.0, odds: float = 3.0, label_col: str = "toxic") -> Grammar:
     """Fit the grammar on labelled rows: docs (doc_id, text) and labels (doc_id, label 0/1).
 
     At most about `sample` rows are used, taken by a hash of doc_id; all if there are no more. Word
     counts and features are made by the executors; the driver gets the entries that qualify and three
     numbers a sampled row. Of rows that
     share a minimal shingle hash, as copies and near copies do, one is kept: what the copies of one
-    text have in common is no insult. An entry needs `least` toxic rows and a share of `common` of
-    them. Rows without a label, a doc_id or a document are left out; without rows of
+    text have in common is no insult. An entry needs `least` toxic rows and
+    `evidence` that they are no chance, which is the same for a sample of any size. Rows without a label, a doc_id or a document are left out; without rows of
     both classes the grammar knows no insult and scores everything below a half."""
     have = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("toxic"))
     n = have.count()
@@ -259,12 +261,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int =
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["entry", "t", "c"])
 
     counts = rows.mapInArrow(count, "entry string, t bigint, c bigint").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # the quotient that choose() asks for is at least exp(odds) with any class sizes that a sample has
-    found = [tuple(r) for r in counts.where((F.col("entry") == "") | (F.col("t") >= least) & (F.col("t") > F.col("c"))).collect()]
-    toxic, clean = next(((t, c) for e, t, c in found if e == ""), (0, 0))
+    counts = materialize(counts, "entries")
+    whole = counts.where("entry = ''").select("t", "c").first()
+    toxic, clean = tuple(whole) if whole else (0, 0)
     if not toxic or not clean:
         return Grammar({})
-    grammar = Grammar(choose((f for f in found if f[0]), toxic, clean, max(least, ceil(common * toxic)), odds))
+    # what choose() asks for, with a little room for rounding
+    enough = (F.col("t") + 0.1) * (clean + 0.2) >= (F.col("c") + 0.1) * (exp(odds) * (toxic + 0.2) * (1 - 1e-9))
+    found = [tuple(r) for r in counts.where((F.col("entry") != "") & (F.col("t") >= least) & enough).collect()]
+    grammar = Grammar(choose(found, toxic, clean, least, odds, evidence))
     shared = docs.sparkSession.sparkContext.broadcast(grammar.lexicon)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,8 +132,7 @@ def _jump(key, n):
 
 
 def test_jump_equals_published_loop(spark):
-    from pyspark.sql import functions as F
-
+    
     k = F.xxhash64("id")
     for n in (1, 2, 24, 300):
         rows = spark.range(200).select(k.alias("k"), sharding.jump(k, n).alias("s"), sharding.jump(k, n + 1).alias("t")).collect()
@@ -154,8 +153,7 @@ def test_shard_documents(spark, docs):
 
 
 def test_gapless_rank_over_many_buckets(spark):
-    from pyspark.sql import functions as F
-
+    
     from quarry.llm.common import gapless_rank
 
     df = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
@@ -253,6 +251,16 @@ def test_toxicity_held_out(spark):
     assert n.get((0, 1), 0) <= 0.01 * n[0, 0]
 
 
+@pytest.mark.parametrize(("toxic", "clean", "t", "c"), [(100, 4900, 25, 37), (1000, 3000, 10, 0)])
+def test_toxicity_learns_rare_insults(spark, toxic, clean, t, c):
+    """A word of few toxic rows, or of more clean rows than toxic ones where toxic rows are rare."""
+    r = random.Random(3)
+    filler = lambda: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6))
+    rows = [(i, filler() + (" zzyzx" if i < t or toxic <= i < toxic + c else ""), int(i < toxic)) for i in range(toxic + clean)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    assert "zzyz" in {w[:4] for w in toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic")).lexicon}
+
+
 def test_toxicity_edges(spark, docs):
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     labels = spark.createDataFrame([(1, 1, None), (None, 0, 1), (3, 1, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")

@@ -1,11 +1,11 @@
 """URL filters: fixed rules, and for all other pages a path-template tree learned per host.
 
-The tree is grown one path segment a level, for all hosts at once. A segment with enough pages of
-its own keeps a branch; all others, ids and dates and slugs, share the branch `*`. Branches of one
+The tree is grown one path segment a level, for all hosts at once, to the last segment of any page. A
+segment with enough pages of its own, whatever the size of its host, keeps a branch; all others, ids and dates and slugs, share the branch `*`. Branches of one
 node whose labelled rates fall into the same bin of a variance-stabilised scale are statistically
 alike and are merged. A template is a path from the root to a leaf. Its purity is the blocked share
 of its labelled pages, smoothed towards the share in all labelled pages; templates at or above the
-threshold are rejected. The pages that the rules decide are the labels.
+threshold are rejected if they have labelled pages and stay there when smoothed towards a half. The pages that the rules decide are the labels.
 
 DataFrame expressions alone. Statistics are summed before they are shuffled, and what is joined
 back to the pages are branches with MIN_PAGES pages or more, so one host may hold any share.
@@ -14,6 +14,7 @@ back to the pages are branches with MIN_PAGES pages or more, so one host may hol
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +47,7 @@ class Rule:
 class Tree:
     """Parameters of the method."""
 
-    depth: int = 4  # segments that can tell templates apart; what follows stays in the leaf
     min_pages: int = 8  # pages below which a segment never has a branch of its own
-    min_share: float = 0.02  # and the least share of its node's pages
     bins: int = 8  # of the angle of a rate, from 0 to 1
     weight: float = 5.0  # of the prior, in pages
     threshold: float = 0.8
@@ -80,11 +79,9 @@ def _grown(rows: DataFrame, level: int, t: Tree) -> DataFrame:
     rows = rows.withColumn("segment", at)
     open_ = rows.where("segment is not null")
     child = open_.groupBy("host", "node", "segment").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("n") >= t.min_pages)
-    total = open_.groupBy("host", "node").agg(F.count(F.lit(1)).alias("all_n"))
-    own = child.join(total, ["host", "node"]).where(F.col("n") >= t.min_share * F.col("all_n"))
     # a half page more on either side keeps small branches off the ends of the scale
     rate = lambda c: (F.col(c) + 0.5) / (F.col("n") + 1.0)
-    kept = own.select(F.col("host").alias("h"), F.col("node").alias("p"), F.col("segment").alias("s"), F.concat_ws(":", F.lit("~"), _bin(rate("bad"), t.bins), _bin(rate("good"), t.bins)).alias("branch"))
+    kept = child.select(F.col("host").alias("h"), F.col("node").alias("p"), F.col("segment").alias("s"), F.concat_ws(":", F.lit("~"), _bin(rate("bad"), t.bins), _bin(rate("good"), t.bins)).alias("branch"))
     met = rows.join(kept, (F.col("host") == F.col("h")) & (F.col("node") == F.col("p")) & (F.col("segment") == F.col("s")), "left")
     token = F.when(F.col("segment").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
     return met.withColumn("node", F.concat("node", token)).drop("h", "p", "s", "branch", "segment")
@@ -103,15 +100,27 @@ def judge(df: DataFrame, rules: list[Rule], tree: Tree = Tree(), id_col: str = "
     rows = ruled.select(
         "page_id", "host", "path", F.col("_rule.text").alias("rule"), F.col("_rule.verdict").alias("decided"),
         F.when(F.col("_rule.verdict") == "block", 1).otherwise(0).alias("bad"), F.when(F.col("_rule.verdict") == "allow", 1).otherwise(0).alias("good"),
-        F.slice(F.split(F.regexp_replace("path", "^/", ""), "/", tree.depth + 1), 1, tree.depth).alias("segments"), F.lit("").alias("node"),
+        F.split(F.regexp_replace("path", "^/", ""), "/").alias("segments"), F.lit("").alias("node"),
     )
     rows = materialize(rows, "pages")
     bad, good = rows.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     prior = bad / (bad + good) if bad + good else 0.0
-    for level in range(tree.depth):
-        rows = materialize(_grown(rows, level, tree), "tree")
-    purity = (F.sum("bad") + tree.weight * prior) / (F.sum("bad") + F.sum("good") + tree.weight)
-    rejected = rows.groupBy("host", "node").agg(purity.alias("purity")).where(F.col("purity") >= tree.threshold)
+    done, level = [], 0
+    while not rows.isEmpty():
+        # a node with too few pages left has no branch below
+        left = F.size("segments") - level
+        few = rows.where(left > 0).groupBy("host", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= tree.min_pages)
+        many = few.select(F.col("host").alias("h"), F.col("node").alias("p"))
+        met = rows.join(many, (F.col("host") == F.col("h")) & (F.col("node") == F.col("p")), "left")
+        going = F.col("h").isNotNull() & (left > 0)
+        done.append(materialize(met.where(~going).withColumn("node", F.concat("node", F.repeat(F.lit("/*"), F.greatest(left, F.lit(0))))).drop("h", "p"), "leaves"))
+        rows = materialize(_grown(met.where(going).drop("h", "p"), level, tree), "tree")
+        level += 1
+    rows = reduce(DataFrame.unionByName, done) if done else rows
+    smoothed = lambda towards: (F.sum("bad") + tree.weight * towards) / (F.sum("bad") + F.sum("good") + tree.weight)
+    rejected = rows.groupBy("host", "node").agg(smoothed(prior).alias("purity"), smoothed(min(prior, 0.5)).alias("own"), F.sum(F.col("bad") + F.col("good")).alias("labelled"))
+    # the prior alone rejects nothing, however high it is
+    rejected = rejected.where((F.col("labelled") > 0) & (F.col("purity") >= tree.threshold) & (F.col("own") >= tree.threshold))
     rejected = rejected.select(F.col("host").alias("h"), F.col("node").alias("p"), "purity")
     met = rows.join(rejected, (F.col("host") == F.col("h")) & (F.col("node") == F.col("p")), "left")
     verdict = F.coalesce("decided", F.when(F.col("purity").isNotNull(), "block").otherwise("allow"))

@@ -267,3 +267,23 @@ def test_url_templates_reject_by_purity(spark):
     got = {x["page_id"]: x["verdict"] for x in urls.judge(df, rules).collect()}
     for i, u in enumerate(rows):
         assert got[i] == ("block" if u.startswith("http://shop.example/win/") else "allow")
+
+
+def test_url_templates_without_labels_stay(spark):
+    """Nine tenths of the ruled pages are blocked; pages of hosts without a label stay all the same."""
+    rules = [urls.Rule("bad.example/", "block"), urls.Rule("good.example/", "allow")]
+    rows = [f"http://bad.example/x/{i}" for i in range(90)] + [f"http://good.example/x/{i}" for i in range(10)] + [f"http://other.example/x/{i}" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {x["page_id"]: x["verdict"] for x in urls.judge(df, rules).collect()}
+    assert all(got[i] == ("block" if "bad." in u else "allow") for i, u in enumerate(rows))
+
+
+def test_url_templates_of_deep_and_rare_segments(spark):
+    """A sixth segment tells bad pages from good ones, and so does a first one with 1 % of its host's."""
+    rules = [urls.Rule("a.example/1/2/3/4/5/win/x", "block"), urls.Rule("a.example/1/2/3/4/5/news/", "allow"), urls.Rule("b.example/win/x", "block"), urls.Rule("b.example/news/", "allow")]
+    rows = [f"http://a.example/1/2/3/4/5/{k}{i}" for k, n in (("win/x", 40), ("win/y", 4), ("news/", 60)) for i in range(n)]
+    rows += [f"http://b.example/{k}{i}" for k, n in (("win/x", 20), ("win/y", 2), ("news/", 2000)) for i in range(n)]
+    rows += [f"http://c.example/{'s/' * 300}{i}" for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {x["page_id"]: x["verdict"] for x in urls.judge(df, rules).collect()}
+    assert len(got) == len(rows) and all(got[i] == ("block" if "/win/" in u else "allow") for i, u in enumerate(rows))

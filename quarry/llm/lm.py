@@ -301,10 +301,12 @@ def score(df: DataFrame, held: Column | None = None, id_col: str = "doc_id", tex
     docs = text_column(df, id_col, text_col)
     learned = docs.where(~held)
     counts = materialize(word_counts(learned), "words")
-    stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.sum(F.when(F.col("word") == END, F.col("c")))).first()
     n, v = int(stats[0]), int(stats[1])
     floor = n + 0.5 * (v + 1)
     head, least = head_of(counts, HEAD)
+    if stats[2]:  # the end is never looked up among the rare words
+        head[END] = int(stats[2])
     frequent = sorted((w for w in head if w != END), key=lambda w: (-head[w], w))[:TARGETS]
     vocabulary = Vocabulary(head, frequent, frequent[:GROUPS])
     table = train(context_counts(learned, vocabulary))

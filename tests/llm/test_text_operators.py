@@ -215,6 +215,15 @@ def test_lm_contexts():
     assert ctx[1] == before * v.contexts + 0
 
 
+def test_lm_end_is_counted_outside_the_head(spark, monkeypatch):
+    """Few long documents: the end is rarer than every word of the head."""
+    df = spark.createDataFrame([(i, "aa bb cc dd " * 50) for i in range(12)], "doc_id bigint, text string")
+    row = lambda: sorted((x["doc_id"], x["n_known"], round(x["base_score"], 9)) for x in lm.score(df).collect())
+    want = row()
+    monkeypatch.setattr(lm, "HEAD", 4)
+    assert row() == want and want[0][1] == 201
+
+
 # --- 8 toxicity ------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import asof, features
 from quarry.plans.spec import Window
+from quarry.sources.store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,15 +101,32 @@ def register(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+SOURCES = ("lineitem", "supplier", "nation", "region")
+
+
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Register rows with their features, priced as of the first day on or after the month's start."""
+    """Register rows with their features, priced as of the first day on or after the month's start, with
+    returns relative to the market's and to the sector's. Built once and stored by year."""
+    paths = [f"{sf}/{t}.parquet" for t in SOURCES]
+    return stored(spark, "panel", paths, lambda: _panel(spark, sf).withColumn("snapshot_year", F.year("snapshot_date")), "snapshot_year").drop("snapshot_year")
+
+
+def _panel(spark: SparkSession, sf: str) -> DataFrame:
     rows = features.observation_features(register(spark, sf))
     h = history(spark, sf)
     # what no query of the panel asks for is not carried along, and so never computed
     unused = {"symbol", "date", "price_volatility_60d", "min_return_5d_date", "max_return_5d_date"}
     values = [c for c in h.columns if c not in unused]
     rows = asof.forward(rows.withColumn("_s", F.col("security_key")), h.withColumnRenamed("symbol", "_s").withColumnRenamed("date", "price_date"), "_s", "snapshot_date", "price_date", values).drop("_s")
-    return rows.join(sectors(spark, sf).withColumnRenamed("symbol", "security_key"), "security_key", "left")
+    rows = rows.join(sectors(spark, sf).withColumnRenamed("symbol", "security_key"), "security_key", "left")
+    of_sector = features.sector_returns(h.join(sectors(spark, sf), "symbol"), "sector", "date").withColumnRenamed("date", "price_date")
+    of_market = features.horizon_returns(market(spark, sf), [], "market_date", "market_close", features.MOMENTUM, "market").drop("market_close").withColumnRenamed("market_date", "price_date")
+    rows = features.relative_returns(rows, of_market, of_sector, "price_date", "sector")
+    matched = F.col("price_date").isNotNull()
+    return rows.withColumns({
+        "price_match_available": matched, "days_from_fi_to_price": F.datediff("price_date", "snapshot_date"), "close_on_signal_date": F.col("close"),
+        "yahoo_symbol": F.when(matched, F.col("security_key")), "price_mapping_source": F.when(matched, "isin"),
+    })
 
 
 REGISTER = "register AS (SELECT l_suppkey AS security_key, CAST(date_trunc('month', l_shipdate) AS DATE) AS snapshot_date, round(100 * avg(l_tax), 6) AS short_interest_pct, count(DISTINCT l_partkey) AS active_holders, round(100 * max(l_tax), 6) AS max_individual_position_pct, round(100 * max(l_discount), 6) AS max_position_share_pct FROM lineitem GROUP BY 1, 2)"
@@ -121,6 +139,16 @@ OBSERVED = (
 )
 PANEL = HISTORY + ", " + OBSERVED + ", " + SECTORS + ", matched AS (SELECT o.*, h.date AS price_date, h.* EXCLUDE (symbol, date) FROM observed o ASOF LEFT JOIN history h ON o.security_key = h.symbol AND o.snapshot_date <= h.date), panel AS (SELECT m.*, s.sector FROM matched m LEFT JOIN sectors s ON m.security_key = s.symbol)"
 
+_MARKET_RETURNS = "market_returns AS (SELECT market_date, " + ", ".join(f"market_close / lag(market_close, {n}) OVER (ORDER BY market_date) - 1 AS market_return_{n}d" for n in features.MOMENTUM) + " FROM market)"
+_SECTOR_RETURNS = "sector_returns AS (SELECT sector, date, " + ", ".join(f"median(price_return_{n}d) AS sector_return_{n}d" for n in features.MOMENTUM) + " FROM history JOIN sectors USING (symbol) GROUP BY 1, 2)"
+#: The panel with relative returns.
+RELATIVE = (
+    PANEL
+    + f", {MARKET}, {_MARKET_RETURNS}, {_SECTOR_RETURNS}, relative AS (SELECT p.*, "
+    + ", ".join(f"price_return_{n}d - {k}_return_{n}d AS price_return_{n}d_relative_{k}" for k in ("market", "sector") for n in features.MOMENTUM)
+    + " FROM panel p LEFT JOIN market_returns m ON p.price_date = m.market_date LEFT JOIN sector_returns s ON p.sector = s.sector AND p.price_date = s.date)"
+)
+
 
 def rank_sql(x: str, by: str = "snapshot_date") -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {by}, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {by}) END"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from datetime import date, datetime, time, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,73 @@ def spreadsheet(spark: SparkSession, path: str, groups: Iterable[Iterable[str]],
     return spark.createDataFrame(body.where(body.notna(), None))
 
 
+def last_usable_day(now: datetime, zone: str = "Europe/Stockholm", closed: time = time(18)) -> date:
+    """The last calendar day whose closing prices may be used: today from `closed` on, else yesterday.
+    now must know its zone."""
+    local = now.astimezone(ZoneInfo(zone))
+    return local.date() if local.time() >= closed else local.date() - timedelta(days=1)
+
+
+def html_tables(spark: SparkSession, pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """Cells of the tables in HTML pages: key, table, row and cells, numbered from 0. Markup is parsed where
+    the pages are; broken markup gives what can be read."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self) -> None:
+            super().__init__(convert_charrefs=True)
+            self.found: list[tuple[int, int, list[str]]] = []
+            self.table, self.row, self.cells, self.text, self.open = -1, -1, [], [], False
+
+        def handle_starttag(self, tag: str, attrs: list) -> None:
+            if tag == "table":
+                self.end_row()
+                self.table, self.row = self.table + 1, -1
+            elif tag == "tr":
+                self.end_row()
+                self.row += 1
+            elif tag in ("td", "th"):
+                self.end_cell()
+                self.open = True
+
+        def handle_endtag(self, tag: str) -> None:
+            if tag in ("td", "th"):
+                self.end_cell()
+            elif tag in ("tr", "table"):
+                self.end_row()
+
+        def handle_data(self, data: str) -> None:
+            if self.open:
+                self.text.append(data)
+
+        def end_cell(self) -> None:
+            if self.open:
+                self.cells.append(" ".join("".join(self.text).split()))
+            self.text, self.open = [], False
+
+        def end_row(self) -> None:
+            self.end_cell()
+            if self.cells and self.table >= 0:
+                self.found.append((self.table, max(self.row, 0), self.cells))
+            self.cells = []
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for k, page in zip(pdf["k"], pdf["h"], strict=True):
+                reader = Reader()
+                reader.feed(page or "")
+                reader.close()
+                reader.end_row()
+                rows += [(k, *f) for f in reader.found]
+            yield pd.DataFrame(rows, columns=[key, "table", "row", "cells"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"{key} {kind}, table int, row int, cells array<string>")
+
+
 def download_intervals(have: DataFrame, wanted: DataFrame, key: str, date: str) -> DataFrame:
     """What is missing per key: wanted has key, start and end; the parts before and after what is there.
     A key without rows lacks all. Downloading itself is left to the caller."""

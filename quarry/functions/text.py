@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Legal forms that do not tell companies apart. Fixed values.
-LEGAL_FORMS = ("AB", "PUBL", "ASA", "OYJ", "PLC", "INC", "LTD", "CORP", "SA", "NV", "AG", "SE")
-_ACCENTS = "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÇÑ", "AAAAAAEEEEIIIIOOOOOUUUUYCN"
+#: Words of legal form that do not tell companies apart. Fixed values.
+LEGAL_FORMS = ("ab", "aktiebolag", "publ", "plc", "inc", "corp", "corporation", "ltd", "limited", "sa", "se", "nv", "ag", "holding", "holdings", "group")
 
 
 def normal(c: Column) -> Column:
@@ -29,10 +31,36 @@ def code(c: Column) -> Column:
 
 
 def company(c: Column) -> Column:
-    """A name without accents, punctuation and legal forms."""
-    plain = F.regexp_replace(F.translate(F.upper(c), *_ACCENTS), "[^A-Z0-9]+", " ")
-    bare = F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), " (?:" + "|".join(LEGAL_FORMS) + ")(?= )", "")
-    return F.trim(F.regexp_replace(bare, " +", " "))
+    """A name in lower case without accents, words of legal form and punctuation. Letters are decomposed
+    for compatibility, so that ligatures and wide forms are plain letters; signs that no base letter
+    has, such as ø, part words."""
+    plain = F.lower(plain_letters(c))
+    bare = F.regexp_replace(plain, r"(?U)\b(?:" + "|".join(LEGAL_FORMS) + r")\b", " ")
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
+
+
+@cache
+def _bases() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters and digits whose compatibility decomposition, without marks, is plain: one sign or more."""
+    one, more = {}, {}
+    for n in range(0x80, 0x10000):
+        c = chr(n)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if base != c and base.isascii() and base.isalnum():
+            if len(base) == 1:
+                one[c] = base
+            elif unicodedata.category(c)[0] == "L":
+                more[c] = base
+    return one, more
+
+
+def plain_letters(c: Column) -> Column:
+    """Letters and digits without their accents, wide and ornate forms and ligatures as plain ones."""
+    one, more = _bases()
+    out = F.translate(F.regexp_replace(c, r"\p{M}+", ""), "".join(one), "".join(one.values()))
+    for sign, letters in more.items():
+        out = F.replace(out, F.lit(sign), F.lit(letters))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), out).otherwise(c)
 
 
 def security_key(isin: Column, issuer: Column) -> Column:

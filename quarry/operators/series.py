@@ -63,11 +63,12 @@ def easter(year: int) -> date:
 
 
 def swedish_holidays(year: int) -> set[date]:
-    """Days on which the exchange in Stockholm rests, weekends aside."""
+    """The general holidays of Sweden. Those that always fall on a weekend are among them."""
+    saturday = lambda d: d + timedelta((5 - d.weekday()) % 7)
     e = easter(year)
-    fixed = [(1, 1), (1, 6), (5, 1), (6, 6), (12, 24), (12, 25), (12, 26), (12, 31)]
-    midsummer = next(date(year, 6, d) for d in range(19, 26) if date(year, 6, d).weekday() == 4)
-    return {date(year, m, d) for m, d in fixed} | {e - timedelta(2), e + timedelta(1), e + timedelta(39), midsummer}
+    fixed = [(1, 1), (1, 6), (5, 1), (6, 6), (12, 25), (12, 26)]
+    moving = [e + timedelta(n) for n in (-2, -1, 0, 1, 39)] + [saturday(date(year, 6, 20)), saturday(date(year, 10, 31))]
+    return {date(year, m, d) for m, d in fixed} | set(moving)
 
 
 def business_days(spark: SparkSession, start: date, end: date) -> DataFrame:

@@ -71,17 +71,11 @@ TARGETS: dict[str, Target] = {
 SIGNALS: dict[str, str] = {
     **{f"price_momentum_{n}d": f"price_return_{n}d" for n in (5, 20, 60)},
     "price_volatility_20d": "price_volatility_20d",
-    "distance_from_20d_high": "price_distance_from_20d_high",
-    "distance_from_60d_high": "price_distance_from_60d_high",
+    **{f"distance_from_{n}d_high": f"price_distance_from_{n}d_high" for n in (20, 60)},
     "short_interest_level": "short_interest_pct",
     "short_interest_change": "short_interest_delta_pp",
-    "short_interest_relative_change": "short_interest_relative_change",
     "short_interest_acceleration": "short_interest_acceleration_pp",
-    "active_holders": "active_holders",
-    "holder_change": "holder_delta",
-    "concentration_change": "concentration_delta_pp",
-    "relative_to_market_20d": "price_vs_market_20d",
-    "relative_to_sector_20d": "price_vs_sector_20d",
+    **{f"price_return_{n}d_relative_{k}": f"price_return_{n}d_relative_{k}" for k in ("market", "sector") for n in (5, 20, 60)},
 }
 
 

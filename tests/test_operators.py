@@ -47,7 +47,7 @@ def test_text_keys(spark):
     assert one(spark, text.security_key(F.lit(" "), F.lit("Åb & Co."))) == "ISSUER:ÅB CO"
     assert one(spark, text.squeezed(F.lit("  a.b   c "))) == "A.B C"
     assert one(spark, text.code(F.lit(" se 00 1"))) == "SE001"
-    assert one(spark, text.company(F.lit("Éxample Publ AB"))) == "EXAMPLE"
+    assert one(spark, text.company(F.lit("Éxample Publ AB"))) == "example"
 
 
 # --- ranks -----------------------------------------------------------------------------------
@@ -205,7 +205,7 @@ def test_greedy_spacing(spark):
 
 def test_holidays(spark):
     assert series.easter(2024) == date(2024, 3, 31) and series.easter(2000) == date(2000, 4, 23)
-    assert {date(2024, 3, 29), date(2024, 4, 1), date(2024, 5, 9), date(2024, 6, 21)} <= series.swedish_holidays(2024)
+    assert {date(2024, 3, 29), date(2024, 4, 1), date(2024, 5, 9), date(2024, 6, 22), date(2024, 11, 2)} <= series.swedish_holidays(2024)
     days = [r["day"] for r in series.business_days(spark, date(2023, 12, 22), date(2024, 1, 3)).orderBy("day").collect()]
     assert days == [date(2023, 12, d) for d in (22, 27, 28, 29)] + [date(2024, 1, 2), date(2024, 1, 3)]
 

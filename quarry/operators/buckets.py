@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import ranks, stats
 from quarry.functions.parse import finite
+from quarry.operators import order
 
 
 def quantile_tail(df: DataFrame, x: str, q: float, side: str, by: list[str], name: str) -> DataFrame:
@@ -18,8 +19,7 @@ def quantile_tail(df: DataFrame, x: str, q: float, side: str, by: list[str], nam
 
 def learned_edges(pretest: DataFrame, x: str, quantiles: list[float]) -> list[float]:
     """Quantiles of a column over rows before the test: a few numbers, for literals."""
-    row = pretest.agg(F.percentile(finite(F.col(x)), F.array(*[F.lit(q) for q in quantiles]))).first()
-    return list(row[0] or [])
+    return order.quantiles(pretest, x, quantiles)
 
 
 def frozen_tail(pretest: DataFrame, test: DataFrame, x: str, fraction: float, name: str) -> DataFrame:
@@ -69,18 +69,6 @@ def surface(rows: DataFrame, a: str, b: str, y: str) -> DataFrame:
     return cells.withColumn("rate", rate).withColumn("effect", rate - stats.ratio(F.sum("events").over(w), F.sum("n").over(w)))
 
 
-def top_fractions(rows: DataFrame, score: str, tie: list[str], fractions: list[float], value: str) -> DataFrame:
-    """Number and mean value of the best ceil(n * f), at least one, for each f.
-
-    Only the largest of the tops is ordered, by a limit; nothing ranks all rows in one task."""
-    n = rows.count()
-    take = {f: max(1, -(-n * round(f * 10**6) // 10**6)) for f in fractions}
-    order = [F.col(score).desc(), *tie]
-    top = rows.orderBy(*order).limit(max(take.values())).withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    parts = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(k).alias("k")) for f, k in take.items()]))
-    return top.withColumn("_p", parts).where(F.col("_r") <= F.col("_p.k")).groupBy(F.col("_p.fraction").alias("fraction")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-
-
 def drift(rows: DataFrame, x: str, before: Column) -> DataFrame:
     """Means before and after, and their distance in standard deviations of the former."""
     v, a, b = F.col(x), before, ~before
@@ -103,10 +91,18 @@ def regression(rows: DataFrame, y: str, p: str) -> DataFrame:
     return rows.where(e.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def average_precision(rows: DataFrame, y: str, score: str) -> DataFrame:
-    """Mean precision at each positive, from counts at distinct scores. The running sums are over the
-    distinct scores: bin the score first where they are too many for one task."""
-    at = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(stats.events(F.col(y)).alias("_p"), F.count(F.lit(1)).alias("_q"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumn("_x", F.sum("_p").over(w) / F.sum("_q").over(w) * F.col("_p"))
-    return at.agg(stats.ratio(F.sum("_x"), F.sum("_p")).alias("average_precision"))
+def change_class(c: Column, extreme: Column | float) -> Column:
+    """negative, zero, positive_normal, and positive_extreme from a threshold on."""
+    return F.when(c < 0, "negative").when(c == 0, "zero").when(c >= extreme, "positive_extreme").when(c > 0, "positive_normal")
+
+
+#: Bands of changes in points, closed above: label and upper end. Fixed values.
+GRADIENT = (("le_0", 0.0), ("0_0.25", 0.25), ("0.25_0.5", 0.5), ("0.5_1", 1.0), ("1_2", 2.0), ("gt_2", None))
+
+
+def gradient(c: Column) -> Column:
+    """The band of a change."""
+    out = F.when(c.isNull(), None)
+    for label, end in GRADIENT:
+        out = out.otherwise(label) if end is None else out.when(c <= end, label)
+    return out

@@ -64,4 +64,22 @@ def overlaps(periods: DataFrame, name: str = "name", start: str = "start", end:
     """Pairs of named periods that share a day. Periods are a registry of evaluations, a few rows."""
     a = periods.select(F.col(name).alias("left"), F.col(start).alias("_a"), F.col(end).alias("_b"))
     b = periods.select(F.col(name).alias("right"), F.col(start).alias("_c"), F.col(end).alias("_d"))
-    return a.join(F.broadcast(b), (F.col("left") < F.col("right")) & (F.col("_a") <= F.col("_d")) & (F.col("_c") <= F.col("_b"))).select("left", "right")
+    return a.join(b, (F.col("left") < F.col("right")) & (F.col("_a") <= F.col("_d")) & (F.col("_c") <= F.col("_b"))).select("left", "right")
+
+
+def event_grid(rows: DataFrame, risk: str, change: str, returns: dict[int, str], events: list[float], changes: list[float], risks: list[float]) -> DataFrame:
+    """horizon, event_threshold, si_cut, risk_cut: rows at or above both cuts (n) and how many of them fall
+    by the threshold or more (events), with the same of all rows that have the return (base_*).
+
+    Every threshold that a value passes is known from one number, how many it passes, so rows are summed
+    up by these numbers first; the cells of the grid are made from the sums."""
+    passes = lambda c, cuts: sum((F.coalesce(c, F.lit(False)).cast("int") for c in (F.col(c) >= v for v in sorted(cuts))), F.lit(0))
+    falls = sum((F.coalesce(F.col("_x") <= e, F.lit(False)).cast("int") for e in sorted(events, reverse=True)), F.lit(0))
+    every = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("x")) for h, c in returns.items()]))
+    long = rows.select(passes(risk, risks).alias("_r"), passes(change, changes).alias("_c"), every.alias("_h")).select("_r", "_c", F.col("_h.horizon").alias("horizon"), F.col("_h.x").alias("_x"))
+    sums = long.where("_x is not null").groupBy("horizon", "_r", "_c", falls.alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
+    grid = F.array(*[F.struct(F.lit(e).alias("event_threshold"), F.lit(i + 1).alias("f"), F.lit(s).alias("si_cut"), F.lit(j + 1).alias("c"), F.lit(q).alias("risk_cut"), F.lit(k + 1).alias("r")) for i, e in enumerate(sorted(events, reverse=True)) for j, s in enumerate(sorted(changes)) for k, q in enumerate(sorted(risks))])
+    cells = sums.withColumn("_g", F.explode(grid)).select("*", "_g.*")
+    inside, hit = (F.col("_r") >= F.col("r")) & (F.col("_c") >= F.col("c")), F.col("_f") >= F.col("f")
+    total = lambda m: F.coalesce(F.sum(F.when(m, F.col("_n"))), F.lit(0))
+    return cells.groupBy("horizon", "event_threshold", "si_cut", "risk_cut").agg(total(inside).alias("n"), total(inside & hit).alias("events"), F.sum("_n").alias("base_n"), total(hit).alias("base_events"))

@@ -60,7 +60,8 @@ def strategy(df: DataFrame, every: int = 5, fraction: float = 0.2, cap: float =
     Universe, selection and weights are windows over one partition a period; turnover and returns are
     one aggregate over the holdings."""
     by = by or []
-    rows = clean(df).join(F.broadcast(rebalance_dates(df, every)), "date")
+    df = clean(df)
+    rows = df.join(F.broadcast(rebalance_dates(df, every)), "date")
     w = Window.partitionBy(*by, "period")
     take = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(w) * fraction))
     rows = rows.withColumns({"benchmark": F.avg("target_return").over(w), "_k": take, "_r": F.row_number().over(w.orderBy(F.col("score").desc(), "security"))})
@@ -79,7 +80,7 @@ def compounded(r: str) -> Column:
 
 
 def drawdown(df: DataFrame, r: str, period: str = "period", by: list[str] | None = None) -> DataFrame:
-    """The largest loss from a running maximum of wealth, which starts at 1."""
+    """compound, and max_drawdown: the largest loss from a running maximum of wealth, which starts at 1."""
     by = by or []
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(period)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -87,7 +88,7 @@ def drawdown(df: DataFrame, r: str, period: str = "period", by: list[str] | None
     wealth = F.exp(F.sum(F.log1p(safe)).over(run))
     rows = df.withColumn("_w", F.when(F.min(r).over(run) <= -1, F.lit(0.0)).otherwise(wealth))
     rows = rows.withColumn("_d", F.col("_w") / F.greatest(F.lit(1.0), F.max("_w").over(run)) - 1)
-    return rows.groupBy(*by).agg(F.least(F.lit(0.0), F.min("_d")).alias("max_drawdown"))
+    return rows.groupBy(*by).agg(compounded(r).alias("compound"), F.least(F.lit(0.0), F.min("_d")).alias("max_drawdown"))
 
 
 def selection_counts(held: DataFrame, key: str = "security") -> DataFrame:
@@ -106,8 +107,9 @@ def concentration(counts: DataFrame, n: str = "selections", key: str = "security
 def excluding(df: DataFrame, sets: DataFrame, key: str = "security", name: str = "excluded") -> DataFrame:
     """One copy of df for each named set of excluded keys, without them. sets: name, key; the names
     are a parameter list, so few."""
-    names = F.broadcast(sets.select(name).distinct())
-    return df.crossJoin(names).join(F.broadcast(sets.where(F.col(key).isNotNull())), [name, key], "left_anti")
+    names = [r[0] for r in sets.select(name).distinct().collect()]
+    copies = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in sorted(names)])))
+    return copies.join(sets.where(F.col(key).isNotNull()), [name, key], "left_anti")
 
 
 def random_exclusions(securities: list[str], shares: tuple[float, ...] = (0.1, 0.2, 0.3), seeds: int = 5) -> list[tuple[str, str]]:
@@ -121,3 +123,12 @@ def random_exclusions(securities: list[str], shares: tuple[float, ...] = (0.1, 0
             drop = rng.choice(sorted(securities), size=int(len(securities) * share), replace=False)
             out += [(f"random_{share:g}_{seed}", s) for s in drop]
     return out
+
+
+def thinned(df: DataFrame, shares: tuple[float, ...] = (0.1, 0.2, 0.3), seeds: int = 5, key: str = "security") -> DataFrame:
+    """One copy of df for each share and seed, without that share of the securities. Which ones go is a
+    hash of a number key and the seed, so no list of securities is needed anywhere."""
+    draws = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(k).alias("seed")) for s in shares for k in range(seeds)]))
+    rows = df.withColumn("_d", draws).select("*", "_d.*").drop("_d")
+    spot = ((F.col(key).cast("bigint") * 7919 + F.col("seed") * 104729 + 12345) * 31337) % 10007
+    return rows.where(spot >= F.col("share") * 10007)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import stats
+from quarry.operators import order
 from quarry.operators.qc import without_all_null
 from quarry.plans.spec import Window
 
@@ -70,10 +71,9 @@ def predict(fitted: PipelineModel, rows: DataFrame, features: Sequence[str], mod
 
 def metrics(scored: DataFrame) -> dict[str, float | int | None]:
     """n, AUC, log-loss and Brier score."""
-    rows = scored.where(F.col("y").isNotNull()).withColumn("g", F.lit(1))
+    rows = scored.where(F.col("y").isNotNull())
     n, ll, b = rows.agg(F.count(F.lit(1)), stats.log_loss(F.col("y"), F.col("score"), 1e-6), stats.brier(F.col("y"), F.col("score"))).first()
-    auc = stats.auc(rows, "y", "score", ["g"]).first()
-    return {"n": n, "auc": auc["auc"] if auc else None, "log_loss": ll, "brier": b}
+    return {"n": n, "auc": order.auc(rows, "y", "score").first()["auc"], "log_loss": ll, "brier": b}
 
 
 def walk_forward(panel: DataFrame, features: Sequence[str], windows: Sequence[Window], models: Sequence[Model], date: str = "snapshot_date", least: int = 100) -> list[dict[str, Any]]:

@@ -110,6 +110,18 @@ def require_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     return df
 
 
+def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of two tables in neither of which a key repeats."""
+    return require_unique(a, keys, "left side").join(require_unique(b, keys, "right side"), keys)
+
+
+def reattached(rows: DataFrame, keys: list[str], reference: Column, value: str, name: str) -> DataFrame:
+    """rows with their value's distance from that of the reference row with the same keys; null without
+    one. Two references of one key are an error."""
+    base = require_unique(rows.where(reference), keys, "reference rows").select(*keys, F.col(value).alias("_base"))
+    return rows.join(base, keys, "left").withColumn(name, F.col(value) - F.col("_base")).drop("_base")
+
+
 def require_columns(df: DataFrame, names: set[str], what: str) -> DataFrame:
     missing = sorted(names - set(df.columns))
     if missing:
@@ -120,7 +132,7 @@ def require_columns(df: DataFrame, names: set[str], what: str) -> DataFrame:
 def relative_returns(df: DataFrame, market: DataFrame, sectors: DataFrame, date: str, sector: str, horizons: tuple[int, ...] = MOMENTUM) -> DataFrame:
     """Left joins, many to one; own return less the market's and the sector's."""
     out = df.join(require_unique(market, [date], "market"), date, "left").join(require_unique(sectors, [date, sector], "sectors"), [date, sector], "left")
-    return out.withColumns({f"price_vs_{k}_{n}d": F.col(f"price_return_{n}d") - F.col(f"{k}_return_{n}d") for k in ("market", "sector") for n in horizons})
+    return out.withColumns({f"price_return_{n}d_relative_{k}": F.col(f"price_return_{n}d") - F.col(f"{k}_return_{n}d") for k in ("market", "sector") for n in horizons})
 
 
 def leave_one_out(x: str, by: list[str]) -> Column:

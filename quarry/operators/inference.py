@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import stats
+
 
 def stable_seed(*parts: object) -> int:
     """A seed from any values, the same on every machine."""
@@ -66,19 +68,100 @@ def joint_cells(cells: dict[tuple[int, int], tuple[int, int]], seed: int, iterat
     return p[:, 0] - p[:, 1] - p[:, 2] + p[:, 3]
 
 
-def grouped_bootstrap(df: DataFrame, by: list[str], value: str, iterations: int = 2000, least: int = 20, seed: str = "bootstrap") -> DataFrame:
-    """n, mean and interval of a value in each group, one task a group. A group's values must fit in a
-    task; groups are cross-sections of research samples, and counts are used where they suffice."""
+def nested_from_counts(inside: tuple[int, int], whole: tuple[int, int], seed: int, iterations: int = 2000) -> tuple[float, float] | tuple[None, None]:
+    """Interval of the rate inside a part less the rate of the whole, from (events, n) of both: the whole is
+    resampled, so its rows are one multinomial draw. Draws without a row inside are left out."""
+    (k, n), (kw, nw) = inside, whole
+    if not n or not nw:
+        return None, None
+    p = np.array([k, n - k, kw - k, nw - n - (kw - k)], dtype=float) / nw
+    draw = np.random.default_rng(seed).multinomial(nw, p, iterations).astype(float)
+    size = draw[:, 0] + draw[:, 1]
+    ok = size > 0
+    return _interval(draw[ok, 0] / size[ok] - (draw[ok, 0] + draw[ok, 2]) / nw)
+
+
+def interval_of(cells: dict[str, tuple[int, int]], nested: bool, seed: int, iterations: int) -> tuple[float | None, float | None]:
+    """The interval of a comparison: a part within a whole, a difference of two, an additive interaction
+    (p11, p10, p01, p00), or a difference of differences (four cells)."""
+    values = list(cells.values())
+    if "p11" in cells:
+        if any(n == 0 for _, n in values):
+            return None, None
+        draws = joint_cells({(int(k[1]), int(k[2])): v for k, v in cells.items()}, seed, iterations)
+        return _interval(draws) if len(draws) else (None, None)
+    if nested:
+        return nested_from_counts(values[0], values[1], seed, iterations)
+    return rates_from_counts(values, [1, -1] if len(values) == 2 else [1, -1, -1, 1], seed, iterations)
+
+
+def with_intervals(rows: DataFrame, names: list[str], keys: list[str], nested: bool, iterations: int = 2000) -> DataFrame:
+    """Rows of comparisons with ci_low and ci_high, from the counts <name>_events and <name>_n alone. keys
+    make the seed of each row."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            got = [interval_of({n: (int(r[f"{n}_events"] or 0), int(r[f"{n}_n"] or 0)) for n in names}, nested, stable_seed(*[r[k] for k in keys]), iterations) for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records")]
+            yield pdf.assign(ci_low=[x for x, _ in got], ci_high=[y for _, y in got])
+
+    return rows.mapInPandas(run, schema)
+
+
+#: The distribution function of a Poisson variable with mean 1, as far as 2**-64 matters.
+_POISSON = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(20)])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(dtype=float)
-        key = [pdf[c].iloc[0] for c in by]
-        low, high = bootstrap_mean(x, stable_seed(seed, *key), iterations, least)
-        x = x[np.isfinite(x)]
-        return pd.DataFrame([[*key, len(x), float(x.mean()) if len(x) else None, low, high]], columns=[*by, "n", "mean", "ci_low", "ci_high"])
 
+def appearances(keys: np.ndarray, draws: int) -> np.ndarray:
+    """How often each row appears in each draw: Poisson counts from a hash of the row's key and the draw,
+    the same on any layout of the rows."""
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    return np.searchsorted(_POISSON, u, side="right")
+
+
+def grouped_bootstrap(df: DataFrame, by: list[str], value: str, key: list[str], iterations: int = 2000, least: int = 20, seed: str = "bootstrap") -> DataFrame:
+    """n, mean and percentile interval of the mean of a value in each group; none below `least` values.
+
+    A row's appearances in a draw are a Poisson count, which is resampling without fixing the size of
+    the draw. Tasks add their rows up to two numbers a group and draw, so a group may have any size. key
+    tells rows apart."""
+    spark_seed = stable_seed(seed)
+    rows = df.select(*by, F.col(value).cast("double").alias("_x"), F.xxhash64(F.lit(spark_seed), *key).alias("_k")).where(F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") < float("inf")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema)
-    return df.select(*by, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(one, f"{kinds}, n bigint, mean double, ci_low double, ci_high double")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        held: dict[tuple, np.ndarray] = {}
+
+        def told():  # noqa: ANN202
+            out = [pd.DataFrame({**dict(zip(by, g, strict=True)), "draw": np.arange(iterations), "_s": v[0], "_w": v[1]}) for g, v in held.items()]
+            held.clear()
+            return pd.concat(out)
+
+        for pdf in batches:
+            for g, part in pdf.groupby(by, dropna=False):
+                g = tuple(None if pd.isna(v) else v for v in (g if isinstance(g, tuple) else (g,)))
+                sums = held.setdefault(g, np.zeros((2, iterations)))
+                for s in range(0, len(part), 500):
+                    x = part["_x"].to_numpy()[s : s + 500]
+                    w = appearances(part["_k"].to_numpy()[s : s + 500], iterations)
+                    sums += np.stack([x @ w, w.sum(0)])
+                if len(held) >= 256:
+                    yield told()
+        if held:
+            yield told()
+
+    drawn = rows.mapInPandas(run, f"{kinds}, draw bigint, _s double, _w double").groupBy(*by, "draw").agg(stats.ratio(F.sum("_s"), F.sum("_w")).alias("_m"))
+    q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975)))
+    ends = drawn.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(q.alias("_q"))
+    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"))
+    out = size.join(ends, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+    return out.select(*by, "n", "mean", *[F.when(F.col("n") >= least, F.element_at("_q", i)).alias(c) for i, c in ((1, "ci_low"), (2, "ci_high"))])
 
 
 def permutations(spark: SparkSession, draws: int, statistic: Callable[[np.random.Generator], float], seed: int = 42) -> DataFrame:

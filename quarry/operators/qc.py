@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.parse import finite, positive
+
 SEVERITY = {"PASS": 0, "WARN": 1, "FAIL": 2}
 
 
@@ -28,6 +30,72 @@ def duplicates(df: DataFrame, keys: list[str], name: str = "duplicates") -> Data
     return check(df.groupBy(*keys).count(), name, F.count_if(F.col("count") > 1))
 
 
+#: Columns that a panel must have, and numbers in it that must be finite. Fixed values.
+REQUIRED = ("snapshot_date", "security_key", "yahoo_symbol", "price_mapping_source", "price_date", "close_on_signal_date", "days_from_fi_to_price", "price_match_available", "short_interest_pct", "active_holders", "max_individual_position_pct", "max_position_share_pct", *(f"forward_return_{n}d" for n in (1, 3, 5, 10, 20, 60)))
+NUMBERS = ("short_interest_pct", "active_holders", "max_individual_position_pct", "max_position_share_pct", "short_interest_delta_pp", "short_interest_relative_change", "short_interest_acceleration_pp", "holder_delta", "max_position_delta_pp", "concentration_delta_pp", "fi_observation_gap_days")
+LOOKS_AHEAD = ("future_", "next_", "forward_price")
+
+
+def panel_checks(panel: DataFrame, prices: DataFrame, mapping: DataFrame, symbol: str = "symbol", thresholds: tuple[int, ...] = (1, 2, 3, 5)) -> DataFrame:
+    """The fifteen checks of a feature panel and their worst status. prices: symbol, date, close;
+    mapping: symbol.
+
+    What rows say of themselves is one aggregate; two checks group by a key, three join with prices or
+    the mapping, and two look at the schema alone."""
+    spark = panel.sparkSession
+    missing = sorted(set(REQUIRED) - set(panel.columns))
+    ahead = sorted(c for c in panel.columns if any(p in c.lower() for p in LOOKS_AHEAD) and not c.startswith("forward_return_"))
+    told = spark.createDataFrame([("required_columns", len(missing), "FAIL"), ("price_leakage", len(ahead), "FAIL")], "name string, violations bigint, severity string")
+    if missing:
+        return worst([_statuses(told)])
+    matched = F.coalesce("price_match_available", F.lit(False))
+    bad = lambda c: F.col(c).isNotNull() & finite(F.col(c).cast("double")).isNull()
+    any_of = lambda conditions: reduce(lambda a, b: a | b, conditions)
+    now, before = F.col("short_interest_pct"), F.col("previous_short_interest_pct")
+    both = now.isNotNull() & before.isNotNull()
+    wrong = [
+        both & ((F.col(f"above_{t}_0pct") != (now >= t)) | (F.col(f"entered_above_{t}_0pct") != ((now >= t) & (before < t))) | (F.col(f"exited_below_{t}_0pct") != ((now < t) & (before >= t))))
+        for t in thresholds
+    ]
+    returns = [f"forward_return_{n}d" for n in (1, 3, 5, 10, 20, 60)]
+    of_rows = {
+        "date_integrity": (F.count_if(F.col("snapshot_date").isNull() | matched & (F.col("price_date").isNull() | (F.col("price_date") < F.col("snapshot_date")) | (F.col("days_from_fi_to_price") < 0))), "FAIL"),
+        "match_distances": (F.when(F.count_if(matched) == 0, 1).otherwise(0), "WARN"),
+        "mapping_sources": (F.count_if(F.coalesce("price_mapping_source", F.lit("unmatched")).isin("isin", "issuer", "entity", "unmatched") == F.lit(False)), "FAIL"),
+        "price_values": (F.count_if(matched & (bad("close_on_signal_date") | ~F.coalesce(F.col("close_on_signal_date") > 0, F.lit(False)))), "FAIL"),
+        "forward_returns": (F.count_if(any_of([bad(c) | F.coalesce(F.col(c) <= -1, F.lit(False)) for c in returns])), "FAIL"),
+        "unmatched_rows": (F.count_if(F.col("price_date").isNull()), "WARN"),
+        "numeric_values": (F.count_if(any_of([bad(c) for c in NUMBERS if c in panel.columns])), "FAIL"),
+        "threshold_logic": (F.count_if(any_of(wrong)), "FAIL"),
+    }
+    cells = F.array(*[F.struct(F.lit(k).alias("name"), n.cast("bigint").alias("violations"), F.lit(s).alias("severity")) for k, (n, s) in of_rows.items()])
+    own = panel.agg(cells.alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
+    known = panel.where(F.col("yahoo_symbol").isNotNull())
+    count = lambda df, name, severity: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("name"), "violations", F.lit(severity).alias("severity"))
+    first = prices.groupBy(F.col(symbol).alias("yahoo_symbol")).agg(F.min("date").alias("_first"))
+    early = known.join(first, "yahoo_symbol", "left").where(F.col("_first").isNull() | (F.col("snapshot_date") < F.col("_first")))
+    names = mapping.select(F.col(symbol).alias("yahoo_symbol")).distinct()
+    # numbered by the prices, apart from how the panel was made
+    w = Window.partitionBy(symbol).orderBy("date")
+    numbered = prices.where(positive(F.col("close"))).select(F.col(symbol).alias("yahoo_symbol"), F.col("date").alias("price_date"), "close", F.row_number().over(w).alias("_i"))
+    later = numbered.select("yahoo_symbol", (F.col("_i") - 5).alias("_i"), F.col("close").alias("_later"))
+    again = numbered.join(later, ["yahoo_symbol", "_i"], "left").select("yahoo_symbol", "price_date", (F.col("_later") / F.col("close") - 1).alias("_again"))
+    apart = recomputed(known.where("price_date is not null"), "forward_return_5d", again, ["yahoo_symbol", "price_date"], "_again")
+    parts = [
+        told, own,
+        count(panel.groupBy("security_key", "snapshot_date").count().where("count > 1"), "duplicate_features", "FAIL"),
+        count(known.groupBy("security_key").agg(F.count_distinct("yahoo_symbol").alias("_n")).where("_n > 1"), "identity_consistency", "WARN"),
+        count(early, "first_price_problem", "WARN"),
+        count(known.select("yahoo_symbol").distinct().join(names, "yahoo_symbol", "left_anti"), "mapping_integrity", "FAIL"),
+        count(apart, "forward_return_alignment", "FAIL"),
+    ]
+    return worst([_statuses(reduce(DataFrame.unionByName, parts))])
+
+
+def _statuses(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("name").alias("check"), F.col("violations").cast("bigint").alias("violations"), F.when(F.col("violations") > 0, F.col("severity")).otherwise("PASS").alias("status"))
+
+
 def large_moves(df: DataFrame, key: str, date: str, close: str, least: float = 0.5) -> DataFrame:
     """Observations that move by `least` or more from the one before."""
     w = Window.partitionBy(key).orderBy(date)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.ranks import bands, pct_rank, tail
 from quarry.functions.stats import lift, ratio
+from quarry.operators.inference import with_intervals
 from quarry.plans.spec import SIGNALS, TARGETS, Signal, Spec, SpecError, Window, expression
 
 DATE = "snapshot_date"
@@ -136,13 +137,33 @@ def _labels(s: Signal) -> list[str]:
 def _stratified_interaction(rows: DataFrame, spec: Spec) -> DataFrame:
     """Contrasts of the third signal's effect between weak (outermost) and strong (innermost) bands: with
     the second band fixed, with the first band fixed, and jointly."""
-    cells = _by_band(rows, spec, everything=True).select("window", "split", "target", "first_band", "second_band", F.col("absolute_difference").alias("effect"))
+    counts = ("high_n", "high_events", "normal_n", "normal_events")
+    cells = _by_band(rows, spec, everything=True).select("window", "split", "target", "first_band", "second_band", F.struct(F.col("absolute_difference").alias("effect"), *counts).alias("cell"))
     one, two = (_labels(s) for s in spec.signals[:2])
     pairs = [("first_weak_vs_strong", one[0], b, one[-1], b) for b in two] + [("second_weak_vs_strong", a, two[0], a, two[-1]) for a in one] + [("joint_weak_vs_strong", one[0], two[0], one[-1], two[-1])]
-    every = cells.groupBy("window", "split", "target").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("__", "first_band", "second_band"), "effect"))).alias("effects"))
+    every = cells.groupBy("window", "split", "target").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("__", "first_band", "second_band"), "cell"))).alias("cells"))
     items = F.array(*[F.struct(F.lit(k).alias("contrast"), F.lit(f"{a}__{b}").alias("reference"), F.lit(f"{c}__{d}").alias("comparison")) for k, a, b, c, d in pairs])
-    out = every.withColumn("_p", F.explode(items)).select("window", "split", "target", "_p.*", F.try_element_at("effects", F.col("_p.reference")).alias("reference_effect"), F.try_element_at("effects", F.col("_p.comparison")).alias("comparison_effect"))
-    return out.withColumn("difference_in_differences", F.col("comparison_effect") - F.col("reference_effect"))
+    out = every.withColumn("_p", F.explode(items)).select("window", "split", "target", "_p.*", F.try_element_at("cells", F.col("_p.reference")).alias("_r"), F.try_element_at("cells", F.col("_p.comparison")).alias("_c"))
+    out = out.withColumns({"reference_effect": F.col("_r.effect"), "comparison_effect": F.col("_c.effect")}).withColumn("difference_in_differences", F.col("comparison_effect") - F.col("reference_effect"))
+    if spec.bootstrap:
+        out = out.withColumns({f"{side}_{k}": F.col(f"_{side[0]}.{k}") for side in ("comparison", "reference") for k in counts})
+    return out.drop("_r", "_c")
+
+
+#: What each analysis compares, by its columns, and whether the first is a part of the second.
+_COMPARED = {
+    "tail": (["tail", "base"], True), "interaction": (["p11", "p10", "p01", "p00"], False), "regime_comparison": (["incremental", "baseline"], True), "multi_regime_comparison": (["incremental", "baseline"], True),
+    "nested_regime_comparison": (["incremental", "baseline"], False), "conditional_regime_comparison": (["incremental", "baseline"], False), "stratified_regime_comparison": (["high", "normal"], False),
+    "stratified_interaction": (["comparison_high", "comparison_normal", "reference_high", "reference_normal"], False),
+}
+_LABELS = ("signal", "bin", "bins", "first_band", "second_band", "contrast", "reference", "comparison")
+
+
+def intervals(rows: DataFrame, spec: Spec) -> DataFrame:
+    """The rows of a specification with bootstrap intervals of what they compare, drawn from their counts."""
+    names, nested = _COMPARED[spec.analysis]
+    keys = ["window", "split", "target", *[c for c in _LABELS if c in rows.columns]]
+    return with_intervals(rows.withColumn("_id", F.lit(spec.id)), names, ["_id", *keys], nested, spec.bootstrap_iterations).drop("_id")
 
 
 _ANALYSES = {
@@ -164,15 +185,15 @@ def run_all(panel: DataFrame, specs: Sequence[Spec], windows: Sequence[Window],
         if spec.analysis not in _ANALYSES:
             raise SpecError(f"{spec.id}: {spec.analysis} is run by quarry.plans.models")
         chosen = [w for w in windows if not spec.windows or w.name in spec.windows]
-        out[spec.id] = _ANALYSES[spec.analysis](in_windows(ready, chosen, spec.splits, date), spec)
+        rows = _ANALYSES[spec.analysis](in_windows(ready, chosen, spec.splits, date), spec)
+        out[spec.id] = intervals(rows, spec) if spec.bootstrap else rows
     return out
 
 
-def derive(rows: DataFrame, formulas: dict[str, str], regimes: tuple[str, ...] = ("baseline", "incremental")) -> DataFrame:
+def derive(rows: DataFrame, formulas: dict[str, str], targets: Sequence[str], regimes: tuple[str, ...] = ("baseline", "incremental")) -> DataFrame:
     """Derived metrics of a specification's rows, by window and split. A first pass knows
     <target>_events, <target>_n and <target>_rate within each regime and gives <metric>_<regime>; a
     second one may refer to those."""
-    targets = [r[0] for r in rows.select("target").distinct().collect()]  # the specification's own list
     picked = {f"{r}__{t}_{p}": F.first(F.when(F.col("target") == t, F.col(f"{r}_{p}")), ignorenulls=True) for r in regimes for t in targets for p in ("n", "events", "rate")}
     wide = rows.groupBy("window", "split").agg(*[c.alias(k) for k, c in picked.items()])
     made: dict[str, Column] = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import parse, text
 from quarry.operators import asof, features, identity, replay, series
-from quarry.queries.base import HISTORY, LOG, MARKET, OBSERVED, PANEL, PRICES, REGISTER, SECTORS, history, market, panel, position_log, prices, query, register, rounded, sectors, table, to_4
+from quarry.queries.base import _W, HISTORY, LOG, MARKET, OBSERVED, PANEL, PRICES, REGISTER, SECTORS, history, market, panel, position_log, prices, query, register, rounded, sectors, table, to_4
 
 _H = ("price_return_5d", "price_return_20d", "price_return_60d")
 
@@ -133,6 +133,33 @@ def replay_qc_jumps(spark: SparkSession, sf: str) -> DataFrame:
     return replay.jumps(_replayed(spark, sf), ["issuer", "isin"])
 
 
+_MOVED = ", stepped AS (SELECT *, max_position_share_pct - lag(max_position_share_pct) OVER w AS change, abs(short_interest_pct - lag(short_interest_pct) OVER w) AS d FROM replayed WINDOW w AS (PARTITION BY issuer, isin ORDER BY snapshot_date))"
+
+
+@query("replay_qc_concentration", "SELECT issuer, isin, snapshot_date, round(change, 6) + 0.0 AS change FROM stepped WHERE abs(change) >= 20", _REPLAY + _MOVED)
+def replay_qc_concentration(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(replay.concentration_jumps(_replayed(spark, sf), ["issuer", "isin"]).select("issuer", "isin", "snapshot_date", "change"))
+
+
+@query("replay_qc_market_days", "SELECT snapshot_date, count(d) AS compared, count(*) FILTER (d >= 0.5) AS moved, round(count(*) FILTER (d >= 0.5) / count(d), 6) AS share FROM stepped GROUP BY 1 HAVING count(d) > 0 AND count(*) FILTER (d >= 0.5) >= 0.2 * count(d)", _REPLAY + _MOVED)
+def replay_qc_market_days(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(replay.market_days(_replayed(spark, sf), ["issuer", "isin"]))
+
+
+@query("join_reattach", "SELECT b.p_size, b.p_type, b.n, b.n - a.n AS difference FROM (SELECT p_size, p_type, count(*) AS n FROM part GROUP BY 1, 2) b LEFT JOIN (SELECT p_size, count(*) AS n FROM part WHERE p_type = 'ECONOMY' GROUP BY 1) a ON a.p_size = b.p_size")
+def join_reattach(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of a long result with its distance from its group's reference row."""
+    rows = table(spark, sf, "part").groupBy("p_size", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    return features.reattached(rows, ["p_size"], F.col("p_type") == "ECONOMY", "n", "difference")
+
+
+@query("sink_content_names", "SELECT page_id, 'page_2024-01-01_' || substr(sha256(coalesce(html, '')), 1, 12) || '.html' AS name FROM pages")
+def sink_content_names(spark: SparkSession, sf: str) -> DataFrame:
+    from quarry.sources.sinks import content_name
+
+    return table(spark, sf, "pages").select("page_id", content_name(F.coalesce("html", F.lit("")).cast("binary"), F.lit("2024-01-01"), ".html", "page").alias("name"))
+
+
 # --- 2.B features ----------------------------------------------------------------------------
 
 _OBS = ("short_interest_delta_pp", "max_position_delta_pp", "concentration_delta_pp", "short_interest_relative_change", "short_interest_acceleration_pp")
@@ -198,12 +225,12 @@ def feat_sector_returns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_sector_returns(spark, sf)[1])
 
 
-@query("feat_relative_returns", "SELECT symbol, date, " + ", ".join(f"round(price_return_{n}d - {k}_return_{n}d, 6) + 0.0 AS price_vs_{k}_{n}d" for k in ("market", "sector") for n in features.MOMENTUM) + " FROM history JOIN sectors USING (symbol) LEFT JOIN sector_returns USING (sector, date) LEFT JOIN market_returns USING (date)", _SECTOR)
+@query("feat_relative_returns", "SELECT symbol, date, " + ", ".join(f"round(price_return_{n}d - {k}_return_{n}d, 6) + 0.0 AS price_return_{n}d_relative_{k}" for k in ("market", "sector") for n in features.MOMENTUM) + " FROM history JOIN sectors USING (symbol) LEFT JOIN sector_returns USING (sector, date) LEFT JOIN market_returns USING (date)", _SECTOR)
 def feat_relative_returns(spark: SparkSession, sf: str) -> DataFrame:
     rows, by_sector = _sector_returns(spark, sf)
     m = features.horizon_returns(market(spark, sf).withColumnRenamed("market_date", "date"), [], "date", "market_close", features.MOMENTUM, "market").drop("market_close")
     out = features.relative_returns(rows, m, by_sector, "date", "sector")
-    return rounded(out.select("symbol", "date", *[c for c in out.columns if c.startswith("price_vs_")]))
+    return rounded(out.select("symbol", "date", *[c for c in out.columns if "_relative_" in c]))
 
 
 @query("feat_incremental_new_rows", "SELECT security_key, snapshot_date FROM register WHERE snapshot_date >= DATE '2000-01-01'", REGISTER)
@@ -233,9 +260,9 @@ def feat_events(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d.select("security_key", F.col("snapshot_date").alias("event_date"), "short_interest_pct", "previous_short_interest_pct", F.col("short_interest_delta_pp").alias("change_pp")))
 
 
-@query("feat_abnormal_returns", "SELECT h.symbol, h.date, round(h.forward_return_5d - m.f, 6) + 0.0 AS abnormal_return_5d FROM history h ASOF LEFT JOIN (SELECT market_date, lead(market_close, 5) OVER (ORDER BY market_date) / market_close - 1 AS f FROM market WHERE market_date <= DATE '2000-12-31') m ON h.date <= m.market_date", HISTORY + ", " + MARKET)
+@query("feat_abnormal_returns", "SELECT h.symbol, h.date, round(h.forward_return_5d - m.f, 6) + 0.0 AS abnormal_return_5d FROM history h ASOF LEFT JOIN (SELECT market_date, lead(market_close, 5) OVER (ORDER BY market_date) / market_close - 1 AS f FROM market ) m ON h.date <= m.market_date", HISTORY + ", " + MARKET)
 def feat_abnormal_returns(spark: SparkSession, sf: str) -> DataFrame:
-    m = market(spark, sf).where("market_date <= date'2000-12-31'").withColumn("index", F.lit(1))
+    m = market(spark, sf).withColumn("index", F.lit(1))
     m = features.forward_returns(m, "index", "market_date", "market_close", (5,)).withColumnRenamed("forward_return_5d", "f").select("index", "market_date", "f")
     rows = features.forward_returns(prices(spark, sf), horizons=(5,)).withColumn("index", F.lit(1))
     # one index for all rows: the series is joined by the day it applies to, not laid end to end
@@ -299,12 +326,12 @@ def join_temporal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "join_identity_resolve",
-    "SELECT o_orderkey, CASE WHEN isin_n = 1 THEN isin_e WHEN isin_n IS NULL AND issuer_n = 1 THEN issuer_e END AS entity_id, CASE WHEN isin_n = 1 THEN 'isin' WHEN isin_n > 1 THEN 'ambiguous_isin' WHEN issuer_n = 1 THEN 'issuer' WHEN issuer_n > 1 THEN 'ambiguous_issuer' ELSE 'unresolved' END AS identity_resolution FROM orders LEFT JOIN (SELECT p_partkey AS isin, count(DISTINCT p_brand) AS isin_n, min(p_brand) AS isin_e FROM part WHERE p_type = 'ECONOMY' GROUP BY 1) i ON o_custkey = isin LEFT JOIN (SELECT p_size AS issuer, count(DISTINCT p_brand) AS issuer_n, min(p_brand) AS issuer_e FROM part WHERE p_type = 'ECONOMY' AND p_size <= 20 GROUP BY 1) s ON o_custkey % 40 = issuer",
+    "SELECT o_orderkey, CASE WHEN isin_n = 1 THEN isin_e WHEN isin_n IS NULL AND issuer_n = 1 THEN issuer_e END AS entity_id, CASE WHEN isin_n = 1 THEN 'isin' WHEN isin_n > 1 THEN 'ambiguous_isin' WHEN issuer_n = 1 THEN 'issuer' WHEN issuer_n > 1 THEN 'ambiguous_issuer' ELSE 'unresolved' END AS identity_resolution FROM orders LEFT JOIN (SELECT p_partkey % 500 AS isin, count(DISTINCT p_brand) AS isin_n, min(p_brand) AS isin_e FROM part GROUP BY 1) i ON o_custkey = isin LEFT JOIN (SELECT p_type || (p_partkey // 3) AS issuer, count(DISTINCT p_brand) AS issuer_n, min(p_brand) AS issuer_e FROM part GROUP BY 1) s ON 'ECONOMY' || (o_custkey % 400) = issuer",
 )
 def join_identity_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("isin"), (F.col("o_custkey") % 40).alias("issuer"), F.to_date("o_orderdate").alias("d"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("isin"), F.concat(F.lit("ECONOMY"), F.col("o_custkey") % 400).alias("issuer"), F.to_date("o_orderdate").alias("d"))
     none = F.lit(None).cast("date")
-    a = table(spark, sf, "part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("isin"), F.when(F.col("p_size") <= 20, F.col("p_size").cast("bigint")).alias("issuer"), F.col("p_brand").alias("entity_id"), none.alias("valid_from"), none.alias("valid_to"))
+    a = table(spark, sf, "part").select((F.col("p_partkey") % 500).alias("isin"), F.concat("p_type", F.floor(F.col("p_partkey") / 3)).alias("issuer"), F.col("p_brand").alias("entity_id"), none.alias("valid_from"), none.alias("valid_to"))
     return identity.resolve(rows, a, "o_orderkey", "d").select("o_orderkey", "entity_id", "identity_resolution")
 
 
@@ -318,11 +345,11 @@ def join_semi(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("join_one_to_one", "SELECT symbol, date, round(a.price_return_5d - b.price_return_20d, 6) + 0.0 AS spread FROM history a JOIN history b USING (symbol, date) WHERE a.price_return_5d IS NOT NULL AND b.price_return_20d IS NOT NULL", HISTORY)
+@query("join_one_to_one", "SELECT a.symbol, a.date, round(a.r - b.r, 6) + 0.0 AS spread FROM a JOIN b ON a.symbol = b.symbol AND a.date = b.date", PRICES + f", a AS MATERIALIZED (SELECT * FROM (SELECT symbol, date, close / lag(close, 5) OVER {_W} - 1 AS r FROM prices) WHERE r IS NOT NULL), b AS MATERIALIZED (SELECT * FROM (SELECT symbol, date, close / lag(close, 20) OVER {_W} - 1 AS r FROM prices) WHERE r IS NOT NULL)")
 def join_one_to_one(spark: SparkSession, sf: str) -> DataFrame:
     h = features.price_features(prices(spark, sf))
     a, b = h.select("symbol", "date", "price_return_5d").dropna(), h.select("symbol", "date", "price_return_20d").dropna()
-    return rounded(a.join(b, ["symbol", "date"]).select("symbol", "date", (F.col("price_return_5d") - F.col("price_return_20d")).alias("spread")))
+    return rounded(features.one_to_one(a, b, ["symbol", "date"]).select("symbol", "date", (F.col("price_return_5d") - F.col("price_return_20d")).alias("spread")))
 
 
 @query("join_full_outer", "SELECT coalesce(a.nation, b.nation) AS nation, a.customers, b.suppliers FROM (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_acctbal > 0 GROUP BY 1) b ON a.nation = b.nation")

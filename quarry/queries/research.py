@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import ranks, stats
-from quarry.operators import buckets, inference
+from quarry.operators import buckets, inference, order
 from quarry.plans import discovery, research
 from quarry.plans.spec import TARGETS, Signal, Spec, load
-from quarry.queries.base import HISTORY, PANEL, SPLIT, SPLITS, WINDOWS, history, panel, query, rank_sql, rounded
+from quarry.queries.base import PANEL, RELATIVE, SPLIT, SPLITS, WINDOWS, panel, query, rank_sql, rounded
 
 KEY = ("security_key", "snapshot_date")
 _Y = "CASE WHEN forward_return_5d IS NOT NULL THEN CAST(forward_return_5d <= -0.05 AS DOUBLE) END"
@@ -179,7 +179,7 @@ def agg_event_buckets(spark: SparkSession, sf: str) -> DataFrame:
 @query("agg_volatility_regimes", f"SELECT year(snapshot_date) AS year, {_V} >= v AS high_vol, short_interest_pct >= s AS high_si, count(*) AS n, round(avg(forward_return_5d), 6) + 0.0 AS mean FROM panel, (SELECT median({_V}) AS v, median(short_interest_pct) AS s FROM panel) WHERE {_V} IS NOT NULL GROUP BY 1, 2, 3", PANEL)
 def agg_volatility_regimes(spark: SparkSession, sf: str) -> DataFrame:
     p = panel(spark, sf)
-    v, s = p.agg(F.median(_V), F.median("short_interest_pct")).first()
+    v, s = order.quantiles(p, _V, [0.5])[0], order.quantiles(p, "short_interest_pct", [0.5])[0]
     rows = p.where(F.col(_V).isNotNull()).groupBy(F.year("snapshot_date").alias("year"), (F.col(_V) >= v).alias("high_vol"), (F.col("short_interest_pct") >= s).alias("high_si"))
     return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("forward_return_5d").alias("mean")))
 
@@ -206,7 +206,7 @@ def agg_stratification_2d(spark: SparkSession, sf: str) -> DataFrame:
 @query("agg_top_fraction", f"SELECT round(f, 2) AS fraction, count(*) AS n, round(avg(forward_return_5d), 6) + 0.0 AS mean FROM (SELECT forward_return_5d, row_number() OVER (ORDER BY {_V} DESC, security_key, snapshot_date) AS r, count(*) OVER () AS total FROM panel WHERE {_V} IS NOT NULL AND forward_return_5d IS NOT NULL), (VALUES (0.01), (0.05), (0.1), (0.25)) t(f) WHERE r <= greatest(1, ceil(total * f)) GROUP BY 1", PANEL)
 def agg_top_fraction(spark: SparkSession, sf: str) -> DataFrame:
     rows = panel(spark, sf).where(F.col(_V).isNotNull() & F.col("forward_return_5d").isNotNull())
-    return rounded(buckets.top_fractions(rows, _V, ["security_key", "snapshot_date"], [0.01, 0.05, 0.1, 0.25], "forward_return_5d"))
+    return rounded(order.top_fractions(rows, _V, ["security_key", "snapshot_date"], [0.01, 0.05, 0.1, 0.25], "forward_return_5d"))
 
 
 @query("agg_yearly_monthly", "SELECT year(snapshot_date) AS year, month(snapshot_date) AS month, count(*) AS n, round(avg(forward_return_5d), 6) + 0.0 AS mean FROM panel GROUP BY 1, 2", PANEL)
@@ -358,7 +358,92 @@ metadata:
 def rq_derived_metrics(spark: SparkSession, sf: str) -> DataFrame:
     spec = load(SEVERITY_SPEC)
     rows = research.run(panel(spark, sf), spec, WINDOWS)
-    return rounded(research.derive(rows, {k: v["formula"] for k, v in spec.metadata["derived_metrics"].items()}))
+    return rounded(research.derive(rows, {k: v["formula"] for k, v in spec.metadata["derived_metrics"].items()}, spec.targets))
+
+
+# --- relative signals, and intervals from counts ---
+
+RELATIVE_SPECS = {
+    k: f"""
+id: relative_{k}
+question: Does momentum against the {k} weaken at high volatility?
+mode: deep
+signals:
+  - {{name: price_return_5d_relative_{k}, direction: lower, bins: [0.2, 0.5, 1.0]}}
+  - {{name: price_return_60d_relative_{k}, direction: lower, bins: [0.2, 0.5, 1.0]}}
+  - {{name: price_volatility_20d, direction: upper, bins: [0.2]}}
+targets: [down_5pct_5d, down_10pct_5d]
+analysis: {{type: stratified_interaction}}
+"""
+    for k in ("market", "sector")
+}
+
+
+def _relative_ctes(k: str) -> str:
+    ready = _READY
+    for n, old in ((5, "price_return_5d"), (60, "price_return_60d")):
+        ready = ready.replace(rank_sql(old), rank_sql(f"price_return_{n}d_relative_{k}"))
+    return RELATIVE + ", " + SPLITS + ", " + ready.replace("FROM panel)", "FROM relative)", 1) + ", " + _BANDED
+
+
+def _relative(k: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return rounded(research.run(panel(spark, sf), load(RELATIVE_SPECS[k]), WINDOWS))
+
+    query(f"rq_relative_{k}", "SELECT * FROM (" + _contrast_sql() + ")", _relative_ctes(k))(run)
+
+
+for _k in RELATIVE_SPECS:
+    _relative(_k)
+
+
+@query("mask_relative_signals", "SELECT security_key, snapshot_date, " + ", ".join(f"round(price_return_{n}d_relative_{k}, 6) + 0.0 AS price_return_{n}d_relative_{k}" for k in ("market", "sector") for n in (5, 20, 60)) + " FROM relative", RELATIVE)
+def mask_relative_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return _ids(panel(spark, sf), *[f"price_return_{n}d_relative_{k}" for k in ("market", "sector") for n in (5, 20, 60)])
+
+
+@query("mask_change_class", f"SELECT security_key, snapshot_date, CASE WHEN {_S} < 0 THEN 'negative' WHEN {_S} = 0 THEN 'zero' WHEN {_S} >= q THEN 'positive_extreme' WHEN {_S} > 0 THEN 'positive_normal' END AS class FROM panel, (SELECT quantile_cont({_S}, 0.8) AS q FROM panel WHERE {_S} > 0 AND snapshot_date <= DATE '1998-12-31')", PANEL)
+def mask_change_class(spark: SparkSession, sf: str) -> DataFrame:
+    """Extreme is what is beyond the quantile of the positive changes before the test."""
+    p = panel(spark, sf)
+    edge = buckets.learned_edges(p.where((F.col(_S) > 0) & (F.col("snapshot_date") <= F.lit("1998-12-31").cast("date"))), _S, [0.8])
+    return _ids(p, buckets.change_class(F.col(_S), edge[0] if edge else float("inf")).alias("class"))
+
+
+@query("mask_gradient", f"SELECT security_key, snapshot_date, CASE WHEN {_S} <= 0 THEN 'le_0' WHEN {_S} <= 0.25 THEN '0_0.25' WHEN {_S} <= 0.5 THEN '0.25_0.5' WHEN {_S} <= 1 THEN '0.5_1' WHEN {_S} <= 2 THEN '1_2' WHEN {_S} IS NOT NULL THEN 'gt_2' END AS band FROM panel", PANEL)
+def mask_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    return _ids(panel(spark, sf), buckets.gradient(F.col(_S)).alias("band"))
+
+
+@query("rank_frozen_buckets", f"SELECT security_key, snapshot_date, CASE WHEN {_S} IS NULL THEN 'UNKNOWN' WHEN {_S} <= q[1] THEN 'q0_20' WHEN {_S} <= q[2] THEN 'q20_40' WHEN {_S} <= q[3] THEN 'q40_60' WHEN {_S} <= q[4] THEN 'q60_80' WHEN {_S} <= q[5] THEN 'q80_95' ELSE 'q95_100' END AS bucket FROM panel, (SELECT quantile_cont({_S}, [0.2, 0.4, 0.6, 0.8, 0.95]) AS q FROM panel WHERE snapshot_date <= DATE '1998-12-31') WHERE snapshot_date > DATE '1998-12-31'", PANEL)
+def rank_frozen_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    p = panel(spark, sf)
+    edges = buckets.learned_edges(p.where("snapshot_date <= date'1998-12-31'"), _S, [0.2, 0.4, 0.6, 0.8, 0.95])
+    return _ids(p.where("snapshot_date > date'1998-12-31'"), ranks.by_thresholds(F.col(_S), edges, ["q0_20", "q20_40", "q40_60", "q60_80", "q80_95", "q95_100"]).alias("bucket"))
+
+
+def _with_intervals(spark: SparkSession, sf: str, analysis: str, *signals: Signal) -> DataFrame:
+    return rounded(research.run(panel(spark, sf), Spec(analysis, signals, _TWO, analysis, bootstrap=True), WINDOWS))
+
+
+@query("stat_bootstrap_nested")
+def stat_bootstrap_nested(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_intervals(spark, sf, "regime_comparison", _MOM, _VOL)
+
+
+@query("stat_bootstrap_between")
+def stat_bootstrap_between(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_intervals(spark, sf, "nested_regime_comparison", _MOM, _LONG, _VOL)
+
+
+@query("stat_bootstrap_interaction")
+def stat_bootstrap_interaction(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_intervals(spark, sf, "interaction", _MOM, _VOL)
+
+
+@query("stat_bootstrap_contrasts")
+def stat_bootstrap_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_intervals(spark, sf, "stratified_interaction", _B1, _B2, _VOL)
 
 
 # --- 2.H statistics --------------------------------------------------------------------------
@@ -407,12 +492,12 @@ def stat_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stat_average_precision", f"SELECT round(sum(tp / n * p) / (SELECT count(*) FROM (SELECT {_Y} AS y FROM panel WHERE {_V} IS NOT NULL) WHERE y > 0), 6) AS average_precision FROM (SELECT sum(p) OVER (ORDER BY s DESC) AS tp, sum(q) OVER (ORDER BY s DESC) AS n, p FROM (SELECT {_V} AS s, count(*) FILTER (y > 0) AS p, count(*) AS q FROM (SELECT *, {_Y} AS y FROM panel) WHERE y IS NOT NULL AND {_V} IS NOT NULL GROUP BY 1))", PANEL)
 def stat_average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(buckets.average_precision(panel(spark, sf).withColumn("y", TARGETS["down_5pct_5d"].build()), "y", _V))
+    return rounded(order.average_precision(panel(spark, sf).withColumn("y", TARGETS["down_5pct_5d"].build()), "y", _V))
 
 
 @query("stat_bootstrap_mean")
 def stat_bootstrap_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return inference.grouped_bootstrap(panel(spark, sf).where(F.col("forward_return_5d").isNotNull()), ["sector"], "forward_return_5d", iterations=400)
+    return inference.grouped_bootstrap(panel(spark, sf).where(F.col("forward_return_5d").isNotNull()), ["sector"], "forward_return_5d", ["security_key", "snapshot_date"])
 
 
 @query("stat_permutation")
@@ -423,11 +508,13 @@ def stat_permutation(spark: SparkSession, sf: str) -> DataFrame:
     k = pdf[pdf.y > 0].groupby("d2")["count"].sum().reindex(range(10), fill_value=0).to_numpy()
     n = pdf.groupby("d2")["count"].sum().reindex(range(10), fill_value=0).to_numpy()
     observed = float((k / np.maximum(n, 1)).max())
-    draws = inference.permutations(spark, 200, lambda rng: float((rng.multivariate_hypergeometric(n, int(k.sum())) / np.maximum(n, 1)).max()))
+    draws = inference.permutations(spark, 1000, lambda rng: float((rng.multivariate_hypergeometric(n, int(k.sum())) / np.maximum(n, 1)).max()))
     return draws.agg(F.count(F.lit(1)).alias("permutations"), inference.empirical_p(observed).alias("p_value"))
 
 
-@query("stat_permute_within_dates", "SELECT snapshot_date, count(*) AS n, CAST(sum(d2) AS BIGINT) AS total FROM deciled GROUP BY 1", PANEL + ", " + _CELLS)
+@query("stat_permute_within_dates", "SELECT snapshot_date, count(*) AS n, CAST(sum(d2) AS BIGINT) AS total, CAST(sum(d2 * d2) AS BIGINT) AS squares, CASE WHEN count(*) >= 30 THEN true END AS moved FROM deciled GROUP BY 1", PANEL + ", " + _CELLS)
 def stat_permute_within_dates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inference.permute_within(_deciled(spark, sf).select(*KEY, "d2"), ["snapshot_date"], "d2", ["security_key"], 7)
-    return rows.groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("total"))
+    """A shuffle keeps each date's values, and moves them: of thirty or more of ten kinds some surely do."""
+    rows = inference.permute_within(_deciled(spark, sf).select(*KEY, "d2", F.col("d2").alias("was")), ["snapshot_date"], "d2", ["security_key"], 7)
+    n = F.count(F.lit(1))
+    return rows.groupBy("snapshot_date").agg(n.alias("n"), F.sum("d2").alias("total"), F.sum(F.col("d2") * F.col("d2")).alias("squares"), F.when(n >= 30, F.count_if(F.col("d2") != F.col("was")) > 0).alias("moved"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ def pf_strategy(spark: SparkSession, sf: str) -> DataFrame:
 @query("pf_compound_drawdown", "SELECT round(exp(sum(ln(1 + net / 20))) - 1, 6) AS compound, round(least(0, min(d)), 6) + 0.0 AS max_drawdown FROM (SELECT *, w / greatest(1, max(w) OVER (ORDER BY period ROWS UNBOUNDED PRECEDING)) - 1 AS d FROM (SELECT *, exp(sum(ln(1 + net / 20)) OVER (ORDER BY period ROWS UNBOUNDED PRECEDING)) AS w FROM strat))", _PF + ", " + _TURN + ", " + _STRAT)
 def pf_compound_drawdown(spark: SparkSession, sf: str) -> DataFrame:
     rows = portfolio.strategy(_predictions(spark, sf)).withColumn("r", F.col("net") / 20).select("period", "r")
-    return rounded(rows.agg(portfolio.compounded("r").alias("compound")).crossJoin(portfolio.drawdown(rows, "r")))
+    return rounded(portfolio.drawdown(rows, "r"))
 
 
 @query("pf_cost_sensitivity", "SELECT bps, round(avg(gross - turnover * bps / 1e4), 6) + 0.0 AS mean_net FROM strat, (VALUES (5), (10), (20)) t(bps) GROUP BY 1", _PF + ", " + _TURN + ", " + _STRAT)
@@ -61,15 +64,48 @@ def pf_concentration(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(portfolio.concentration(portfolio.selection_counts(_held(spark, sf))))
 
 
-@query("pf_exclusions", "SELECT 'drop_' || k AS excluded, round(avg(target_return), 6) + 0.0 AS mean FROM pred, (SELECT security AS k FROM held GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10) WHERE security <> k GROUP BY 1", _PF)
+@query("pf_exclusions", "SELECT excluded, round(avg(target_return), 6) + 0.0 AS mean FROM (SELECT 'drop_' || k AS excluded, target_return FROM pred, top WHERE security <> k UNION ALL SELECT 'drop_all', target_return FROM pred WHERE security NOT IN (SELECT k FROM top)) GROUP BY 1", _PF + ", top AS (SELECT security AS k FROM held GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10)")
 def pf_exclusions(spark: SparkSession, sf: str) -> DataFrame:
-    """The universe without each of the ten securities selected most often."""
+    """The universe without each of the ten securities selected most often, and without all of them."""
     p = _predictions(spark, sf)
     top = portfolio.selection_counts(_held(spark, sf)).orderBy(F.col("selections").desc(), "security").limit(10)
-    sets = top.select(F.concat(F.lit("drop_"), F.col("security").cast("string")).alias("excluded"), "security")
+    sets = top.select(F.explode(F.array(F.concat(F.lit("drop_"), F.col("security").cast("string")), F.lit("drop_all"))).alias("excluded"), "security")
     return rounded(portfolio.excluding(p, sets).groupBy("excluded").agg(F.avg("target_return").alias("mean")))
 
 
+@query("pf_random_removal", "SELECT share, seed, count(*) AS n, round(avg(target_return), 6) + 0.0 AS mean FROM pred, (VALUES (0.1), (0.2), (0.3)) s(share), (VALUES (0), (1), (2), (3), (4)) t(seed) WHERE ((security * 7919 + seed * 104729 + 12345) * 31337) % 10007 >= share * 10007 GROUP BY 1, 2", _PF)
+def pf_random_removal(spark: SparkSession, sf: str) -> DataFrame:
+    """The universe without a tenth to three tenths of its securities, five draws each."""
+    return rounded(portfolio.thinned(_predictions(spark, sf)).groupBy("share", "seed").agg(F.count(F.lit(1)).alias("n"), F.avg("target_return").alias("mean")))
+
+
+def _rebalanced_sql(every: int) -> str:
+    """The strategy's tables for another distance between rebalancings, ending in its mean."""
+    parts = (_PRED + ", " + _TURN + ", " + _STRAT).replace("// 5", f"// {every}").replace("% 5 = 0", f"% {every} = 0")
+    for name in ("days", "rows_", "held", "moved", "turn", "strat"):
+        parts = re.sub(rf"\b{name}\b", f"{name}{every}", parts)
+    return parts.split(" AS (", 1)[1].split("), ", 1)[1] if every != 3 else parts
+
+
+@query("pf_rebalance_sensitivity", " UNION ALL ".join(f"SELECT {k} AS every, count(*) AS periods, round(avg(net), 6) + 0.0 AS mean_net, round(avg(turnover), 6) AS mean_turnover FROM strat{k}" for k in (3, 5, 10)), PANEL + ", " + ", ".join(_rebalanced_sql(k) for k in (3, 5, 10)))
+def pf_rebalance_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    p = _predictions(spark, sf)
+    rows = [portfolio.strategy(p, every=k).withColumn("every", F.lit(k)) for k in (3, 5, 10)]
+    return rounded(reduce(DataFrame.unionByName, rows).groupBy("every").agg(F.count(F.lit(1)).alias("periods"), F.avg("net").alias("mean_net"), F.avg("turnover").alias("mean_turnover")))
+
+
+_SIDES = "sides AS (SELECT 'volatility' AS experiment, snapshot_date AS date, security_key AS security, price_volatility_20d AS score, forward_return_5d AS target_return FROM panel UNION ALL SELECT 'momentum', snapshot_date, security_key, price_return_20d, forward_return_5d FROM panel), usable AS (SELECT * FROM sides WHERE score IS NOT NULL AND target_return IS NOT NULL), days2 AS (SELECT date, CAST((r - 1) // 5 AS INT) AS period FROM (SELECT date, row_number() OVER (ORDER BY date) AS r FROM (SELECT DISTINCT date FROM usable)) WHERE (r - 1) % 5 = 0), chosen AS (SELECT *, least(1.0 / count(*) OVER (PARTITION BY experiment, period), 0.05) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY experiment, period ORDER BY score DESC, security) AS r, count(*) OVER (PARTITION BY experiment, period) AS n FROM usable JOIN days2 USING (date)) WHERE r <= greatest(1, ceil(n * 0.2)))"
+
+
+@query("pf_experiments", "SELECT experiment, count(*) AS periods, round(avg(gross), 6) + 0.0 AS mean_gross FROM (SELECT experiment, period, sum(weight * target_return) AS gross FROM chosen GROUP BY 1, 2) GROUP BY 1", PANEL + ", " + _SIDES)
+def pf_experiments(spark: SparkSession, sf: str) -> DataFrame:
+    """Two experiments side by side in one job."""
+    p = panel(spark, sf)
+    one = lambda name, c: p.select(F.lit(name).alias("experiment"), F.col("snapshot_date").alias("date"), F.col("security_key").alias("security"), F.col(c).alias("score"), F.col("forward_return_5d").alias("target_return"))
+    rows = portfolio.strategy(one("volatility", "price_volatility_20d").unionByName(one("momentum", "price_return_20d")), by=["experiment"])
+    return rounded(rows.groupBy("experiment").agg(F.count(F.lit(1)).alias("periods"), F.avg("gross").alias("mean_gross")))
+
+
 @query("pf_yearly", "SELECT year(date) AS year, count(*) AS periods, round(avg(net), 6) + 0.0 AS mean_net, round(avg(gross - benchmark), 6) + 0.0 AS mean_excess FROM strat GROUP BY 1", _PF + ", " + _TURN + ", " + _STRAT)
 def pf_yearly(spark: SparkSession, sf: str) -> DataFrame:
     rows = portfolio.strategy(_predictions(spark, sf)).groupBy(F.year("date").alias("year"))
@@ -86,21 +122,22 @@ def pf_probability_buckets(spark: SparkSession, sf: str) -> DataFrame:
 # --- 2.K quality -----------------------------------------------------------------------------
 
 
+_FIRST = "firsts AS (SELECT symbol, min(date) AS first FROM prices GROUP BY 1)"
+_CHECKS = [
+    *[(f"'{c}'", "0", "PASS") for c in ("required_columns", "price_leakage", "date_integrity", "match_distances", "mapping_sources", "price_values", "forward_returns", "numeric_values", "threshold_logic", "identity_consistency", "mapping_integrity", "forward_return_alignment")],
+    ("'unmatched_rows'", "(SELECT count(*) FROM panel WHERE price_date IS NULL)", "WARN"),
+    ("'duplicate_features'", "(SELECT count(*) FROM (SELECT 1 FROM panel GROUP BY security_key, snapshot_date HAVING count(*) > 1))", "FAIL"),
+    ("'first_price_problem'", "(SELECT count(*) FROM panel LEFT JOIN firsts ON security_key = symbol WHERE price_date IS NOT NULL AND (first IS NULL OR snapshot_date < first))", "WARN"),
+]
+
+
 @query(
     "qc_panel",
-    "SELECT *, CASE WHEN violations = 0 THEN 'PASS' WHEN \"check\" = 'unmatched' THEN 'WARN' ELSE 'FAIL' END AS status FROM (SELECT 'duplicates' AS \"check\", (SELECT count(*) FROM (SELECT 1 FROM panel GROUP BY security_key, snapshot_date HAVING count(*) > 1)) AS violations UNION ALL SELECT 'price_before_snapshot', count(*) FILTER (price_date < snapshot_date) FROM panel UNION ALL SELECT 'unmatched', count(*) FILTER (price_date IS NULL) FROM panel UNION ALL SELECT 'flags', 0) UNION ALL SELECT 'overall', count(*) FILTER (price_date IS NULL), CASE WHEN count(*) FILTER (price_date IS NULL) > 0 THEN 'WARN' ELSE 'PASS' END FROM panel",
-    PANEL,
+    "SELECT * FROM checks UNION ALL SELECT 'overall', CAST(sum(violations) AS BIGINT), max_by(status, CASE status WHEN 'PASS' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END) FROM checks",
+    PANEL + ", " + _FIRST + ", checks AS (SELECT \"check\", violations, CASE WHEN violations > 0 THEN severity ELSE 'PASS' END AS status FROM (" + " UNION ALL ".join(f"SELECT {n} AS \"check\", CAST({v} AS BIGINT) AS violations, '{s}' AS severity" for n, v, s in _CHECKS) + "))",
 )
 def qc_panel(spark: SparkSession, sf: str) -> DataFrame:
-    p = panel(spark, sf)
-    return qc.worst(
-        [
-            qc.duplicates(p, ["security_key", "snapshot_date"]),
-            qc.check(p, "price_before_snapshot", F.count_if(F.col("price_date") < F.col("snapshot_date"))),
-            qc.check(p, "unmatched", F.count_if(F.col("price_date").isNull()), "WARN"),
-            qc.check(p, "flags", qc.flag_errors(p, "security_key", "snapshot_date", "short_interest_pct", 3)),
-        ]
-    )
+    return qc.panel_checks(panel(spark, sf), prices(spark, sf), sectors(spark, sf).select("symbol"))
 
 
 @query("qc_match_distance", "SELECT CAST(price_date - snapshot_date AS INT) AS days, count(*) AS n FROM panel GROUP BY 1", PANEL)
@@ -133,9 +170,9 @@ def qc_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return series.coverage(prices(spark, sf), "symbol", "date", "1995-02-01", "2001-10-01")
 
 
-@query("qc_mapping_coverage", "SELECT coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN a.symbol IS NULL THEN 'mapping_only' WHEN b.symbol IS NULL THEN 'prices_only' ELSE 'both' END AS found_in FROM (SELECT DISTINCT symbol FROM prices WHERE date < DATE '1995-02-10') a FULL JOIN (SELECT s_suppkey AS symbol FROM supplier WHERE s_acctbal > 0) b ON a.symbol = b.symbol", PRICES)
+@query("qc_mapping_coverage", "SELECT coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN a.symbol IS NULL THEN 'mapping_only' WHEN b.symbol IS NULL THEN 'prices_only' ELSE 'both' END AS found_in FROM (SELECT DISTINCT symbol FROM prices) a FULL JOIN (SELECT p_partkey AS symbol FROM part) b ON a.symbol = b.symbol", PRICES)
 def qc_mapping_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return qc.mapping_coverage(prices(spark, sf).where("date < date'1995-02-10'"), table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("symbol")), "symbol")
+    return qc.mapping_coverage(prices(spark, sf), table(spark, sf, "part").select(F.col("p_partkey").alias("symbol")), "symbol")
 
 
 @query("qc_price_conflicts", "SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, count(*) AS rows, count(DISTINCT l_extendedprice) AS prices FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_extendedprice) > 1")
@@ -144,10 +181,10 @@ def qc_price_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return qc.clean_prices(rows, ["symbol", "date"], "close", ["l_orderkey"])[1]
 
 
-@query("qc_evidence", "SELECT o_orderkey, CASE WHEN a IS NULL AND b IS NULL THEN 'unresolved' WHEN a IS NULL THEN CASE WHEN len(b) > 1 THEN 'ambiguous' ELSE 'unique' END WHEN b IS NULL THEN CASE WHEN len(a) > 1 THEN 'ambiguous' ELSE 'unique' END WHEN len(list_intersect(a, b)) = 0 THEN 'conflict' WHEN len(list_intersect(a, b)) > 1 THEN 'ambiguous' ELSE 'unique' END AS status FROM orders LEFT JOIN (SELECT p_size AS k, list(DISTINCT p_brand) AS a FROM part WHERE p_name = 'small ring' GROUP BY 1) x ON o_custkey % 60 = x.k LEFT JOIN (SELECT p_type AS k, list(DISTINCT p_brand) AS b FROM part WHERE p_name = 'small ring' GROUP BY 1) y ON CASE WHEN o_custkey % 2 = 0 THEN 'ECONOMY' END = y.k")
+@query("qc_evidence", "SELECT o_orderkey, CASE WHEN a IS NULL AND b IS NULL THEN 'unresolved' WHEN a IS NULL THEN CASE WHEN len(b) > 1 THEN 'ambiguous' ELSE 'unique' END WHEN b IS NULL THEN CASE WHEN len(a) > 1 THEN 'ambiguous' ELSE 'unique' END WHEN len(list_intersect(a, b)) = 0 THEN 'conflict' WHEN len(list_intersect(a, b)) > 1 THEN 'ambiguous' ELSE 'unique' END AS status FROM orders LEFT JOIN (SELECT p_size AS k, list(DISTINCT p_brand) AS a FROM part GROUP BY 1) x ON o_custkey % 60 = x.k LEFT JOIN (SELECT p_type || p_partkey AS k, list(DISTINCT p_brand) AS b FROM part GROUP BY 1) y ON CASE WHEN o_custkey % 2 = 0 THEN 'ECONOMY' || (o_custkey % 900) END = y.k")
 def qc_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("size"), F.when(F.col("o_custkey") % 2 == 0, "ECONOMY").alias("type"))
-    index = table(spark, sf, "part").where("p_name = 'small ring'").select(F.col("p_size").cast("bigint").alias("size"), F.col("p_type").alias("type"), F.col("p_brand").alias("isin"))
+    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("size"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("ECONOMY"), F.col("o_custkey") % 900)).alias("type"))
+    index = table(spark, sf, "part").select(F.col("p_size").cast("bigint").alias("size"), F.concat("p_type", "p_partkey").alias("type"), F.col("p_brand").alias("isin"))
     return identity.evidence(rows, index, "o_orderkey", ("size", "type")).select("o_orderkey", "status")
 
 
@@ -159,15 +196,15 @@ def id_contract(spark: SparkSession, sf: str) -> DataFrame:
     return identity.contract_violations(table(spark, sf, "part").select(F.col("p_size").alias("isin"), F.col("p_partkey").alias("lei"), F.col("p_brand").alias("entity_id")))
 
 
-@query("id_new_entities", "SELECT p_name || p_size AS issuer, 'ENT-' || lpad(CAST(row_number() OVER (ORDER BY p_name || p_size) + 500 AS VARCHAR), 6, '0') AS entity_id FROM (SELECT DISTINCT p_name, p_size FROM part WHERE p_size <= 3)")
+@query("id_new_entities", "SELECT p_name || p_size AS issuer, 'ENT-' || lpad(CAST(row_number() OVER (ORDER BY p_name || p_size) + 500 AS VARCHAR), 6, '0') AS entity_id FROM (SELECT DISTINCT p_name, p_size FROM part)")
 def id_new_entities(spark: SparkSession, sf: str) -> DataFrame:
-    new = table(spark, sf, "part").where("p_size <= 3").select(F.concat("p_name", "p_size").alias("issuer")).distinct()
+    new = table(spark, sf, "part").select(F.concat("p_name", "p_size").alias("issuer")).distinct()
     return identity.next_ids(new, ["issuer"], 500)
 
 
-@query("id_company_names", "SELECT s_suppkey, 'SUPPLIER ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS name FROM supplier")
+@query("id_company_names", "SELECT s_suppkey, 'supplier ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS name FROM supplier")
 def id_company_names(spark: SparkSession, sf: str) -> DataFrame:
-    written = F.concat(F.lit("Süpplier  "), F.regexp_extract("s_name", r"(\d+)", 1), F.lit(" AB (publ)"))
+    written = F.concat(F.lit("Süpplier  Holdings, "), F.regexp_extract("s_name", r"(\d+)", 1), F.lit(" Aktiebolag (publ) Limited"))
     return table(spark, sf, "supplier").select("s_suppkey", text.company(written).alias("name"))
 
 
@@ -182,6 +219,12 @@ def web_top_changes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d.orderBy(F.col("short_interest_delta_pp").desc(), "security_key", "snapshot_date").limit(10).select("security_key", "snapshot_date", F.col("short_interest_delta_pp").alias("change_pp")))
 
 
+@query("web_latest_events", "SELECT security_key, snapshot_date, round(short_interest_delta_pp, 6) + 0.0 AS change_pp FROM observed WHERE short_interest_delta_pp <> 0 ORDER BY snapshot_date DESC, abs(short_interest_delta_pp) DESC, security_key LIMIT 100", OBSERVED)
+def web_latest_events(spark: SparkSession, sf: str) -> DataFrame:
+    d = features.observation_features(register(spark, sf)).where("short_interest_delta_pp <> 0")
+    return rounded(d.orderBy(F.col("snapshot_date").desc(), F.abs("short_interest_delta_pp").desc(), "security_key").limit(100).select("security_key", "snapshot_date", F.col("short_interest_delta_pp").alias("change_pp")))
+
+
 @query("inventory_gaps", "SELECT snapshot_date, n, CAST(snapshot_date - lag(snapshot_date) OVER (ORDER BY snapshot_date) AS INT) AS gap FROM (SELECT CAST(l_shipdate AS DATE) AS snapshot_date, count(*) AS n FROM lineitem GROUP BY 1)")
 def inventory_gaps(spark: SparkSession, sf: str) -> DataFrame:
     days = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("snapshot_date")).agg(F.count(F.lit(1)).alias("n"))
@@ -246,12 +289,17 @@ def diag_persistence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.where("c > 0 and d is not null").groupBy("high").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_next_change")))
 
 
-@query("diag_event_grid", "SELECT e AS event_threshold, s AS si_cut, count(*) FILTER (v AND h) AS n, count(*) FILTER (v AND h AND forward_return_5d <= e) AS events, count(*) AS base_n, count(*) FILTER (forward_return_5d <= e) AS base_events FROM (SELECT forward_return_5d, coalesce(price_volatility_20d >= 1.5, false) AS v, coalesce(short_interest_delta_pp, -99) AS c FROM panel WHERE forward_return_5d IS NOT NULL), (VALUES (-0.03), (-0.05), (-0.1)) a(e), (VALUES (0.0), (1.0)) b(s), LATERAL (SELECT c >= s AS h) GROUP BY 1, 2", PANEL)
+_GRID_SQL = (
+    "SELECT horizon, event_threshold, si_cut, risk_cut, count(*) FILTER (v AND h) AS n, count(*) FILTER (v AND h AND x <= e) AS events, count(*) AS base_n, count(*) FILTER (x <= e) AS base_events FROM (SELECT h.k AS horizon, a.e AS event_threshold, b.s AS si_cut, d.q AS risk_cut, e, x, coalesce(risk >= q, false) AS v, coalesce(c >= s, false) AS h FROM (SELECT 1 AS k, forward_return_1d AS x, price_volatility_20d AS risk, short_interest_delta_pp AS c FROM panel"
+    + "".join(f" UNION ALL SELECT {k}, forward_return_{k}d, price_volatility_20d, short_interest_delta_pp FROM panel" for k in (3, 5, 10, 20))
+    + ") h, (VALUES (-0.03), (-0.05), (-0.07), (-0.1)) a(e), (VALUES (0.0), (0.5), (1.0), (2.0)) b(s), (VALUES (0.5), (1.0), (1.5), (2.0), (2.5)) d(q) WHERE x IS NOT NULL) GROUP BY ALL"
+)
+
+
+@query("diag_event_grid", _GRID_SQL, PANEL)
 def diag_event_grid(spark: SparkSession, sf: str) -> DataFrame:
-    cells = F.explode(F.array(*[F.struct(F.lit(e).alias("event_threshold"), F.lit(s).alias("si_cut")) for e in (-0.03, -0.05, -0.1) for s in (0.0, 1.0)]))
-    rows = panel(spark, sf).where("forward_return_5d is not null").select("forward_return_5d", F.coalesce(F.col("price_volatility_20d") >= 1.5, F.lit(False)).alias("v"), F.coalesce("short_interest_delta_pp", F.lit(-99.0)).alias("c"), cells.alias("g")).select("*", "g.*")
-    hit, in_ = F.col("forward_return_5d") <= F.col("event_threshold"), F.col("v") & (F.col("c") >= F.col("si_cut"))
-    return rows.groupBy("event_threshold", "si_cut").agg(F.count_if(in_).alias("n"), F.count_if(in_ & hit).alias("events"), F.count(F.lit(1)).alias("base_n"), F.count_if(hit).alias("base_events"))
+    rows = panel(spark, sf)
+    return diagnostics.event_grid(rows, "price_volatility_20d", "short_interest_delta_pp", {k: f"forward_return_{k}d" for k in (1, 3, 5, 10, 20)}, [-0.03, -0.05, -0.07, -0.1], [0.0, 0.5, 1.0, 2.0], [0.5, 1.0, 1.5, 2.0, 2.5])
 
 
 @query("diag_overlaps", "SELECT a.name AS \"left\", b.name AS \"right\" FROM (VALUES ('w1', DATE '1998-01-01', DATE '1999-12-31'), ('w2', DATE '1999-01-01', DATE '2000-12-31'), ('w3', DATE '2001-01-01', DATE '2001-12-31')) a(name, s, e), (VALUES ('w1', DATE '1998-01-01', DATE '1999-12-31'), ('w2', DATE '1999-01-01', DATE '2000-12-31'), ('w3', DATE '2001-01-01', DATE '2001-12-31')) b(name, s, e) WHERE a.name < b.name AND a.s <= b.e AND b.s <= a.e")
@@ -268,7 +316,7 @@ def ml_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     from quarry.plans import models
 
     rows = panel(spark, sf).withColumn("y", TARGETS["down_5pct_5d"].build()).select("snapshot_date", "y", "price_volatility_20d", "price_return_5d", "short_interest_pct")
-    got = models.walk_forward(rows, ["price_volatility_20d", "price_return_5d", "short_interest_pct"], WINDOWS, [models.MODELS["logistic"]])
+    got = models.walk_forward(rows, ["price_volatility_20d", "price_return_5d", "short_interest_pct"], WINDOWS)
     return spark.createDataFrame([(g["window"], g["status"], g.get("model"), g.get("n"), g.get("auc")) for g in got], "window string, status string, model string, n bigint, auc double")
 
 
@@ -277,5 +325,5 @@ def ml_incremental(spark: SparkSession, sf: str) -> DataFrame:
     from quarry.plans import models
 
     rows = panel(spark, sf).withColumn("y", TARGETS["down_5pct_5d"].build()).select("snapshot_date", "y", "price_volatility_20d", "short_interest_pct")
-    got = models.incremental(rows, ["price_volatility_20d"], ["short_interest_pct"], WINDOWS[:1])
+    got = models.incremental(rows, ["price_volatility_20d"], ["short_interest_pct"], WINDOWS)
     return spark.createDataFrame([(g["window"], g["family"], g["n"], g["auc"], g["delta_auc"], g["delta_log_loss"]) for g in got], "window string, family string, n bigint, auc double, delta_auc double, delta_log_loss double")

@@ -1,11 +1,14 @@
 """Personal data in texts: fixed patterns, and what a trained character model adds to them.
 
 The patterns' spans always stay. A bidirectional LSTM with CRF transitions, trained here from the
-patterns' own spans in a bounded sample and from written-out variants that the patterns miss, reads
+patterns' own spans in a bounded sample and from written-out forms that the patterns miss, reads
 every place that can hold personal data. Such a place has a digit, an at-sign or a spelled-out one:
 no span without one is ever allowed, so text away from them needs no reading and loses nothing.
 Windows of fixed length overlap; where they do, a character's scores come from the window in whose
 middle it lies most, and one decoding runs over the whole place.
+
+Beside other writings of the patterns' kinds the model finds a kind that has no pattern: secrets, the
+values of tokens, keys and passwords.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from quarry.llm.common import text_column
 from quarry.llm.tagger import PAD, Tagger, codes
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the model knows.
+LEARNED = (*KINDS, "secret")
 Span = tuple[int, int]
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -66,7 +71,7 @@ def base(text: str) -> dict[str, list[Span]]:
     if "@" in text:
         out["email"] = _emails(text)
     if re.search("[0-9]", text):
-        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(v := p.lstrip("0") or "0") <= 3 and int(v) <= 255 for p in m.group().split("."))]
         out["card"] = [m.span() for m in _CARD.finditer(text) if 13 <= len(d := digits(m.group())) <= 19 and luhn(d)]
         out["phone"] = [m.span() for m in _PHONE.finditer(text) if 9 <= len(digits(m.group())) <= 15]
     return out
@@ -93,9 +98,9 @@ def places(text: str) -> list[Span]:
 
 def _allowed() -> np.ndarray:
     """Inside a kind only after its beginning or inside: tag 0 is outside, 1 + 2k begins, 2 + 2k goes on."""
-    n = 1 + 2 * len(KINDS)
+    n = 1 + 2 * len(LEARNED)
     ok = np.ones((n, n), bool)
-    for k in range(len(KINDS)):
+    for k in range(len(LEARNED)):
         ok[:, 2 + 2 * k] = False
         ok[1 + 2 * k, 2 + 2 * k] = ok[2 + 2 * k, 2 + 2 * k] = True
     return ok
@@ -134,6 +139,8 @@ def plausible(kind: str, s: str) -> bool:
         return bool(p) and all(int(v) <= 255 for v in p.groups())
     if kind == "card":
         return bool(re.fullmatch(r"[0-9](?:[\s./_–-]{0,2}[0-9])+", s)) and 13 <= len(d) <= 19 and luhn(d)
+    if kind == "secret":
+        return bool(re.fullmatch(r"[^\s\"'<>]{12,}", s)) and bool(d) and bool(re.search("[A-Za-z]", s))
     return 9 <= len(d) <= 15 and bool(re.fullmatch(r"(?:\+|\(|[0-9])[\s()./0-9–-]*[0-9]", s)) and bool(re.search(r"[^0-9]", s)) and len(re.findall(r"[0-9]+", s)) <= 6
 
 
@@ -145,7 +152,7 @@ class Finder:
 
     def added(self, texts: list[str], bases: list[dict[str, list[Span]]], at_once: int = 4096) -> list[dict[str, list[Span]]]:
         """What the model finds beside the patterns' spans, batched over texts."""
-        out = [{k: [] for k in KINDS} for _ in texts]
+        out = [{k: [] for k in LEARNED} for _ in texts]
         queue: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
         held = 0
 
@@ -177,11 +184,16 @@ class Finder:
             while end < len(tags) and tags[end] == tags[b] + 1:
                 end += 1
             s, t = start + b, start + end
+            kind = LEARNED[(int(tags[b]) - 1) // 2]
             while s < t and text[s].isspace():
                 s += 1
             while t > s and text[t - 1].isspace():
                 t -= 1
-            kind = KINDS[(int(tags[b]) - 1) // 2]
+            if kind == "secret":  # quotes are not the value's
+                while s < t and text[s] in "\"'`":
+                    s += 1
+                while t > s and text[t - 1] in "\"'`.,;":
+                    t -= 1
             whole = (s == 0 or not text[s - 1].isalnum()) and (t == len(text) or not text[t].isalnum())
             clash = any(x < t and s < y for spans in known.values() for x, y in spans)
             if s < t and whole and not clash and plausible(kind, text[s:t]):
@@ -191,35 +203,52 @@ class Finder:
 # --- training --------------------------------------------------------------------------------
 
 
-def _variants(r: np.random.Generator) -> tuple[str, str]:
-    """A written-out form of some kind, and the kind; an empty kind for look-alikes that are none."""
+def _secret(r: np.random.Generator) -> tuple[str, int, int]:
+    """A named value, and where the value lies in it."""
+    name = str(r.choice(["token", "password", "passwd", "pwd", "secret", "key", "api_key", "apikey", "access_token", "auth", "bearer", "client_secret", "Token", "PASSWORD", "API_KEY"]))
+    gap = str(r.choice([" = ", "=", ": ", ":", " : ", " "])) if name != "bearer" else " "
+    signs = list(str(r.choice(["0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-_+/"])))
+    value = "".join(r.choice(signs, int(r.integers(14, 49)))) + str(r.integers(0, 10)) + "".join(r.choice(list("abcdef"), 1))
+    quote = str(r.choice(['"', '"', "'", ""]))
+    made = f"{name}{gap}{quote}{value}{quote}"
+    start = len(name) + len(gap) + len(quote)
+    return made, start, start + len(value)
+
+
+def _variants(r: np.random.Generator) -> tuple[str, str, int, int]:
+    """A written-out form of some kind, the kind, and where it lies in what is written; an empty kind
+    for look-alikes that are none."""
     num = lambda n: "".join(map(str, r.integers(0, 10, n)))
     word = lambda: "".join(r.choice(list("abcdefghijklmnoprstuvw"), int(r.integers(3, 9))))
-    kind = int(r.integers(0, 13))
+    kind = int(r.integers(0, 16))
+    whole = lambda made, k: (made, k, 0, len(made))
     if kind < 2:
         at = str(r.choice(["@", " (at) ", "[at]", " [at] ", "(at)", "@"]))
         dot = "." if "@" in at else str(r.choice([".", " (dot) ", "[dot]", " [dot] ", "(dot)"]))
         name = r.choice(["", f".{word()}", f"_{word()}", f".{num(2)}", num(int(r.integers(1, 3)))])
-        return f"{word()}{name}{at}{word()}{dot}{r.choice(['', word() + dot])}{r.choice(['com', 'org', 'net', 'de'])}", "email"
+        return whole(f"{word()}{name}{at}{word()}{dot}{r.choice(['', word() + dot])}{r.choice(['com', 'org', 'net', 'de'])}", "email")
     if kind < 4:
         dot = str(r.choice([".", "[.]", " . ", "(.)"]))
-        return dot.join(str(v) for v in r.integers(0, 256, 4)), "ip"
+        return whole(dot.join(str(v) for v in r.integers(0, 256, 4)), "ip")
     if kind < 6:
         d = num(15)
         d += next(str(c) for c in range(10) if luhn(d + str(c)))
         gap = str(r.choice(["", " ", "-", ".", " - "]))
-        return (gap.join(d[i : i + 4] for i in range(0, 16, 4)) if gap else d), "card"
+        return whole(gap.join(d[i : i + 4] for i in range(0, 16, 4)) if gap else d, "card")
     if kind < 10:
         a, b, c = num(3), num(3), num(4)
-        return str(r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(1)} ({a}) {b}-{c}", f"+{num(2)} {a} {b}{c}", f"{a} {b} {c}", f"+{num(2)}-{a}-{b}-{c}", f"{a}.{b}.{c}"])), "phone"
-    if kind < 12:
-        return str(r.choice([f"password={hex(int(num(15)))[2:]}", f'token = "{hex(int(num(17)))[2:]}{word()}"', f"{r.integers(1, 29)}.{r.integers(1, 13)}.{r.integers(1900, 2030)}", f"{num(2)},{num(3)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", num(int(r.integers(1, 13))), f"{num(4)}-{num(2)}-{num(2)}", f"§ {num(3)}"])), ""
-    return f"{word()} {word()}", ""
+        return whole(str(r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{num(1)} ({a}) {b}-{c}", f"+{num(2)} {a} {b}{c}", f"{a} {b} {c}", f"+{num(2)}-{a}-{b}-{c}", f"{a}.{b}.{c}"])), "phone")
+    if kind < 13:
+        made, start, end = _secret(r)
+        return made, "secret", start, end
+    if kind < 15:
+        return whole(str(r.choice([f"{r.integers(1, 29)}.{r.integers(1, 13)}.{r.integers(1900, 2030)}", f"{num(2)},{num(3)}.{num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"Version {num(1)}.{num(1)}.", num(int(r.integers(1, 13))), f"{num(4)}-{num(2)}-{num(2)}", f"§ {num(3)}", f"{word()}{num(2)}", f"{word()}{num(3)}{word()}", f"token {word()}", f"key {num(2)}"])), "")
+    return whole(f"{word()} {word()}", "")
 
 
 def examples(found: list[tuple[str, list[tuple[int, int, int]]]], count: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Training windows and tags: the sampled stretches as they are, and stretches into which a
-    variant is written at some place between words."""
+    form is written at some place between words."""
     r = np.random.default_rng(seed)
     plain = [t for t, spans in found if not spans] or ["The data and the words of a line are here, as in any other line of such a text.", "La ligne est un texte comme les autres, avec des mots et rien de plus."]
     xs, ys = [], []
@@ -236,25 +265,30 @@ def examples(found: list[tuple[str, list[tuple[int, int, int]]]], count: int, se
         ys.append(y)
 
     for text, spans in found[: count // 2]:
-        add(text, spans)
+        # what holds a secret without a label would teach the contrary
+        if not any(_NAMED(text)):
+            add(text, spans)
     while len(xs) < count:
         text = str(plain[int(r.integers(0, len(plain)))])
         gaps = [i for i, c in enumerate(text[:60]) if c == " "] or [0]
         cut = int(gaps[int(r.integers(0, len(gaps)))])
-        made, kind = _variants(r)
+        made, kind, a, b = _variants(r)
         if r.random() < 0.15:  # at the start of a text, or as all of it
             text, cut = "  " + (text if r.random() < 0.8 else ""), 0
-        line = f"{text[:cut]} {made}{r.choice([' ', ' ', ', ', '. '])}{text[cut + 1 :]}"
-        spans = [(KINDS.index(kind), cut + 1, cut + 1 + len(made))] if kind else []
+        line = f"{text[:cut]} {made}{r.choice([' ', ' ', ', ', '. ', '### ', ' | '])}{text[cut + 1 :]}"
+        at = cut + 1
         if cut == 0:
-            line, spans = line[1:], [(k, a - 1, b - 1) for k, a, b in spans]
-        add(line, [s for s in spans if s[2] <= WINDOW])
-        if spans and spans[0][2] > WINDOW:
-            xs.pop()
-            ys.pop()
+            line, at = line[1:], 0
+        if any(_NAMED(line[: at]) + _NAMED(line[at + len(made) :])) or (kind and at + b > WINDOW):
+            continue
+        add(line, [(LEARNED.index(kind), at + a, at + b)] if kind else [])
     return np.stack(xs), np.stack(ys)
 
 
+#: Values that a name introduces: left out of the training lines that have no label for them.
+_NAMED = re.compile(r"(?i)(?:token|password|passwd|pwd|secret|key|auth|bearer)\s?[:=]?\s?[\"']?[^\s\"']{12}").findall
+
+
 def sample(docs: DataFrame, rows: int = 20_000, stretches: int = 600) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """At most `stretches` stretches of one window each, with the patterns' spans in them, from at
     most about `rows` documents taken by a hash of their ids. This is all that training sees."""
@@ -288,11 +322,11 @@ def spans_around(text: str, spans: list[tuple[int, int, int]]) -> list[Span]:
     return [(a, min(len(text), a + WINDOW)) for _, s, e in spans if e - s < WINDOW - 16 for a in (max(0, s - (s * 7 + e) % (WINDOW - (e - s) - 8)),)]
 
 
-def train(docs: DataFrame, steps: int = 260, count: int = 1600) -> Finder:
+def train(docs: DataFrame, steps: int = 320, count: int = 2000) -> Finder:
     """Train the model for a table of documents (doc_id, text) on the driver, in seconds, whatever the
     table's size; the same table gives the same model."""
     x, y = examples(sample(docs), count)
-    tagger = Tagger(1 + 2 * len(KINDS))
+    tagger = Tagger(1 + 2 * len(LEARNED))
     tagger.train(x, y, steps)
     return Finder(tagger)
 
@@ -307,10 +341,13 @@ def listed(spans: dict[str, list[Span]]) -> str:
 
 def find(docs: DataFrame, finder: Finder | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row doc_id, the number of pattern spans of each kind (n_email, n_ip, n_card, n_phone),
-    base_sha256 of their list, spans (that list with the model's spans), and n_added.
+    base_sha256 of their list, spans (that list with what the model adds to these kinds), secrets (the
+    list of a kind that only the model knows), n_added (spans the model adds, secrets included) and
+    n_spans (all spans).
 
-    Null texts count as empty: no spans. Repeated rows stay; other columns are ignored. A narrow map
-    over whole texts once the model is trained."""
+    Null texts count as empty: no spans. Repeated rows stay; other columns are ignored. An empty table
+    gives an empty result, and a model that knows the written-out forms alone. A narrow map over whole
+    texts once the model is trained."""
     slim = text_column(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((finder or train(slim)).tagger)
 
@@ -323,19 +360,22 @@ def find(docs: DataFrame, finder: Finder | None = None, id_col: str = "doc_id",
             every = [{k: b[k] + a[k] for k in KINDS} for b, a in zip(bases, added, strict=True)]
             counts = [pa.array([len(b[k]) for b in bases], pa.int64()) for k in KINDS]
             hashes = [hashlib.sha256(listed(b).encode()).hexdigest() for b in bases]
+            secrets = [",".join(f"secret:{x}:{y}" for x, y in sorted(a["secret"])) for a in added]
             more = [sum(map(len, a.values())) for a in added]
+            total = [n + sum(map(len, b.values())) for n, b in zip(more, bases, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array(hashes, pa.string()), pa.array([listed(v) for v in every], pa.string()), pa.array(more, pa.int64())],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+                [batch.column(0), *counts, pa.array(hashes, pa.string()), pa.array([listed(v) for v in every], pa.string()), pa.array(secrets, pa.string()), pa.array(more, pa.int64()), pa.array(total, pa.int64())],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "secrets", "n_added", "n_spans"],
             )
 
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return slim.mapInArrow(run, f"doc_id bigint, {counts}, base_sha256 string, spans string, n_added bigint")
+    return slim.mapInArrow(run, f"doc_id bigint, {counts}, base_sha256 string, spans string, secrets string, n_added bigint, n_spans bigint")
 
 
 def redact(docs: DataFrame, finder: Finder | None = None, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; all other columns as they are. Null
-    texts stay null. Spans of two kinds that overlap are replaced as one, by the kind that starts first."""
+    texts stay null. Spans of two kinds that overlap are replaced as one, by the kind that starts first.
+    Repeated rows stay; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast((finder or train(text_column(docs))).tagger)
     place = docs.columns.index(text_col)
 
@@ -347,7 +387,7 @@ def redact(docs: DataFrame, finder: Finder | None = None, text_col: str = "text"
             new = []
             for text, b, a in zip(texts, bases, own.added(texts, bases), strict=True):
                 done, end = [], 0
-                for s, t, k in sorted((s, t, k) for k in KINDS for s, t in b[k] + a[k]):
+                for s, t, k in sorted((s, t, k) for k in LEARNED for s, t in b.get(k, []) + a[k]):
                     if s >= end:
                         done += [text[end:s], f"[{k.upper()}]"]
                     end = max(end, t)

@@ -83,3 +83,49 @@ def event_grid(rows: DataFrame, risk: str, change: str, returns: dict[int, str],
     inside, hit = (F.col("_r") >= F.col("r")) & (F.col("_c") >= F.col("c")), F.col("_f") >= F.col("f")
     total = lambda m: F.coalesce(F.sum(F.when(m, F.col("_n"))), F.lit(0))
     return cells.groupBy("horizon", "event_threshold", "si_cut", "risk_cut").agg(total(inside).alias("n"), total(inside & hit).alias("events"), F.sum("_n").alias("base_n"), total(hit).alias("base_events"))
+
+
+def risk_interaction(rows: DataFrame, risk: Column, high: Column, y: str, by: list[str]) -> DataFrame:
+    """Rates of four groups, at risk and not, with a high change and not, and rh - rl - oh + ol: how much more
+    a high change tells of those at risk. Groups without rows make it null."""
+    r, h = F.coalesce(risk, F.lit(False)), F.coalesce(high, F.lit(False))
+    groups = {"rh": r & h, "rl": r & ~h, "oh": ~r & h, "ol": ~r & ~h}
+    cells = [c.alias(f"{name}_{part}") for name, m in groups.items() for part, c in zip(("n", "events"), stats.rate(F.col(y), m)[:2], strict=True)]
+    out = rows.groupBy(*by).agg(*cells)
+    rate = lambda g: stats.ratio(F.col(f"{g}_events"), F.col(f"{g}_n"))
+    return out.withColumn("interaction", rate("rh") - rate("rl") - rate("oh") + rate("ol"))
+
+
+def lagged(rows: DataFrame, x: str, lags: int, key: str = "security_key", date: str = "snapshot_date") -> DataFrame:
+    """One copy of a row for each lag from 0 to lags, with the value of x so many observations before."""
+    w = Window.partitionBy(key).orderBy(date)
+    values = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lag(x, k).over(w) if k else F.col(x)).alias("lagged")) for k in range(lags + 1)])
+    return rows.withColumn("_l", values).withColumn("_l", F.explode("_l")).select("*", "_l.lag", "_l.lagged").drop("_l")
+
+
+def anatomy(rows: DataFrame, group: Column, returns: str, values: list[str], by: list[str] | None = None) -> DataFrame:
+    """What a group is made of: rows, their share of all, shares of falls, rises and what lies between, and
+    the means of columns."""
+    from quarry.operators.buckets import outcome
+
+    by = by or []
+    o = outcome(F.col(returns))
+    known = F.col(returns).isNotNull()
+    shares = [stats.ratio(F.count_if(o == k), F.count_if(known)).alias(f"{k}_share") for k in ("down", "middle", "up")]
+    return rows.groupBy(*by, group.alias("group")).agg(F.count(F.lit(1)).alias("n"), F.count_if(known).alias("known"), *shares, *[F.avg(v).alias(f"mean_{v}") for v in values])
+
+
+def compared(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """column, rows, only_left, only_right, different: two tables side by side, each number within a
+    tolerance in absolute or relative terms. Null equals null."""
+    left = a.select(*keys, F.lit(1).alias("_l"), *[F.col(v).cast("double").alias(f"_a_{v}") for v in values])
+    right = b.select(*keys, F.lit(1).alias("_r"), *[F.col(v).cast("double").alias(f"_b_{v}") for v in values])
+    both = left.join(right, keys, "full")
+
+    def apart(v: str) -> Column:
+        x, y = F.col(f"_a_{v}"), F.col(f"_b_{v}")
+        near = F.abs(x - y) <= F.greatest(F.lit(tolerance), tolerance * F.greatest(F.abs(x), F.abs(y)))
+        return F.when(F.col("_l").isNull() | F.col("_r").isNull(), False).otherwise(~F.coalesce(near, x.isNull() & y.isNull()))
+
+    cells = [F.struct(F.lit(v).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right"), F.count_if(apart(v)).alias("different")) for v in values]
+    return both.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")

@@ -110,3 +110,27 @@ def most_frequent(rows: DataFrame, value: str, top: int = 50) -> DataFrame:
 def walk(rows: DataFrame, key: str, order: list[str], x: str) -> Column:
     """The last known value of a key's rows."""
     return F.last(x, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def strategies(rows: DataFrame, gates: DataFrame, regime: str, first: str, second: str) -> DataFrame:
+    """One copy of a row for each way of choosing between two scores: the first alone, the second alone, the
+    one that its regime's gate chose, and the second where the regime is MID or HIGH."""
+    g = gated(rows, gates, regime, first, second)
+    ways = {"first_only": F.col(first), "second_only": F.col(second), "gate_validation": F.col("gated_score"), "gate_mid_high": F.when(F.col(regime).isin("MID", "HIGH"), F.col(second)).otherwise(F.col(first))}
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), c.cast("double").alias("score")) for k, c in ways.items()]))
+    return g.withColumn("_s", every).select("*", "_s.*").drop("_s", "gated_score")
+
+
+def subgroups(rows: DataFrame, periods: list[tuple[str, object, object]], selected: Column, y: str, date: str = "snapshot_date", sector: str = "sector", market: str = "market_return_20d") -> DataFrame:
+    """kind, subgroup: how a selection does within fixed periods, sectors and the market's direction over
+    twenty days (below zero, or at and above it), against all rows of the subgroup. One aggregate."""
+    day = F.lit(None).cast("string")
+    for name, a, b in periods:
+        day = F.when(F.col(date).between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(name)).otherwise(day)
+    way = F.when(F.col(market) < 0, "falling").when(F.col(market) >= 0, "rising")
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("subgroup")) for k, c in (("period", day), ("sector", F.col(sector)), ("market", way))]))
+    n, e, r = stats.rate(F.col(y), selected)
+    bn, be, br = stats.rate(F.col(y))
+    out = rows.withColumn("_g", every).where("_g.subgroup is not null").groupBy(F.col("_g.kind").alias("kind"), F.col("_g.subgroup").alias("subgroup"))
+    out = out.agg(n.alias("n"), e.alias("events"), r.alias("rate"), bn.alias("base_n"), be.alias("base_events"), br.alias("base_rate"))
+    return out.withColumn("lift", stats.lift(F.col("rate"), F.col("base_rate")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import date, timedelta
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from quarry.plans.spec import Spec, SpecError, Window
-from quarry.sources.sinks import fingerprint
+from quarry.sources.sinks import data_fingerprint, fingerprint
 
 
 @dataclass(frozen=True)
@@ -72,7 +75,24 @@ def not_optimised(before: dict[str, Any], after: dict[str, Any]) -> list[str]:
 
 def same_run(runs: list[dict[str, Any]], spec_fingerprint: str, data_fingerprint: str, window: tuple[date, date]) -> dict[str, Any] | None:
     """An earlier run of the same candidate on the same data and window."""
-    return next((r for r in runs if r["spec"] == spec_fingerprint and r["data"] == data_fingerprint and tuple(r["window"]) == window), None)
+    return next((r for r in runs if r["spec"] == spec_fingerprint and r["data"] == data_fingerprint and tuple(map(str, r["window"])) == tuple(map(str, window))), None)
+
+
+def evaluate(c: Candidate, panel: DataFrame, start: date, end: date, runs: list[dict[str, Any]], date_col: str = "snapshot_date") -> tuple[DataFrame | None, dict[str, Any]]:
+    """Run a frozen candidate on a period that its search has not seen: its rows and the run's manifest. A
+    run of the same candidate on the same rows and period is not repeated: no rows, and its manifest."""
+    from quarry.plans import research
+
+    separated(c, start, end)
+    rows = panel.where(F.col(date_col).between(F.lit(start), F.lit(end)))
+    spec_print, data_print = fingerprint(asdict(c.spec)), data_fingerprint(rows)
+    if (before := same_run(runs, spec_print, data_print, (str(start), str(end)))) is not None:
+        return None, {**before, "status": "duplicate"}
+    # the whole period is one window whose test it is; tails are of whole cross-sections all the same
+    window = Window("evaluation", str(start - timedelta(2)), str(start - timedelta(1)), str(end))
+    spec = replace(c.spec, windows=(), splits=("test",))
+    manifest = {"spec": spec_print, "data": data_print, "window": (str(start), str(end)), "id": c.spec.id, "discovery_cutoff": str(c.discovery_cutoff), "status": "done"}
+    return research.run(panel, spec, [window]), manifest
 
 
 def next_candidate(grid: list[dict[str, Any]], done: list[dict[str, Any]]) -> dict[str, Any] | None:

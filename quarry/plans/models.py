@@ -122,6 +122,65 @@ def incremental(panel: DataFrame, base: Sequence[str], added: Sequence[str], win
     return out
 
 
+def select_features(panel: DataFrame, sets: dict[str, Sequence[str]], windows: Sequence[Window], model: str = "logistic", date: str = "snapshot_date") -> list[dict[str, Any]]:
+    """Per window the feature set with the best validation AUC, refitted on all that is before the test, and
+    its metrics on the test. Ties go to the set named first."""
+    out = []
+    m = MODELS[model]
+    for w in windows:
+        rows = panel.withColumn("split", w.split(F.col(date))).where("split is not null and y is not null").persist()
+        try:
+            part = lambda *s: rows.where(F.col("split").isin(*s))  # noqa: B023, E731
+            jobs = [lambda f=list(f): metrics(predict(fit(part("train"), f, m), part("validation"), f, m))["auc"] or 0.0 for f in sets.values()]
+            auc = dict(zip(sets, in_parallel(jobs), strict=True))
+            best = max(sets, key=lambda k: auc[k])
+            chosen = list(sets[best])
+            got = metrics(predict(fit(part("train", "validation"), chosen, m), part("test"), chosen, m))
+            out.append({"window": w.name, "chosen": best, "validation_auc": auc[best], **{f"test_{k}": v for k, v in got.items()}})
+        finally:
+            rows.unpersist()
+    return out
+
+
+def importance(panel: DataFrame, features: Sequence[str], window: Window, date: str = "snapshot_date") -> list[tuple[str, float]]:
+    """How much each feature contributes to a random forest fitted before the test, the most first."""
+    rows = panel.withColumn("split", window.split(F.col(date))).where("split in ('train', 'validation') and y is not null")
+    forest = fit(rows, list(features), MODELS["random_forest"]).stages[-1]
+    return sorted(zip(features, (float(v) for v in forest.featureImportances.toArray()), strict=True), key=lambda t: (-t[1], t[0]))
+
+
+def controlled(panel: DataFrame, event_features: Sequence[str], controls: Sequence[str], windows: Sequence[Window], date: str = "snapshot_date") -> list[dict[str, Any]]:
+    """An event score from its own features, then a model of it with the controls: standardised
+    coefficients on what is before the test, and the test's AUC with and without the controls."""
+    m, out = MODELS["logistic"], []
+    for w in windows:
+        rows = panel.withColumn("split", w.split(F.col(date))).where("split is not null and y is not null")
+        before = rows.where("split in ('train', 'validation')")
+        event = fit(before, event_features, m)
+        scored = predict(event, rows, event_features, m).withColumnRenamed("score", "event_score").persist()
+        try:
+            names = ["event_score", *controls]
+            both = fit(scored.where("split <> 'test'"), names, m)
+            test = scored.where("split = 'test'")
+            weights = dict(zip(names, (float(v) for v in both.stages[-1].coefficients), strict=True))
+            plain = order.auc(test, "y", "event_score").first()["auc"]
+            out.append({"window": w.name, **{f"weight_{k}": v for k, v in weights.items()}, "auc_event": plain, "auc": metrics(predict(both, test, names, m))["auc"]})
+        finally:
+            scored.unpersist()
+    return out
+
+
+def out_of_sample(panel: DataFrame, features: Sequence[str], windows: Sequence[Window], model: str = "logistic", date: str = "snapshot_date") -> DataFrame:
+    """Scores of every window's test by a model fitted on what is before it, with the window's name."""
+    m, out = MODELS[model], None
+    for w in windows:
+        rows = panel.withColumn("split", w.split(F.col(date)))
+        fitted = fit(rows.where("split in ('train', 'validation') and y is not null"), list(features), m)
+        scored = predict(fitted, rows.where("split = 'test'"), list(features), m).withColumn("window", F.lit(w.name))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def in_parallel(jobs: Sequence[Callable[[], Any]], at_once: int = 4) -> list[Any]:
     """Independent experiments from a few driver threads; the scheduler shares the cluster between them."""
     with ThreadPoolExecutor(at_once) as pool:

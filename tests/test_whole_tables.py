@@ -208,3 +208,38 @@ def test_html_tables_and_last_usable_day(spark):
 def test_unknown_signals_are_refused(spark):
     with pytest.raises(SpecError):
         research.prepare(spark.createDataFrame([(date(2024, 1, 1), 1.0)], "snapshot_date date, x double"), [Spec("a", (Signal("holder_change"),), ("down_5pct_5d",), "tail")])
+
+
+def test_prospective_runs_are_guarded(spark):
+    from quarry.plans import lifecycle
+
+    r = random.Random(5)
+    rows = [(f"s{k}", date(y, m, 1), r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 0.1)) for k in range(30) for y in (1999, 2000) for m in range(1, 13)]
+    df = spark.createDataFrame(rows, "security_key string, snapshot_date date, price_return_5d double, price_volatility_20d double, forward_return_5d double")
+    spec = Spec("c", (Signal("price_momentum_5d", "lower", (0.3,)), Signal("price_volatility_20d", "upper", (0.3,))), ("down_5pct_5d",), "regime_comparison")
+    c = lifecycle.freeze(spec, date(1999, 12, 31), date(2000, 1, 1))
+    got, run = lifecycle.evaluate(c, df, date(2000, 1, 1), date(2000, 12, 31), [])
+    assert got.count() == 1 and run["status"] == "done"
+    again, second = lifecycle.evaluate(c, df, date(2000, 1, 1), date(2000, 12, 31), [run])
+    assert again is None and second["status"] == "duplicate"
+    with pytest.raises(SpecError):
+        lifecycle.evaluate(c, df, date(1999, 12, 1), date(2000, 12, 31), [])
+
+
+def test_models_of_sets_and_controls(spark):
+    from quarry.plans import models
+    from quarry.plans.spec import Window
+
+    r = random.Random(6)
+    rows = []
+    for i in range(900):
+        a, b = r.gauss(0, 1), r.gauss(0, 1)
+        rows.append((date(2020 + i % 3, 6, 1), a, b, float(a + r.gauss(0, 0.5) > 0)))
+    df = spark.createDataFrame(rows, "snapshot_date date, a double, b double, y double")
+    w = [Window("w", "2020-12-31", "2021-12-31", "2022-12-31")]
+    got = models.select_features(df, {"noise": ["b"], "signal": ["a"]}, w)[0]
+    assert got["chosen"] == "signal" and got["test_auc"] > 0.9
+    both = models.controlled(df, ["a"], ["b"], w)[0]
+    assert both["weight_event_score"] > abs(both["weight_b"]) and both["auc"] > 0.9
+    assert models.importance(df, ["a", "b"], w[0])[0][0] == "a"
+    assert models.out_of_sample(df, ["a"], w).count() == 300

@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a text's words: insult and threat emit a match with the weight of the
-word, target remembers who is addressed, negation and reported speech remember that what follows is
-denied or quoted. They are composed into one machine, whose states are the reachable tuples of
-their states. What it emits at a match says in which kind of clause the word stands, so a score is
-made of matched clauses, not of words: a denied or quoted insult weighs less, an addressed one more.
-
-The lexicon of the insult transducer is an acceptor over words and word beginnings with weights
-learned from labelled rows; the other lexicons are closed classes of function words. Two weights
-and a bias turn a document's clauses into a probability, fitted by logistic regression.
+Five small transducers run in a cascade over a text's words. Negation marks insults and threats that
+it denies, reported speech those that are quoted, target those that stand shortly after someone who is
+addressed. What they have marked goes to the insult and the threat transducer. Either opens a clause at
+its word, takes further words of its kind into it, waits a few words for a target that follows, and
+emits the clause with its kind when a target comes, the sentence ends, or nothing follows: a threat
+needs a target, an insult without one is a clause of a lesser kind. They are composed into one
+machine over tuples of their states, made as texts reach them. A score is made of emitted clauses.
+
+The lexicon of insults is an acceptor over words and word beginnings with weights learned from
+labelled rows; the other lexicons are closed classes of function words. What a clause of each kind
+counts is learned as well, from given values on; two weights and a bias turn a document's clauses into
+a probability, fitted by logistic regression.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ TARGETS = "you your yours youre u ur he she they them him her his their this tha
 DENIALS = "not never no nobody without isn't aren't wasn't don't doesn't didn't cannot can't won't nicht kein keine nie niemals pas jamais aucun aucune sans nunca jamás ningún ninguna sin".split()
 REPORTS = "said says say saying told tells called calls claimed claims wrote writes quoted quotes reported according heard alleged sagte sagt schrieb behauptet dit disait écrit selon appelé dijo dice escribió según llamó".split()
 THREATS = "kill murder hurt beat stab shoot burn destroy smash strangle töten umbringen schlagen tuer frapper matar golpear".split()
-# How much a clause of each kind counts. Fixed values of the grammar.
+# How much a clause of each kind counts before anything is learned. Fixed values of the grammar.
 ADDRESSED, DENIED, QUOTED = 1.25, 0.5, 0.6
+#: Rows of a kind at which what is learned of it counts as much as what is given.
+FAITH = 30
 
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?\n]|[,;:()\"“”]").findall
 SKETCHES = 4  # minimal hashes by which copies among labelled rows are told
@@ -49,74 +54,109 @@ def words(text: str) -> list[str]:
 
 # --- transducers -----------------------------------------------------------------------------
 
+# What a word's mark says beside its symbol.
+IS_DENIED, IS_QUOTED, IS_ADDRESSED = 1, 2, 4
+
+
+@dataclass(frozen=True)
+class Memory:
+    """A transducer that remembers a symbol for the next `reach` words, or up to one of `ends`, and
+    marks the insults and threats that it meets meanwhile. Its state is the words that are left."""
+
+    symbol: int
+    reach: int
+    ends: tuple[int, ...]
+    mark: int
+
+    def step(self, state: int, symbol: int, marks: int) -> tuple[int, int]:
+        """The next state, and the marks as they go on."""
+        if symbol in (INSULT, THREAT) and state:
+            marks |= self.mark
+        if symbol == self.symbol:
+            return self.reach, marks
+        if symbol in self.ends:
+            return 0, marks
+        return (state if symbol in (BREAK, STOP) else max(0, state - 1)), marks
+
 
 @dataclass(frozen=True)
-class Transducer:
-    """Moves by (state, symbol); a symbol without a move keeps the state. emits: symbols at which
-    a match is reported. State 0 is the start."""
+class Clause:
+    """A transducer that gathers words of one symbol into clauses. Its state is None, or the mark of
+    the open clause (the least denied and quoted one of its words) and the words it still waits."""
+
+    symbol: int
+    wait: int
+    needs_target: bool
+
+    def step(self, state: tuple[int, int] | None, symbol: int, marks: int) -> tuple[tuple[int, int] | None, int | None, bool]:
+        """The next state, the mark of the clause that ends here, if one does, and whether it has a target."""
+        if symbol == self.symbol:
+            own = marks & ~IS_ADDRESSED
+            own = own if state is None else own & state[0]
+            return (None, own, True) if marks & IS_ADDRESSED else ((own, self.wait), None, False)
+        if state is None:
+            return None, None, False
+        if symbol == TARGET:
+            return None, state[0], True
+        left = state[1] if symbol == BREAK else state[1] - 1
+        if symbol == STOP or left <= 0:
+            return None, None if self.needs_target else state[0], False
+        return (state[0], left), None, False
 
-    moves: dict[tuple[int, int], int]
-    emits: frozenset[int] = frozenset()
 
+MARKERS = (Memory(DENY, 2, (BREAK, STOP), IS_DENIED), Memory(REPORT, 6, (STOP,), IS_QUOTED), Memory(TARGET, 4, (STOP,), IS_ADDRESSED))
+CLAUSES = (Clause(INSULT, 6, False), Clause(THREAT, 6, True))
+#: Kinds of clauses: insults by their marks, then threats, all of which are addressed.
+KINDS = 16
 
-def _memory(symbol: int, reach: int, ends: tuple[int, ...]) -> Transducer:
-    """Remembers a symbol for the next `reach` words, or up to one of ends; with reach 0 without
-    such a limit."""
-    moves: dict[tuple[int, int], int] = {}
-    last = max(reach, 1)
-    for s in range(last + 1):
-        moves[s, symbol] = last
-        for e in ends:
-            moves[s, e] = 0
-        if reach and s:
-            for w in (OTHER, TARGET, DENY, REPORT, INSULT, THREAT):
-                if w != symbol:
-                    moves[s, w] = s - 1
-    return Transducer(moves)
 
+def kind_of(threat: bool, marks: int, addressed: bool) -> int:
+    return 8 * threat + (marks & (IS_DENIED | IS_QUOTED)) + IS_ADDRESSED * addressed
 
-TARGET_FST = _memory(TARGET, 4, (STOP,))
-DENY_FST = _memory(DENY, 2, (BREAK, STOP))
-REPORT_FST = _memory(REPORT, 6, (STOP,))
-INSULT_FST = Transducer({}, frozenset({INSULT}))
-THREAT_FST = Transducer({}, frozenset({THREAT}))
+
+def given(kind: int) -> float:
+    """What a clause of a kind counts before anything is learned."""
+    return (ADDRESSED if kind & IS_ADDRESSED else 1.0) * (DENIED if kind & IS_DENIED else 1.0) * (QUOTED if kind & IS_QUOTED else 1.0)
 
 
 class Machine:
-    """The composition: its states are the reachable tuples of the parts' states, and a match
-    carries the kind of clause in which it stands."""
+    """The composition. States are numbers of tuples of the parts' states; a state's move by a symbol is
+    made when a text first takes it."""
 
     def __init__(self) -> None:
-        parts = (TARGET_FST, DENY_FST, REPORT_FST, INSULT_FST, THREAT_FST)
-        number = {(0,) * len(parts): 0}
-        todo, self.next, self.weight = list(number), [], []
-        while todo:
-            now = todo.pop(0)
-            row, out = [], []
-            for symbol in range(8):
-                addressed, denied, quoted = now[0] > 0, now[1] > 0, now[2] > 0
-                matched = any(symbol in p.emits for p in parts)
-                kind = (ADDRESSED if addressed else 1.0) * (DENIED if denied else 1.0) * (QUOTED if quoted else 1.0)
-                # a threat needs someone to whom it is addressed
-                out.append(kind if matched and (symbol == INSULT or addressed) else 0.0)
-                after = tuple(p.moves.get((s, symbol), s) for p, s in zip(parts, now, strict=True))
-                if after not in number:
-                    number[after] = len(number)
-                    todo.append(after)
-                row.append(number[after])
-            self.next.append(row)
-            self.weight.append(out)
-
-
-MACHINE = Machine()
+        start = (0,) * len(MARKERS) + (None,) * len(CLAUSES)
+        self.tuples, self.number = [start], {start: 0}
+        self.moves: dict[int, tuple[int, tuple[tuple[bool, int], ...]]] = {}
+
+    def move(self, at: int, symbol: int) -> tuple[int, tuple[tuple[bool, int], ...]]:
+        """The next state, and the clauses that end: whether of a threat, and their kind."""
+        got = self.moves.get(at * 8 + symbol)
+        if got is None:
+            now, after, marks, ended = self.tuples[at], [], 0, []
+            for part, state in zip(MARKERS, now, strict=False):
+                state, marks = part.step(state, symbol, marks)
+                after.append(state)
+            for threat, (part, state) in enumerate(zip(CLAUSES, now[len(MARKERS) :], strict=True)):
+                state, mark, addressed = part.step(state, symbol, marks)
+                after.append(state)
+                if mark is not None:
+                    ended.append((bool(threat), kind_of(bool(threat), mark, addressed)))
+            to = tuple(after)
+            if to not in self.number:
+                self.number[to] = len(self.tuples)
+                self.tuples.append(to)
+            got = self.moves[at * 8 + symbol] = (self.number[to], tuple(ended))
+        return got
 
 
 class Grammar:
-    """Lexicons and weights; everything that scoring needs."""
+    """Lexicons and weights; everything that scoring needs. counts: what a clause of each kind counts."""
 
-    def __init__(self, lexicon: dict[str, float], weights: tuple[float, float, float] = (-4.0, 1.0, 1.0)):
+    def __init__(self, lexicon: dict[str, float], weights: tuple[float, float, float] = (-4.0, 1.0, 1.0), counts: tuple[float, ...] | None = None):
         self.lexicon = lexicon
         self.weights = weights
+        self.counts = counts or tuple(map(given, range(KINDS)))
+        self.machine = Machine()
         closed = [(TARGET, TARGETS), (DENY, DENIALS), (REPORT, REPORTS), (THREAT, THREATS)]
         self._fixed = {w: (c, 1.0 if c == THREAT else 0.0) for c, ws in closed for w in ws}
         self._fixed |= {m: (STOP, 0.0) for m in ".!?\n"} | {m: (BREAK, 0.0) for m in ',;:()"“”'}
@@ -126,7 +166,7 @@ class Grammar:
         """Class and weight of a word; the longest known beginning counts."""
         known = self._known.get(word)
         if known is None:
-            if len(self._known) > 300_000:
+            if len(self._known) > 100_000:
                 self._known.clear()
             known = self._fixed.get(word) or (OTHER, 0.0)
             if word + "$" in self.lexicon:
@@ -139,21 +179,36 @@ class Grammar:
             self._known[word] = known
         return known
 
-    def clauses(self, text: str) -> list[float]:
-        """The weights of the clauses that match."""
+    def clauses(self, text: str) -> list[tuple[int, float]]:
+        """Kind and weight of each clause, by the weightiest of its words."""
         symbols = [*map(self.symbol, words(text))]
         if not any(s[1] for s in symbols):
             return []
-        at, found = 0, []
-        step, weight = MACHINE.next, MACHINE.weight
-        for c, w in symbols:
-            if w and weight[at][c]:
-                found.append(w * weight[at][c])
-            at = step[at][c]
+        at, found, open_ = 0, [], [0.0, 0.0]  # the weights of the open insult and the open threat
+        for c, w in [*symbols, (STOP, 0.0)]:
+            if w:
+                threat = c == THREAT
+                open_[threat] = max(open_[threat], w)
+            elif not at and c == OTHER:
+                continue
+            at, ended = self.machine.move(at, c)
+            for threat, kind in ended:
+                found.append((kind, open_[threat]))
+                open_[threat] = 0.0
+            if c == STOP:
+                open_ = [0.0, 0.0]
         return found
 
+    def parts(self, text: str) -> tuple[list[float], list[float]]:
+        """By kind the weightiest clause and the sum of all."""
+        top, total = [0.0] * KINDS, [0.0] * KINDS
+        for kind, w in self.clauses(text):
+            top[kind] = max(top[kind], w)
+            total[kind] += w
+        return top, total
+
     def features(self, text: str) -> tuple[float, float]:
-        found = self.clauses(text)
+        found = [w * self.counts[kind] for kind, w in self.clauses(text)]
         return (max(found), log1p(sum(found))) if found else (0.0, 0.0)
 
     def score(self, text: str) -> float:
@@ -203,6 +258,26 @@ def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int, least
     return out
 
 
+def counted(total: np.ndarray, y: np.ndarray, faith: float = FAITH) -> tuple[float, ...]:
+    """What a clause of each kind counts: how far rows with such clauses are from the others in the
+    logarithm of odds, over the same of plain insults (kind 0), drawn towards what is given."""
+    sizes = np.array([max(1, int((y == k).sum())) for k in (0, 1)])
+
+    def odds(k: int) -> tuple[float, int]:
+        has = total[:, k] > 0
+        t, c = int((has & (y == 1)).sum()), int((has & (y == 0)).sum())
+        return log((t + 0.5) / (sizes[1] + 1)) - log((c + 0.5) / (sizes[0] + 1)), t + c
+
+    plain, _ = odds(0)
+    if plain < 0.5:
+        return tuple(map(given, range(KINDS)))
+    out = []
+    for k in range(KINDS):
+        o, n = odds(k)
+        out.append(1.0 if k == 0 else (n * min(2.0, max(0.0, o / plain)) + faith * given(k)) / (n + faith))
+    return tuple(out)
+
+
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> tuple[float, float, float]:
     """Logistic regression by Newton's method; features may only speak for toxicity."""
     a = np.hstack([np.ones((len(x), 1)), x])
@@ -275,18 +350,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int =
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(shared.value)
         for batch in batches:
-            x = [own.features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), batch.column(2)], ["doc_id", "top", "total", "toxic"])
+            x = [own.parts(t.as_py()) for t in batch.column(1)]
+            lists = [pa.array([v[k] for v in x], pa.list_(pa.float64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], ["doc_id", "top", "total", "toxic"])
 
-    got = rows.mapInArrow(featured, "doc_id bigint, top double, total double, toxic int").orderBy("doc_id", "top", "total").select("top", "total", "toxic").collect()
-    table = np.array([tuple(r) for r in got], dtype=np.float64).reshape(-1, 3)
-    return Grammar(grammar.lexicon, fit(table[:, :2], table[:, 2]))
+    # no more rows than the sample
+    got = rows.mapInArrow(featured, "doc_id bigint, top array<double>, total array<double>, toxic int").orderBy("doc_id", "top", "total").select("top", "total", "toxic").collect()
+    top, total = (np.array([r[k] for r in got], dtype=np.float64).reshape(-1, KINDS) for k in (0, 1))
+    y = np.array([r[2] for r in got], dtype=np.float64)
+    counts = counted(total, y)
+    x = np.stack([(top * counts).max(1), np.log1p((total * counts).sum(1))], axis=1)
+    return Grammar(grammar.lexicon, fit(x, y), counts)
 
 
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from a half on) of each row, whole texts, in a narrow
     map. Null and empty texts have no clause and get the score of clean text; repeated rows stay."""
-    shared = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, grammar.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, grammar.weights, grammar.counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(*shared.value)
@@ -299,7 +379,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
 
 def reject(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below a half, as they are. Null texts count as empty and stay."""
-    shared = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, grammar.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, grammar.weights, grammar.counts))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,6 +398,7 @@ def held_out(folds: int = 5, fold: int = 0):  # noqa: ANN201
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     """Learn from the labels outside the held-out fold and score every document: doc_id, held_out,
-    score and predicted."""
+    score and predicted. Null and empty texts score as clean ones, repeated rows stay, other columns
+    are ignored; an empty table of documents gives an empty result, one of labels scores below a half."""
     grammar = learn(docs, labels.where(~held_out()), sample)
     return score(docs, grammar).select("doc_id", held_out().alias("held_out"), "score", "predicted")

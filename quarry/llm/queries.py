@@ -88,27 +88,34 @@ QUERIES = {
 }
 
 
-def _urls_sql(depth: int = 4) -> str:
-    """The tree of op4 as SQL: one block of table expressions a level."""
-    bin_ = lambda x: f"CAST(least(floor(asin(sqrt(({x} + 0.5) / (n + 1.0))) / 1.5707963267948966 * 8), 7) AS INT)"
+def _urls_sql(depth: int = 6) -> str:
+    """The tree of op4 as SQL, for paths of up to `depth` segments: one block of table expressions a level."""
+
+    def against(hits: str, misses: str) -> str:
+        a, b = f"c.{hits}::DOUBLE", f"c.{misses}::DOUBLE"
+        c, d = f"(t.{hits} - {a})", f"(t.{misses} - {b})"
+        cross, margins = f"({a} * {d} - {b} * {c})", f"(({a} + {b}) * ({c} + {d}) * ({a} + {c}) * ({b} + {d}))"
+        return f"CASE WHEN {margins} > 0 AND {cross} * {cross} * ({a} + {b} + {c} + {d}) >= 6.63 * {margins} THEN CASE WHEN {cross} > 0 THEN '+' ELSE '-' END ELSE '=' END"
+
     rule = "CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END"
     found = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
     parts = [
         f"u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), {found}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), {found}, 2) AS path FROM pages)",
         f"r AS (SELECT *, {rule} AS rule FROM u)",
         "d AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS decided FROM r)",
-        f"n0 AS (SELECT page_id, host, path, rule, decided, CASE WHEN decided = 'block' THEN 1 ELSE 0 END AS bad, CASE WHEN decided = 'allow' THEN 1 ELSE 0 END AS good, string_split(regexp_replace(path, '^/', ''), '/')[1:{depth}] AS segments, '' AS node FROM d)",
+        "n0 AS (SELECT page_id, host, path, rule, decided, CASE WHEN decided = 'block' THEN 1 ELSE 0 END AS bad, CASE WHEN decided = 'allow' THEN 1 ELSE 0 END AS good, string_split(regexp_replace(path, '^/', ''), '/') AS segments, '' AS node FROM d)",
     ]
     for k in range(depth):
         parts += [
             f"s{k} AS (SELECT *, segments[{k + 1}] AS seg FROM n{k})",
-            f"c{k} AS (SELECT host, node, seg, count(*) AS n, sum(bad) AS bad, sum(good) AS good FROM s{k} WHERE seg IS NOT NULL GROUP BY ALL HAVING count(*) >= 8)",
-            f"t{k} AS (SELECT host, node, count(*) AS all_n FROM s{k} WHERE seg IS NOT NULL GROUP BY ALL)",
-            f"k{k} AS (SELECT host, node, seg, '~:' || {bin_('bad')} || ':' || {bin_('good')} AS branch FROM c{k} JOIN t{k} USING (host, node) WHERE n >= 0.02 * all_n)",
+            f"c{k} AS (SELECT host, node, seg, sum(bad) AS bad, sum(good) AS good, sum(CASE WHEN len(segments) = {k + 1} THEN 1 ELSE 0 END) AS ends, sum(CASE WHEN len(segments) > {k + 1} THEN 1 ELSE 0 END) AS goes_on FROM s{k} WHERE seg IS NOT NULL GROUP BY ALL HAVING count(*) >= 8)",
+            f"t{k} AS (SELECT host, node, sum(bad) AS bad, sum(good) AS good, sum(ends) AS ends, sum(goes_on) AS goes_on FROM c{k} GROUP BY ALL)",
+            f"k{k} AS (SELECT c.host, c.node, c.seg, '~' || {against('bad', 'good')} || {against('ends', 'goes_on')} AS branch FROM c{k} c JOIN t{k} t ON c.host = t.host AND c.node = t.node)",
             f"n{k + 1} AS (SELECT s.* EXCLUDE (node, seg), s.node || CASE WHEN s.seg IS NULL THEN '' ELSE '/' || coalesce(branch, '*') END AS node FROM s{k} s LEFT JOIN k{k} b ON s.host = b.host AND s.node = b.node AND s.seg = b.seg)",
         ]
-    parts.append(f"leaf AS (SELECT host, node, (sum(bad) + 5.0 * prior) / (sum(bad) + sum(good) + 5.0) AS purity FROM n{depth}, (SELECT coalesce(sum(bad) / nullif(sum(bad) + sum(good), 0), 0.0) AS prior FROM n0) GROUP BY host, node, prior)")
-    return "WITH " + ", ".join(parts) + f" SELECT page_id, n.host, path, rule, coalesce(decided, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, n.node AS template, CASE WHEN purity >= 0.8 THEN round(purity, 9) END AS purity FROM n{depth} n JOIN leaf l ON n.host = l.host AND n.node = l.node"
+    smoothed = lambda towards: f"(sum(bad) + 5.0 * {towards}) / (sum(bad) + sum(good) + 5.0)"
+    parts.append(f"leaf AS (SELECT host, node, CASE WHEN sum(bad) + sum(good) > 0 AND {smoothed('prior')} >= 0.8 AND {smoothed('least(prior, 0.5)')} >= 0.8 THEN {smoothed('prior')} END AS purity FROM n{depth}, (SELECT coalesce(sum(bad) / nullif(sum(bad) + sum(good), 0), 0.0) AS prior FROM n0) GROUP BY host, node, prior)")
+    return "WITH " + ", ".join(parts) + f" SELECT page_id, n.host, path, rule, coalesce(decided, CASE WHEN purity IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, n.node AS template, round(purity, 9) AS purity FROM n{depth} n JOIN leaf l ON n.host = l.host AND n.node = l.node"
 
 
 ORACLE_SQL = {

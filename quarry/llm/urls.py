@@ -1,11 +1,15 @@
 """URL filters: fixed rules, and for all other pages a path-template tree learned per host.
 
 The tree is grown one path segment a level, for all hosts at once, to the last segment of any page. A
-segment with enough pages of its own, whatever the size of its host, keeps a branch; all others, ids and dates and slugs, share the branch `*`. Branches of one
-node whose labelled rates fall into the same bin of a variance-stabilised scale are statistically
-alike and are merged. A template is a path from the root to a leaf. Its purity is the blocked share
-of its labelled pages, smoothed towards the share in all labelled pages; templates at or above the
-threshold are rejected if they have labelled pages and stay there when smoothed towards a half. The pages that the rules decide are the labels.
+segment with enough pages of its own, whatever the size of its host, keeps a branch; all others, ids
+and dates and slugs, share the branch `*`. A branch is held against the other branches of its node
+by two tests of proportions: how many of its labelled pages are blocked, and how many of its pages end
+here. Branches that differ from the others in the same way, or in none, are statistically alike and
+are merged; a branch without labels differs by its shape alone, and so gets the labels of those it is
+merged with. A template is a path from the root to a leaf. Its purity is the blocked share of its labelled
+pages, smoothed towards the share in all labelled pages; templates at or above the threshold are
+rejected if they have labelled pages and stay there when smoothed towards a half. The pages that the
+rules decide are the labels.
 
 DataFrame expressions alone. Statistics are summed before they are shuffled, and what is joined
 back to the pages are branches with MIN_PAGES pages or more, so one host may hold any share.
@@ -48,7 +52,7 @@ class Tree:
     """Parameters of the method."""
 
     min_pages: int = 8  # pages below which a segment never has a branch of its own
-    bins: int = 8  # of the angle of a rate, from 0 to 1
+    differs: float = 6.63  # chi-square from which two shares differ (one chance in a hundred)
     weight: float = 5.0  # of the prior, in pages
     threshold: float = 0.8
 
@@ -68,20 +72,26 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> Column:
     return none
 
 
-def _bin(rate: Column, bins: int) -> Column:
-    """Rates on the scale on which their spread depends on the number of pages alone."""
-    return F.least(F.floor(F.asin(F.sqrt(rate)) / F.lit(1.5707963267948966) * bins), F.lit(bins - 1)).cast("int")
+def _against(hits: str, misses: str, differs: float) -> Column:
+    """Whether a branch's share of hits is above (+) or below (-) that of the other branches of its node
+    (columns all_*), or no other (=), by the chi-square of the two-by-two table."""
+    a, b = F.col(hits).cast("double"), F.col(misses).cast("double")
+    c, d = F.col(f"all_{hits}") - a, F.col(f"all_{misses}") - b
+    cross, margins = a * d - b * c, (a + b) * (c + d) * (a + c) * (b + d)
+    return F.when((margins > 0) & (cross * cross * (a + b + c + d) >= differs * margins), F.when(cross > 0, "+").otherwise("-")).otherwise("=")
 
 
 def _grown(rows: DataFrame, level: int, t: Tree) -> DataFrame:
     """Rows with the node one level down."""
     at = F.get("segments", F.lit(level))
     rows = rows.withColumn("segment", at)
-    open_ = rows.where("segment is not null")
-    child = open_.groupBy("host", "node", "segment").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("n") >= t.min_pages)
-    # a half page more on either side keeps small branches off the ends of the scale
-    rate = lambda c: (F.col(c) + 0.5) / (F.col("n") + 1.0)
-    kept = child.select(F.col("host").alias("h"), F.col("node").alias("p"), F.col("segment").alias("s"), F.concat_ws(":", F.lit("~"), _bin(rate("bad"), t.bins), _bin(rate("good"), t.bins)).alias("branch"))
+    ends = F.sum(F.when(F.size("segments") == level + 1, 1).otherwise(0))
+    child = rows.where("segment is not null").groupBy("host", "node", "segment").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), ends.alias("ends"))
+    child = child.where(F.col("n") >= t.min_pages).withColumn("goes_on", F.col("n") - F.col("ends"))
+    shares = ("bad", "good", "ends", "goes_on")
+    whole = child.groupBy("host", "node").agg(*[F.sum(c).alias(f"all_{c}") for c in shares])
+    branch = F.concat(F.lit("~"), _against("bad", "good", t.differs), _against("ends", "goes_on", t.differs))
+    kept = child.join(whole, ["host", "node"]).select(F.col("host").alias("h"), F.col("node").alias("p"), F.col("segment").alias("s"), branch.alias("branch"))
     met = rows.join(kept, (F.col("host") == F.col("h")) & (F.col("node") == F.col("p")) & (F.col("segment") == F.col("s")), "left")
     token = F.when(F.col("segment").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
     return met.withColumn("node", F.concat("node", token)).drop("h", "p", "s", "branch", "segment")

@@ -8,6 +8,7 @@ execution splits where a node has very many links, and each round is written to
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,32 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = tuple(state)
     raise RuntimeError(f"no end after {rounds} rounds")
+
+
+class Forest:
+    """Which of a run of links between numbered places connect anything new."""
+
+    def __init__(self, n: int = 0):
+        self.label = np.arange(n)
+
+    def grow(self, n: int) -> None:
+        self.label = np.concatenate([self.label, np.arange(len(self.label), len(self.label) + n)])
+
+    def _top(self, i: np.ndarray) -> np.ndarray:
+        top = self.label[i]
+        while not np.array_equal(up := self.label[top], top):
+            top = up
+        self.label[i] = top
+        return top
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places in i, j of the links that were needed."""
+        at, taken = np.arange(len(i)), []
+        while len(at):
+            x, y = self._top(i[at]), self._top(j[at])
+            apart = x != y
+            at, x, y = at[apart], x[apart], y[apart]
+            high, first = np.unique(np.maximum(x, y), return_index=True)  # each tree hangs on a lower one by one link
+            taken.append(at[first])
+            self.label[high] = np.minimum(x, y)[first]
+        return np.concatenate(taken) if taken else at

@@ -1,13 +1,10 @@
-"""Vectors as blocks: one row holds up to `size` ids and their vectors as bytes, so that a tile of
-a matrix product is one row, a join of tiles moves a few rows, and memory in a task is bounded."""
+"""Vectors in columns and as matrices."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -21,43 +18,3 @@ def matrix(column: pa.Array) -> np.ndarray:
     """The vectors of a batch as a matrix of doubles; all must be of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
-
-
-def unpack(row_ids: bytes, values: bytes, dtype: str = "<f8") -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row_ids, "<i8")
-    return ids, np.frombuffer(values, dtype).reshape(len(ids), -1)
-
-
-def blocks(df: DataFrame, size: int, id_col: str, vector_col: str, group_col: str | None = None) -> DataFrame:
-    """Pack the rows of each partition into blocks of up to `size` vectors, by group if there is
-    one: grp, ids, vals. Rows are taken as they come, so the input needs no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        count: dict[int, int] = {}
-
-        def block(g: int) -> pa.RecordBatch:
-            ids = np.concatenate([i for i, _ in held[g]])
-            values = np.concatenate([v for _, v in held[g]])
-            held[g], count[g] = ([(ids[size:], values[size:])], len(ids) - size) if len(ids) > size else ([], 0)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([g], pa.int64()), pa.array([ids[:size].astype("<i8").tobytes()], pa.binary()), pa.array([values[:size].astype("<f8").tobytes()], pa.binary())], ["grp", "ids", "vals"]
-            )
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, values = batch.column(1).to_numpy(zero_copy_only=False), matrix(batch.column(2))
-            groups = batch.column(0).to_numpy(zero_copy_only=False)
-            for g in np.unique(groups).tolist():
-                mine = groups == g
-                held.setdefault(g, []).append((ids[mine], values[mine]))
-                count[g] = count.get(g, 0) + int(mine.sum())
-                while count[g] >= size:
-                    yield block(g)
-        for g in held:
-            if count[g]:
-                yield block(g)
-
-    slim = df.select((F.col(group_col) if group_col else F.lit(0)).cast("long").alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"))
-    return slim.mapInArrow(run, "grp bigint, ids binary, vals binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A folder of our own is
-    made only where that setting is missing, which is the case in local tests alone."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session
+    that runs in one process gets a temporary folder; on a cluster that would lose rows, and is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: scratch tables need a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,8 +63,10 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"input_{c}" if c.lower() in clash else c) for c in df.columns])
 
 
-def rows_in(df: DataFrame) -> int:
-    return df.count()
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table of a few numbers a row for the small side of a join: sent to every executor up to
+    `most` rows, some 20 MB; beyond, both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, rows: int | dict[int, int], per_bucket: int = 100_000) -> DataFrame:

@@ -14,24 +14,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import copies
 from quarry.llm.common import materialize, text_column
-from quarry.llm.components import components
-from quarry.llm.embeddings import roots
+from quarry.llm.components import Forest, components
 
 #: Members of a bucket that are compared in one piece.
 BUCKET = 512
 SEED = 42
-#: Ids of copies that are sent to every executor at most.
-SENT = 1_000_000
-#: Common hashes that are sent to every executor at most, 16 bytes each.
-COMMON = 500_000
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -43,14 +38,11 @@ def shingles(text: str, words: int) -> list[bytes]:
     return [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)]
 
 
-def fingerprint(text: str, words: int, once: bool = False) -> int:
-    """Bit k is set if it is set in over half of the shingles' XXH64; zero without a word. once:
-    each different shingle counts once."""
+def fingerprint(text: str, words: int) -> int:
+    """Bit k is set if it is set in over half of the shingles' XXH64; zero without a word."""
     from xxhash import xxh64_intdigest
 
     parts = shingles(text, words)
-    if once:
-        parts = list(set(parts))
     if not parts:
         return 0
     ones = np.zeros(64, dtype=np.int64)
@@ -79,85 +71,73 @@ def masks(max_bits: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
-def _forest(max_bits: int, proof_bits: int):  # noqa: ANN202
+def _forest(max_bits: int):  # noqa: ANN202
     """Over rows sorted by tile: links within each run of a tile, as edges of a spanning forest."""
 
-    def close(run_of: np.ndarray, fp: np.ndarray, proof: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def close(run_of: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.searchsorted(run_of, run_of, side="right")
         at = np.arange(len(fp))
         left, right = [], []
         step = 1
         while len(at := at[at + step < ends[at]]):
             near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= max_bits]
-            near = near[np.bitwise_count(proof[near] ^ proof[near + step]) <= proof_bits]
             left.append(near)
             right.append(near + step)
             step += 1
         return (np.concatenate(left), np.concatenate(right)) if left else (at, at)
 
-    def edges(tile: np.ndarray, fp: np.ndarray, proof: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
+    def edges(tile: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
         run_of = np.concatenate([[0], np.cumsum(np.any(tile[1:] != tile[:-1], axis=1))])
-        i, j = close(run_of, fp, proof)
+        i, j = close(run_of, fp)
         if not len(i):
             return None
-        own, place = np.unique(node, return_inverse=True)
-        least = roots(len(own), place[i], place[j])
-        hung = np.flatnonzero(least != np.arange(len(own)))
-        return pa.RecordBatch.from_arrays([pa.array(own[hung]), pa.array(own[least[hung]])], ["a", "b"])
+        own, place = np.unique(fp.view(np.int64), return_inverse=True)
+        i, j = place[i], place[j]
+        kept = Forest(len(own)).add(i, j)
+        return pa.RecordBatch.from_arrays([pa.array(own[i[kept]]), pa.array(own[j[kept]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, rest = np.empty((0, 4), np.int64), [np.empty(0, np.int64)] * 3
+        tile, fp = np.empty((0, 4), np.int64), np.empty(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)]
+            columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
             tile = np.concatenate([tile, np.stack(columns[:4], axis=1)])
-            rest = [np.concatenate(x) for x in zip(rest, columns[4:], strict=True)]
+            fp = np.concatenate([fp, columns[4]])
             # the last tile may go on in the next batch
             other = np.flatnonzero(np.any(tile != tile[-1], axis=1))
             done = int(other[-1]) + 1 if len(other) else 0
-            fp, proof, node = rest
-            if done and (found := edges(tile[:done], fp[:done].view(np.uint64), proof[:done].view(np.uint64), node[:done])) is not None:
+            if done and (found := edges(tile[:done], fp[:done].view(np.uint64))) is not None:
                 yield found
-            tile, rest = tile[done:], [x[done:] for x in rest]
-        fp, proof, node = rest
-        if len(fp) and (found := edges(tile, fp.view(np.uint64), proof.view(np.uint64), node)) is not None:
+            tile, fp = tile[done:], fp[done:]
+        if len(fp) and (found := edges(tile, fp.view(np.uint64))) is not None:
             yield found
 
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 7, proof_bits: int = 64) -> DataFrame:
-    """a, b: links between distinct fingerprints that connect whatever is within max_bits of one
-    another in fp and, if there is a second fingerprint proof, within proof_bits in it. Links are
-    between the nodes' names, column node, or fp itself; every row is such a link, or hangs on others."""
-    carried = [c for c in ("fp", "proof", "node") if c in distinct.columns]
-    filed = distinct.select(*carried, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "part"))
+def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 7) -> DataFrame:
+    """a, b: links between distinct fingerprints fp that connect whatever is within max_bits of one
+    another. Every row is two fingerprints as close as that."""
+    filed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "part"))
     shared = filed.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = filed.join(shared, ["choice", "part"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
-    own = F.pmod(F.xxhash64(*[c for c in carried if c != "node"]), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     tiles = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    proof = F.col("proof") if "proof" in carried else F.lit(0).cast("long").alias("proof")
-    node = F.col("node") if "node" in carried else F.col("fp").alias("node")
-    tiles = tiles.select("choice", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", proof, node)
+    tiles = tiles.select("choice", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     by = ["choice", "part", "i", "j"]
-    return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_forest(max_bits, proof_bits), "a bigint, b bigint")
-
-
-def _grouped(docs: DataFrame, max_bits: int, blocks: int, proof_bits: int = 64) -> DataFrame:
-    """Stored rows doc_id, fp and perhaps proof, with component_id. With one fingerprint it names the
-    nodes; with two the smallest doc_id does, so fingerprints that share it are one node."""
-    keys = [c for c in docs.columns if c != "doc_id"]
-    node = F.col("fp") if keys == ["fp"] else F.col("rep")
-    distinct = materialize(docs.groupBy(*keys).agg(F.min("doc_id").alias("rep")), "distinct")
-    named = distinct if keys == ["fp"] else distinct.where("rep is not null").withColumn("node", node)
-    found = components(links(named, max_bits, blocks, proof_bits))
-    distinct = distinct.withColumn("node", node)
-    least = found.join(distinct.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = found.join(least, "component").select("node", "component_id")
-    of = distinct.join(linked, "node", "left").select(*keys, F.coalesce("component_id", "rep").alias("component_id"))
+    return tiles.repartition(*by).sortWithinPartitions(*by).mapInArrow(_forest(max_bits), "a bigint, b bigint")
+
+
+def _grouped(docs: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """Stored rows doc_id and fp, with component_id."""
+    distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    found = components(links(distinct, max_bits, blocks)).withColumnRenamed("node", "fp")
+    least = found.join(distinct, "fp").groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = found.join(least, "component").select("fp", "component_id")
+    of = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     # stored, so that the last join shuffles both sides itself and a hot fingerprint can be split
-    return docs.join(materialize(of, "classes"), keys)
+    return docs.join(materialize(of, "classes"), "fp")
 
 
 def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, blocks: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,213 +153,16 @@ def near_duplicates(df: DataFrame, words: int = 4, max_bits: int = 4, blocks: in
     return back.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _hashes(text: str, words: int) -> bytes:
-    """A text's shingle set: its different 64-bit hashes in order, end to end."""
-    from xxhash import xxh64_intdigest
-
-    return np.unique(np.array([xxh64_intdigest(x, SEED) for x in set(shingles(text, words))], dtype="<u8")).tobytes()
-
-
-def _names(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and set, a name of the text's shingle set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        for batch in batches:
-            names = np.array([xxh3_64_intdigest(_hashes(t, words), SEED) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.view(np.int64))], ["doc_id", "set"])
-
-    return docs.mapInArrow(run, "doc_id bigint, set bigint")
-
-
-def _sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """set and hashes, one row of each set that named (set, rep) has; made of the texts once more, as
-    a set takes more bytes than its text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        for batch in batches:
-            hashes = [_hashes(t, words) for t in batch.column(1).to_pylist()]
-            names = np.array([xxh3_64_intdigest(h, SEED) for h in hashes], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.view(np.int64)), pa.array(hashes, pa.binary())], ["doc_id", "set", "hashes"])
-
-    wanted = _sent(named.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(run, "doc_id bigint, set bigint, hashes binary")
-    return sets.join(_sent(named.select("set", F.col("rep").alias("doc_id"))), ["set", "doc_id"], "left_semi")
-
-
-def _sent(df: DataFrame) -> DataFrame:
-    """df, sent to every executor if it has no more than SENT rows."""
-    return F.broadcast(df) if df.count() <= SENT else df
-
-
-def _common(sets: DataFrame, part: int = 32, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes found in `least` sets or more of a sample of one in `part`, sorted, at most COMMON of the
-    commonest, and their counts. They order the prefixes alone: pairs are the same with any list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["h"])
-
-    sample = sets.where(F.pmod("set", F.lit(part)) == 0).select("hashes").mapInArrow(run, "h bigint")
-    found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).orderBy(F.col("c").desc(), "h").limit(COMMON).toArrow()
-    h, c = found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
-def _prefixes(sets: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """h, set, n, place: the hashes of each set of which two sets alike by `similarity` share one.
-
-    All sets are ordered in one way, rare hashes first. Sets alike by s share at least s of the hashes
-    of either, so those cannot all lie behind the first n - ceil(s n) + 1 of both."""
-    shared = sets.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shared.value
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = np.frombuffer(raw, np.uint64)
-                n = len(h)
-                if not n:
-                    continue
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.lexsort((h, np.where(known[at] == h, count[at], 0)))]
-                first = n - ceil(similarity * n - 1e-9) + 1
-                for column, x in zip(out, (h[:first].view(np.int64), np.full(first, name), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)), strict=True):
-                    column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "set", "n", "place"])
-
-    return sets.select("set", "hashes").mapInArrow(run, "h bigint, set bigint, n int, place int")
-
-
-def _meeting(filed: DataFrame, similarity: float, steps: int | None = None) -> DataFrame:
-    """a, b: pairs of sets that share a hash of their prefixes and may be alike, by sizes and places,
-    but for pairs that have one component. filed: h, set, n, place, chunks, component. steps: only
-    the next so many in order of size."""
-
-    def pairs(tile: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-        run_of = np.concatenate([[0], np.cumsum(np.any(tile[1:] != tile[:-1], axis=1))])
-        ends = np.searchsorted(run_of, run_of, side="right")
-        name, n, place, component = rest.T
-        at, step = np.arange(len(name)), 1
-        while steps is None or step <= steps:
-            at = at[at + step < ends[at]]
-            at = at[n[at] + 1e-9 >= similarity * n[at + step]]  # in order of n: what fails now fails later
-            if not len(at):
-                break
-            to = at + step
-            most = np.minimum(place[at], place[to]) + np.minimum(n[at] - place[at], n[to] - place[to])
-            near = (component[at] != component[to]) & (most * (1 + similarity) + 1e-6 >= similarity * (n[at] + n[to]))
-            if near.any():
-                a, b = name[at[near]], name[to[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            step += 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 7), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
-            # the last tile may go on in the next batch
-            other = np.flatnonzero(np.any(held[:, :3] != held[-1, :3], axis=1))
-            done = int(other[-1]) + 1 if len(other) else 0
-            if done:
-                yield from pairs(held[:done, :3], held[:done, 3:])
-            held = held[done:]
-        if len(held):
-            yield from pairs(held[:, :3], held[:, 3:])
-
-    own = F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int")
-    tiles = filed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = tiles.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "n", "place", "component")
-    by = ["h", "i", "j"]
-    return tiles.repartition(*by).sortWithinPartitions(*by, "n", "set").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The stored pairs a, b whose sets' intersection is `similarity` or more of their union."""
-    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "needed")
-    need = F.broadcast(need) if need.count() <= SENT else need
-    own = sets.select("set", "hashes").join(need, "set", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(both + 1e-9 >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    met = pairs.join(own.select(F.col("set").alias("a"), F.col("hashes").alias("x")), "a").join(own.select(F.col("set").alias("b"), F.col("hashes").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def _copies(docs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id and component_id of stored rows doc_id, set."""
-    each = docs.groupBy("set", "doc_id").agg(F.count(F.lit(1)).alias("m"))
-    least = materialize(each.groupBy("set").agg(F.min("doc_id").alias("rep"), F.max(F.when(F.col("doc_id").isNotNull(), F.col("m"))).alias("m")), "distinct")
-    named = least.where("rep is not null")
-    sets = _sets(texts, named, words)
-    if not least.where("m > 1").isEmpty():  # rows that are repeated whole
-        sets = sets.dropDuplicates(["set"])
-    sets = materialize(sets.select("set", "hashes"), "sets")
-    prefixes = _prefixes(sets, similarity, _common(sets))
-
-    def filed(rows: DataFrame, shared: DataFrame) -> DataFrame:
-        met = rows.join(_sent(materialize(shared, "shared")), "h")
-        return met.select("h", "set", "n", "place", "component", F.ceil(F.col("m") / BUCKET).cast("int").alias("chunks"))
-
-    # rows that share a smallest doc_id are one document
-    of_one = named.groupBy("rep").agg(F.min("set").alias("a"), F.max("set").alias("z"), F.collect_set("set").alias("all")).where("a <> z").select("a", F.explode("all").alias("b"))
-    # neighbours by few hashes first: what they connect, as a rule the dense groups, needs no more pairs
-    early = prefixes.where("place < 3").withColumn("component", F.col("set"))
-    size = F.count(F.lit(1)).alias("m")
-    near = materialize(_meeting(filed(early, early.groupBy("h").agg(size).where("m > 1")), similarity, 2), "pairs")
-    first = materialize(_alike(near, sets, similarity).union(of_one), "alike")
-    so_far = materialize(components(first).select(F.col("node").alias("set"), "component"), "components")
-    every = prefixes.join(_sent(so_far), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    apart = every.groupBy("h").agg(size, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h", "m")
-    rest = materialize(_meeting(filed(every, apart), similarity), "pairs")
-    found = components(first.union(_alike(rest, sets, similarity))).withColumnRenamed("node", "set")
-    ids = found.join(least, "set").groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = found.join(ids, "component").select("set", "component_id")
-    of = least.join(linked, "set", "left").select("set", F.coalesce("component_id", "rep").alias("component_id"))
-    # stored, so that the last join shuffles both sides itself and a hot set can be split
-    return docs.join(materialize(of, "classes"), "set").select("doc_id", "component_id")
-
-
-def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 4, blocks: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near copies: of each group the row with the smallest doc_id.
 
     Texts are linked if the sets of their runs of `words` words are alike (Jaccard) by `similarity` or
-    more, counted on 64-bit hashes of all runs; groups are what links connect. Pairs come from prefixes
-    of the sets in one order, which miss none. Null and wordless texts are copies of each other. Rows that
-    share a doc_id are one document, of which one row stays; rows without a doc_id stay."""
-    columns = df.columns
+    more, counted on 64-bit hashes of all runs; groups are what links connect. Candidates are the
+    nearest fingerprints that meet in pigeonhole blocks, and, as 64 bits can't hold every such pair,
+    sets that share a hash of their prefixes; none is missed, and each is verified on the whole sets.
+    Null and wordless texts are copies of each other. Rows that share a doc_id are one document, of
+    which one row stays; rows without a doc_id stay. An empty table gives an empty result."""
     texts = text_column(df, id_col, text_col)
-    docs = materialize(_names(texts, words), "names")
-    groups = materialize(_copies(docs, texts, words, similarity), "groups")
-    by_id = groups.groupBy("doc_id").agg(F.max("component_id").alias("m"), F.count(F.lit(1)).alias("n"))
-    dropped = by_id.where("m <> doc_id").select(F.col("doc_id").alias("_dropped"))
-    kept = by_id.where("m = doc_id and n > 1")
-    dropped = materialize(dropped, "dropped")
-    # up to SENT ids, some 20 MB, go to every executor and the texts stay where they are; beyond, both
-    # sides are shuffled
-    dropped = F.broadcast(dropped) if dropped.count() <= SENT else dropped.hint("merge")
-    out = df.join(dropped, F.col(f"`{id_col}`") == F.col("_dropped"), "left_anti")
-    if not kept.isEmpty():
-        once = out.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
-        out = once.unionByName(out.where(F.col(f"`{id_col}`").isNull()))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    docs = materialize(copies.names(texts, words), "names")
+    grouped = copies.groups(docs, texts, words, similarity, lambda fps: links(fps, max_bits, blocks))
+    return copies.keep_first(df, materialize(grouped, "groups"), id_col)

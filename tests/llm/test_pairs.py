@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quarry.llm import components, embeddings, simhash, topk, urls, vectors
+from quarry.llm import components, copies, embeddings, simhash, topk, urls
 
 
 def _reach(n, pairs):
@@ -35,12 +35,17 @@ def test_components(spark, seed):
     assert components.components(df.limit(0)).count() == 0
 
 
-def test_roots():
-    r = random.Random(1)
+def test_forest():
+    r = random.Random(3)
     for _ in range(50):
-        pairs = [(r.randrange(40), r.randrange(40)) for _ in range(r.randrange(60))]
-        i, j = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
-        assert embeddings.roots(40, i, j).tolist() == _reach(40, pairs)
+        pairs = [(r.randrange(40), r.randrange(40)) for _ in range(r.randrange(90))]
+        forest, kept = components.Forest(30), []
+        forest.grow(10)
+        for part in (pairs[:20], pairs[20:]):
+            i, j = (np.array([p[k] for p in part], dtype=np.int64) for k in (0, 1))
+            kept += [part[k] for k in forest.add(i, j).tolist()]
+        assert _reach(40, kept) == _reach(40, pairs)
+        assert len(kept) == 40 - len(set(_reach(40, pairs)))
 
 
 # --- 1 SimHash -------------------------------------------------------------------------------
@@ -122,6 +127,8 @@ def test_keep_one(spark, docs):
 def test_keep_one_equals_brute_force(spark, monkeypatch, bucket):
     """Texts with single words or one passage replaced, alike by 0.5 to 1, about half of them below 0.8."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(copies, "TILE", bucket * 8)
+    monkeypatch.setattr(copies, "SAMPLED", 3)
     r = random.Random(7)
     texts = []
     for _ in range(40):
@@ -147,6 +154,17 @@ def test_keep_one_equals_brute_force(spark, monkeypatch, bucket):
     assert sorted(x["doc_id"] for x in simhash.keep_one(df).collect()) == sorted(set(want))
 
 
+def test_sketches_bound_what_sets_share():
+    r = np.random.default_rng(5)
+    for n in (3, 40, 900):
+        pool = r.integers(0, 2**63, 2 * n).astype(np.uint64)
+        for _ in range(20):
+            a, b = (np.unique(r.choice(pool, n)) for _ in range(2))
+            x, y = (np.frombuffer(copies.sketch(v), np.uint8).astype(int) for v in (a, b))
+            assert len(np.intersect1d(a, b)) <= np.minimum(x, y).sum()
+    assert copies.sketch(np.arange(300, dtype=np.uint64)) is None
+
+
 # --- 3 embeddings ----------------------------------------------------------------------------
 
 
@@ -156,73 +174,89 @@ def _vectors(seed=0):
     return np.vstack([base, *[base[:15] + r.normal(size=(15, 12)) * s for s in (0.1, 0.3, 0.4)], np.repeat(base[:1], 12, 0), base[3:4] * 7])
 
 
-@pytest.mark.parametrize("block", [4096, 9])
-def test_embeddings(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "held"), [(4096, 1 << 26), (9, 1000)])
+def test_embeddings(spark, monkeypatch, block, held):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "HELD", held)
     v = _vectors()
     bad = [(900, None), (901, [0.0] * 12), (902, [float("nan")] * 12), (903, [1.0] * 11 + [float("inf")]), (904, [None] * 12), (905, [])]
-    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + bad, "vec_id long, embedding array<double>").selectExpr("*", "1 AS rep", "2 AS links")
-    got = {x["vec_id"]: x for x in embeddings.near_duplicates(df, 0.9).collect()}
+    far = 2**60
+    rows = [(far + i, [float(x) for x in row]) for i, row in enumerate(v)] + bad + [(None, [float(x) for x in v[0]]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS rep", "2 AS links", "3 AS copies")
+    every = embeddings.near_duplicates(df, 0.9).collect()
+    got = {x["vec_id"]: x for x in every}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     link = u @ u.T >= 0.9
     np.fill_diagonal(link, False)
     want = _reach(len(v), list(zip(*np.nonzero(link), strict=True)))
-    assert link.sum() > 100
+    assert link.sum() > 100 and len(every) == len(rows)
     for i in range(len(v)):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (link[i].sum(), want[i], want[i] == i)
+        x = got[far + i]
+        assert (x["n_links"], x["component_id"], x["kept"]) == (link[i].sum(), far + want[i], want[i] == i)
     for i, _ in bad:
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert [(x["n_links"], x["component_id"], x["kept"]) for x in every if x["vec_id"] is None] == [(0, None, False)] * 2
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+    assert embeddings.near_duplicates(df.where("vec_id = 900")).collect()[0]["component_id"] == 900
+
 
+def test_embeddings_at_the_threshold(spark):
+    """Pairs at a cosine of 0.9 or a rounding below, which no code can tell, and vectors of other lengths."""
+    at = [(0, [1.0, 0.0]), (1, [0.9, float(np.sqrt(1 - 0.81))]), (2, [0.9 - 1e-9, float(np.sqrt(1 - (0.9 - 1e-9) ** 2))]), (3, [0.9 + 1e-9, -float(np.sqrt(1 - (0.9 + 1e-9) ** 2))]), (4, [1.0, 0.0, 0.0])]
+    got = {x["vec_id"]: x for x in embeddings.near_duplicates(spark.createDataFrame(at, "vec_id long, embedding array<double>"), 0.9).collect()}
+    near = {(i, j) for i in range(4) for j in range(4) if i != j and embeddings.cosine(np.array([at[i][1]]), np.array([at[j][1]]))[0] >= 0.9}
+    assert (0, 3) in near and (0, 2) not in near
+    assert [got[i]["n_links"] for i in range(5)] == [sum(a == i for a, _ in near) for i in range(4)] + [0]
 
-def test_quantisation_bound_holds():
+
+def test_quantisation_bounds_hold():
     r = np.random.default_rng(3)
-    u, v = embeddings.unit(r.normal(size=(200, 64))), embeddings.unit(r.normal(size=(200, 64)) * 1e30)
-    (qu, su, eu), (qv, sv, ev) = embeddings.quantise(u), embeddings.quantise(v)
-    product = (qu.astype(float) @ qv.astype(float).T) * su[:, None] * sv[None, :]
-    bound = (eu + 1.5 * eu**2)[:, None] + (ev + 1.5 * ev**2)[None, :]
-    assert (np.abs(u @ v.T - product) <= bound).all()
+    for d in (64, 2500):
+        u, v = embeddings.unit(r.normal(size=(100, d))), embeddings.unit(r.normal(size=(100, d)) * 1e30)
+        a, b = (embeddings.Codes.of(np.arange(100), np.ones(100, np.int64), x) for x in (u, v))
+        whole = a.first.astype(np.int64) @ b.first.astype(np.int64).T
+        assert (embeddings.product(a.first, b.first) == whole).all()
+        for product, e in ((whole * a.numbers[:, 0, None] * b.numbers[:, 0], 1), (a.fine(np.arange(100)) @ b.fine(np.arange(100)).T, 3)):
+            bound = lambda x: x + 1.5 * x**2
+            assert (np.abs(u @ v.T - product) <= bound(a.numbers[:, e, None]) + bound(b.numbers[:, e]) + 1e-12).all()
+        assert a.numbers[:, 3].max() < a.numbers[:, 1].max() / 50
 
 
 # --- 6 top-k ---------------------------------------------------------------------------------
 
 
-def test_topk(spark, monkeypatch):
+@pytest.mark.parametrize("round_", [1 << 20, 200])
+def test_topk(spark, monkeypatch, round_):
     monkeypatch.setattr(topk, "SHARD", 7)
     monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "ROUND", round_)
     r = np.random.default_rng(1)
     v = np.vstack([r.normal(size=(30, 6)), np.repeat(r.normal(size=(1, 6)), 25, 0)])
-    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(500, None), (600, [float("nan")] * 6)]
+    far = 2**60
+    rows = [(far + i, [float(x) for x in row]) for i, row in enumerate(v)] + [(500, None), (600, [float("nan")] * 6), (None, [1.0] * 6), (700, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS tile", "2 AS salt")
-    got = topk.search(df.where("vec_id % 5 = 0"), df, 10, "vec_id", "embedding", 1024.0).collect()
+    asked = df.where(f"(vec_id - {far}) % 5 = 0 or vec_id is null")
+    got = topk.search(asked.union(asked), df, 10, "vec_id", "embedding", 1024.0).collect()
     q = np.floor(1024 * v).astype(int)
     want = []
     for i in range(0, len(v), 5):
         best = sorted(((-int(q[i] @ q[j]), j) for j in range(len(v)) if j != i))[:10]
-        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+        want += [(far + i, k + 1, far + j, -s) for k, (s, j) in enumerate(best)]
     assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == want
-    few = df.where("vec_id < 4")
-    assert topk.search(few.where("vec_id = 0"), few, 10, "vec_id", "embedding", 1024.0).count() == 3
+    few = df.where(f"vec_id between {far} and {far + 3}")
+    assert topk.search(few.where(f"vec_id = {far}"), few, 10, "vec_id", "embedding", 1024.0).count() == 3
     assert topk.search(df.limit(0), df, 10, "vec_id", "embedding", 1024.0).count() == 0
-    assert topk.search(df.where("vec_id = 0"), df.limit(0), 10, "vec_id", "embedding", 1024.0).count() == 0
+    assert topk.search(few.where(f"vec_id = {far}"), df.limit(0), 10, "vec_id", "embedding", 1024.0).count() == 0
 
 
-def test_topk_huge_components():
+def test_topk_huge_components(spark):
     q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 5.0], [2.0**20, 3.0]])
     assert topk._scores(q, c).tolist() == [[2**60 + 5, 2**60 + 3]]
     ids = topk.tile_top(np.array([9]), q, np.array([2, 1]), c, 1)
     assert (ids[1].tolist(), ids[2].tolist()) == ([2], [2**60 + 5])
-
-
-def test_blocks(spark):
-    df = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(11)], "id long, g long, v array<double>").coalesce(1)
-    rows = vectors.blocks(df, 3, "id", "v", "g").collect()
-    seen = []
-    for r in rows:
-        ids, m = vectors.unpack(r["ids"], r["vals"])
-        assert len(ids) <= 3 and all(i % 2 == r["grp"] for i in ids) and m[:, 0].tolist() == ids.tolist()
-        seen += ids.tolist()
-    assert sorted(seen) == list(range(11))
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 1.0]), (3, [0.0, 5.0])], "vec_id long, embedding array<double>")
+    got = topk.search(df.where("vec_id = 0"), df, 10, "vec_id", "embedding", 1024.0).orderBy("rank").collect()
+    assert [(x["vec_id"], x["score"]) for x in got] == [(1, 2**63 - 1), (3, 1024 * 5120), (2, 1 - 2**63)]
 
 
 # --- 4 urls ----------------------------------------------------------------------------------
@@ -287,3 +321,16 @@ def test_url_templates_of_deep_and_rare_segments(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
     got = {x["page_id"]: x["verdict"] for x in urls.judge(df, rules).collect()}
     assert len(got) == len(rows) and all(got[i] == ("block" if "/win/" in u else "allow") for i, u in enumerate(rows))
+
+
+def test_url_branches_alike_are_merged(spark):
+    """Sections of one shape share their labels, those whose labels or shapes differ don't."""
+    rules = [urls.Rule("a.example/de/", "block"), urls.Rule("b.example/de/", "block"), urls.Rule("b.example/fr/", "allow"), urls.Rule("c.example/de/", "block")]
+    rows = [f"http://{h}.example/{s}/{i}" for h in "abc" for s in ("de", "fr", "en") for i in range(40)]
+    rows += [f"http://c.example/about{i // 20}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {u: x for x in urls.judge(df, rules).collect() for u in [rows[x["page_id"]]]}
+    assert {got[f"http://a.example/{s}/{i}"]["verdict"] for s in ("fr", "en") for i in range(40)} == {"block"}
+    assert {got[f"http://b.example/en/{i}"]["verdict"] for i in range(40)} == {"allow"}
+    assert {got[f"http://c.example/en/{i}"]["verdict"] for i in range(40)} == {"block"}
+    assert {got[f"http://c.example/about{i}"]["verdict"] for i in range(10)} == {"allow"}

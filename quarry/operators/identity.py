@@ -43,14 +43,16 @@ def contract_violations(aliases: DataFrame, codes: tuple[str, ...] = ("isin", "l
 
 
 def evidence(rows: DataFrame, index: DataFrame, row_id: str, codes: tuple[str, ...]) -> DataFrame:
-    """Intersect what each code's evidence says about a row: unique, ambiguous, conflict, unresolved."""
+    """Intersect what each code's evidence says about a row: unique, ambiguous, conflict, unresolved.
+
+    A code may name any number of instruments: they stay rows, counted per row and instrument."""
     parts = []
     for c in codes:
-        sets = index.where(F.col(c).isNotNull() & F.col("isin").isNotNull()).groupBy(F.col(c).alias("_k")).agg(F.collect_set("isin").alias("_s"))
-        parts.append(rows.select(row_id, F.col(c).alias("_k")).where("_k is not null").join(sets, "_k").select(row_id, "_s"))
-    said = reduce(DataFrame.unionByName, parts)
-    votes = said.groupBy(row_id).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(row_id, "_r")
-    shared = said.select(row_id, F.explode("_s").alias("isin")).groupBy(row_id, "isin").agg(F.count(F.lit(1)).alias("_c"))
+        said = index.where(F.col(c).isNotNull() & F.col("isin").isNotNull()).select(F.col(c).alias("_k"), "isin").distinct()
+        parts.append(rows.select(row_id, F.col(c).alias("_k")).where("_k is not null").join(said, "_k").select(row_id, F.lit(c).alias("_code"), "isin"))
+    every = reduce(DataFrame.unionByName, parts)
+    shared = every.groupBy(row_id, "isin").agg(F.count_distinct("_code").alias("_c"))
+    votes = every.groupBy(row_id).agg(F.count_distinct("_code").alias("_n")).withColumnRenamed(row_id, "_r")
     agreed = shared.join(votes, F.col(row_id) == F.col("_r")).where("_c = _n").groupBy(row_id).agg(F.count(F.lit(1)).alias("_a"), F.min("isin").alias("resolved_isin")).withColumnRenamed(row_id, "_q")
     out = rows.join(votes, F.col(row_id) == F.col("_r"), "left").join(agreed, F.col(row_id) == F.col("_q"), "left")
     status = F.when(F.col("_n").isNull(), "unresolved").when(F.col("_a").isNull(), "conflict").when(F.col("_a") > 1, "ambiguous").otherwise("unique")

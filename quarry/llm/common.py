@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,11 +33,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     makes sure that the work above is done once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs within sends at most `rows` rows at once to Python workers: rows here hold whole texts, and
+    a batch is held several times over, outside the heap too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(was) <= 0 else min(rows, int(was))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is None:
@@ -57,6 +73,14 @@ def release() -> None:
 atexit.register(release)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, such that df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Rename columns of df that clash with names the operator is about to add."""
     clash = {n.lower() for n in names}
@@ -76,21 +100,22 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
     the values above per_bucket are spread. A key's rows are spread over hash buckets of the order columns; ranks run within a bucket, and
     the buckets' counts, summed, are the offset. So no task sorts more than about per_bucket rows.
     Rows that are equal in all order columns may take each other's rank."""
+    bucket, within, start = (spare(df, n) for n in ("_bucket", "_within", "_before"))
+    own = {k: spare(df, f"_o_{k}") for k in (*keys, bucket)}
     if isinstance(rows, dict):
         many = {k: -(-n // per_bucket) for k, n in rows.items() if n > per_bucket}
         parts = F.create_map(*[F.lit(x) for kv in many.items() for x in kv]) if many else None
         buckets = F.coalesce(F.try_element_at(parts, F.col(keys[0]).cast("int")), F.lit(1)) if many else F.lit(1)
     else:
         buckets = F.lit(max(1, -(-rows // per_bucket)))
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), buckets).cast("int"))
-    counts = spread.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_bucket").alias("_o_bucket"), F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    ranked = spread.withColumn("_within", within)
-    on = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys] + [F.col("_bucket") == F.col("_o_bucket")]
+    spread = df.withColumn(bucket, F.pmod(F.xxhash64(*order), buckets).cast("int"))
+    counts = spread.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(k).alias(own[k]) for k in own], F.coalesce(before, F.lit(0)).alias(start))
+    ranked = spread.withColumn(within, F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
+    on = [F.col(k).eqNullSafe(F.col(own[k])) for k in keys] + [F.col(bucket) == F.col(own[bucket])]
     joined = ranked.join(offsets, on, "inner")
-    return joined.withColumn(name, (F.col("_within") - 1 + F.col("_before")).cast("long")).drop(*[f"_o_{k}" for k in keys], "_o_bucket", "_before", "_within", "_bucket")
+    return joined.withColumn(name, (F.col(within) - 1 + F.col(start)).cast("long")).drop(*own.values(), start, within, bucket)
 
 
 def text_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import gapless_rank, materialize, text_column
+from quarry.llm.common import gapless_rank, materialize, spare, text_column, without
 
 # --- token ids -------------------------------------------------------------------------------
 
@@ -245,12 +245,15 @@ def pack(cut_up: DataFrame, capacity: int = 2048, length_col: str = "length", or
 
     Every row gets a place; a sequence's rows lie without gaps from offset 0. Which of several rows
     of one length gets which place depends on the order columns alone. An empty input gives an
-    empty result. The input is read twice: give a stored table."""
+    empty result. Columns of the input named sequence_id or offset are renamed. The input is read
+    twice: give a stored table."""
+    cut_up = without(cut_up, "sequence_id", "offset")
+    rank = spare(cut_up, "_rank")
     histogram = {int(r[0]): int(r[1]) for r in cut_up.groupBy(length_col).count().collect()}  # at most capacity rows
     if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
         raise ValueError(f"lengths must be 1 to {capacity}: {min(histogram)} to {max(histogram)}")
     placed = plan(histogram, capacity)
-    ranked = gapless_rank(cut_up, [length_col], [F.col(c) for c in order], "_rank", histogram, per_bucket=1000)
+    ranked = gapless_rank(cut_up, [length_col], [F.col(c) for c in order], rank, histogram, per_bucket=1000)
     shared = cut_up.sparkSession.sparkContext.broadcast(placed)
     names = cut_up.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_up.schema) + ", sequence_id bigint, offset bigint"
@@ -258,10 +261,10 @@ def pack(cut_up: DataFrame, capacity: int = 2048, length_col: str = "length", or
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = shared.value
         for batch in batches:
-            sequence, offset = where.locate(*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length_col, "_rank")))
+            sequence, offset = where.locate(*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length_col, rank)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(run, schema)
+    return ranked.select(*[F.col(f"`{c}`") for c in names], rank).mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, split: str, end_id: int = 0, capacity: int = 2048, outputs: tuple[str, ...] = ("ids",), **columns: str) -> DataFrame:

@@ -352,12 +352,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int =
         for batch in batches:
             x = [own.parts(t.as_py()) for t in batch.column(1)]
             lists = [pa.array([v[k] for v in x], pa.list_(pa.float64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], ["doc_id", "top", "total", "toxic"])
-
-    # no more rows than the sample
-    got = rows.mapInArrow(featured, "doc_id bigint, top array<double>, total array<double>, toxic int").orderBy("doc_id", "top", "total").select("top", "total", "toxic").collect()
-    top, total = (np.array([r[k] for r in got], dtype=np.float64).reshape(-1, KINDS) for k in (0, 1))
-    y = np.array([r[2] for r in got], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([*lists, batch.column(2)], ["top", "total", "toxic"])
+
+    # no more rows than the sample; those without a clause, most of them, are one row a class
+    alike = rows.mapInArrow(featured, "top array<double>, total array<double>, toxic int").groupBy("top", "total", "toxic").count()
+    got = alike.orderBy("top", "total", "toxic").collect()
+    times = [r["count"] for r in got]
+    top, total = (np.repeat(np.array([r[k] for r in got], dtype=np.float64).reshape(-1, KINDS), times, axis=0) for k in (0, 1))
+    y = np.repeat(np.array([r[2] for r in got], dtype=np.float64), times)
     counts = counted(total, y)
     x = np.stack([(top * counts).max(1), np.log1p((total * counts).sum(1))], axis=1)
     return Grammar(grammar.lexicon, fit(x, y), counts)

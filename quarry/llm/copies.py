@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import few, materialize
+from quarry.llm.common import few, materialize, spare
 from quarry.llm.components import components
 
 SEED = 42
@@ -35,6 +35,10 @@ COMMON = 500_000
 REMEMBERED = 60_000
 #: Parts of the range of hashes by which sets are sketched.
 BUCKETS = 256
+#: The same, where sketches are held against each other for every pair that meets; what a set has that
+#: doesn't fit.
+COARSE = 64
+ANY = bytes([255]) * COARSE
 
 
 # --- shingle sets ----------------------------------------------------------------------------
@@ -206,10 +210,12 @@ ENTRY = "h bigint, tile bigint, set bigint, sized bigint, component bigint"
 
 
 def _by_run(entries: DataFrame, each, schema: str) -> DataFrame:  # noqa: ANN001
-    """Apply each(entries, run numbers) to whole runs of one hash and tile, in order of size."""
+    """Apply each(entries, run numbers, coarse sketches or nothing) to whole runs of one hash and tile, in
+    order of size."""
+    sketched = "coarse" in entries.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 5), np.int64)
+        held, coarse = np.empty((0, 5), np.int64), np.empty((0, COARSE), np.uint8)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -217,14 +223,16 @@ def _by_run(entries: DataFrame, each, schema: str) -> DataFrame:  # noqa: ANN001
             columns.append(batch.column(4).fill_null(0).to_numpy(zero_copy_only=False))
             columns[4] = np.where(batch.column(4).is_null().to_numpy(zero_copy_only=False), columns[2], columns[4])
             held = np.concatenate([held, np.stack(columns, axis=1)])
+            if sketched:
+                coarse = np.concatenate([coarse, np.frombuffer(b"".join(v if v is not None else ANY for v in batch.column(5).to_pylist()), np.uint8).reshape(-1, COARSE)])
             # the last run may go on in the next batch
             other = np.flatnonzero(np.any(held[:, :2] != held[-1, :2], axis=1))
             done = int(other[-1]) + 1 if len(other) else 0
             if done:
-                yield from each(held[:done], _runs(held[:done]))
-                held = held[done:]
+                yield from each(held[:done], _runs(held[:done]), coarse[:done] if sketched else None)
+                held, coarse = held[done:], coarse[done:]
         if len(held):
-            yield from each(held, _runs(held))
+            yield from each(held, _runs(held), coarse if sketched else None)
 
     return entries.repartition("h", "tile").sortWithinPartitions("h", "tile", "sized", "set").mapInArrow(run, schema)
 
@@ -236,7 +244,7 @@ def _runs(rows: np.ndarray) -> np.ndarray:
 def meeting(entries: DataFrame) -> DataFrame:
     """The entries of hashes under which sets of different components meet."""
 
-    def each(rows: np.ndarray, run_of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def each(rows: np.ndarray, run_of: np.ndarray, _: None) -> Iterator[pa.RecordBatch]:
         component = rows[:, 4]
         starts = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]]))
         apart = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
@@ -249,24 +257,43 @@ def meeting(entries: DataFrame) -> DataFrame:
 
 def pairs(entries: DataFrame, similarity: float, steps: int | None = None) -> DataFrame:
     """a, b: sets of different components that share a hash of their prefixes and may be alike, by
-    sizes and places. steps: only the next so many in order of size."""
+    sizes and places. steps: only the next so many in order of size, and with them the set in which
+    the hash comes first of all: copies that were edited apart have rarer hashes before it than what
+    they were made from, so that one is likely to be like all of them. Where entries carry coarse
+    sketches, pairs that these tell apart are left out."""
 
-    def each(rows: np.ndarray, run_of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def each(rows: np.ndarray, run_of: np.ndarray, coarse: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         ends = np.searchsorted(run_of, run_of, side="right")
         name, component = rows[:, 2], rows[:, 4]
         n, place = rows[:, 3] >> 32, rows[:, 3] & 0xFFFFFFFF
+
+        def near(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+            most = np.minimum(place[at], place[to]) + np.minimum(n[at] - place[at], n[to] - place[to])
+            keep = (component[at] != component[to]) & (most * (1 + similarity) + 1e-6 >= similarity * (n[at] + n[to]))
+            at, to = at[keep], to[keep]
+            if coarse is not None and len(at):
+                keep = np.empty(len(at), bool)
+                for s in range(0, len(at), 100_000):
+                    x, y = at[s : s + 100_000], to[s : s + 100_000]
+                    # ANY bounds nothing: its partner's own size is what is left
+                    most = np.minimum(coarse[x], coarse[y]).sum(1, dtype=np.int64)
+                    keep[s : s + 100_000] = (most == 255 * COARSE) | (most * (1 + similarity) + 1e-6 >= similarity * (n[x] + n[y]))
+                at, to = at[keep], to[keep]
+            a, b = name[at], name[to]
+            return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
         at, step = np.arange(len(rows)), 1
         found: list[np.ndarray] = []
+        if steps is not None:
+            first = np.lexsort((at, place, run_of))
+            starts = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1]]))
+            found.append(near(at, first[starts][run_of]))
         while steps is None or step <= steps:
             at = at[at + step < ends[at]]
             at = at[n[at] + 1e-9 >= similarity * n[at + step]]  # in order of n: what fails now fails later
             if not len(at):
                 break
-            to = at + step
-            most = np.minimum(place[at], place[to]) + np.minimum(n[at] - place[at], n[to] - place[to])
-            near = (component[at] != component[to]) & (most * (1 + similarity) + 1e-6 >= similarity * (n[at] + n[to]))
-            a, b = name[at[near]], name[to[near]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            found.append(near(at, at + step))
             step += 1
             if sum(map(len, found)) > 1_000_000:
                 yield told(found)
@@ -307,6 +334,22 @@ def verified(met: DataFrame, owners: DataFrame, texts: DataFrame, words: int, si
     return met.join(side("b", "tb"), "b").join(side("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def with_coarse(entries: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The entries with their sets' sketches in COARSE parts. distinct: set, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for v in batch.column(1).to_pylist():
+                c = np.frombuffer(v, np.uint8).reshape(COARSE, -1).sum(1, dtype=np.int64) if v is not None else None
+                out.append(c.astype(np.uint8).tobytes() if c is not None and c.max() < 255 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["set", "coarse"])
+
+    sets = entries.select("set").distinct()
+    own = distinct.select("set", "sketch").join(sets, "set", "left_semi").mapInArrow(run, "set bigint, coarse binary")
+    return entries.join(own, "set", "left").select("h", "tile", "set", "sized", "component", "coarse")
+
+
 def _likely(met: DataFrame, ends: DataFrame, similarity: float) -> DataFrame:
     """The pairs a, b that may be alike by sizes and sketches: two sets share no more hashes in a part of
     their range than the smaller has there. ends: set, n, sketch."""
@@ -375,10 +418,15 @@ def groups(docs: DataFrame, texts: DataFrame, words: int, similarity: float, clo
     stars = _stars(components(links))
     known = materialize(owners.select("set", "doc_id").join(stars.select(F.col("b").alias("set"), F.col("a").alias("component")), "set").select("doc_id", "set", "component"), "known")
     met = materialize(meeting(prefixes(texts.join(few(known), "doc_id", "left").select("doc_id", "text", "set", "component"), words, similarity, common(docs))), "meeting")
-    # neighbours in order of size first, which connects what the fingerprints have missed of a dense group
-    stars = _stars(components(stars.union(check(pairs(met, similarity, 1)))))
-    now = met.drop("component").join(stars.select(F.col("b").alias("set"), F.col("a").alias("component")), "set", "left").select("h", "tile", "set", "sized", "component")
-    found = components(stars.union(check(pairs(now, similarity)))).withColumnRenamed("node", "set")
+    # few pairs of each first, in two rounds, which connect what the fingerprints have missed of dense groups:
+    # sets that have one component by then are not held against each other
+    now = met
+    for steps in (1, 8):
+        more = check(pairs(now, similarity, steps))
+        if not more.isEmpty():
+            stars = _stars(components(stars.union(more)))
+            now = materialize(meeting(met.drop("component").join(stars.select(F.col("b").alias("set"), F.col("a").alias("component")), "set", "left").select("h", "tile", "set", "sized", "component")), "meeting")
+    found = components(stars.union(check(pairs(with_coarse(now, distinct), similarity)))).withColumnRenamed("node", "set")
     ids = found.join(distinct, "set").groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = found.join(ids, "component").select("set", "component_id")
     of = distinct.join(linked, "set", "left").select("set", F.coalesce("component_id", "rep").alias("component_id"))
@@ -395,7 +443,7 @@ def keep_first(df: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
     """The rows of df whose id is the smallest of its group, once each; rows without an id stay.
     grouped: doc_id, component_id, stored."""
     by_id = grouped.groupBy("doc_id").agg(F.max("component_id").alias("m"), F.count(F.lit(1)).alias("n"))
-    own = next(c for c in (f"_{'x' * k}dropped" for k in range(len(df.columns) + 1)) if c not in {x.lower() for x in df.columns})
+    own = spare(df, "_dropped")
     id_: Column = F.col(f"`{id_col}`")
     dropped = few(materialize(by_id.where("m <> doc_id").select(F.col("doc_id").alias(own)), "dropped"))
     out = df.join(dropped, id_.cast("long") == F.col(own), "left_anti")

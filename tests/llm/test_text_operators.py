@@ -7,6 +7,7 @@ from math import log10
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import bpe, lm, packing, pii, sharding, toxicity
@@ -132,7 +133,6 @@ def _jump(key, n):
 
 
 def test_jump_equals_published_loop(spark):
-    
     k = F.xxhash64("id")
     for n in (1, 2, 24, 300):
         rows = spark.range(200).select(k.alias("k"), sharding.jump(k, n).alias("s"), sharding.jump(k, n + 1).alias("t")).collect()
@@ -153,7 +153,6 @@ def test_shard_documents(spark, docs):
 
 
 def test_gapless_rank_over_many_buckets(spark):
-    
     from quarry.llm.common import gapless_rank
 
     df = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
@@ -163,6 +162,17 @@ def test_gapless_rank_over_many_buckets(spark):
             assert sorted(r["r"] for r in rows if r["k"] == k) == list(range(sum(i % 3 == k for i in range(500))))
 
 
+def test_pack_with_clashing_columns(spark):
+    rows = [(i, 0, 1 + i * 37 % 50, 7, 8, 9, 10, 11) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length int, _rank int, _bucket int, _within int, _before int, offset int")
+    got = packing.pack(df, 64).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert (r["_rank"], r["_bucket"], r["_within"], r["_before"], r["input_offset"]) == (7, 8, 9, 10, 11)
+    assert len(got) == 60 and all(sum(n for _, n in v) <= 64 and sorted(o for o, _ in v)[0] == 0 for v in by.values())
+
+
 # --- 7 language model ------------------------------------------------------------------------
 
 
@@ -193,11 +203,35 @@ def test_lm_learns_contexts():
     truth = r.dirichlet(np.full(6, 0.3), size=3)
     for c in range(9):
         counts[c] = r.multinomial(5000, truth[c % 3])
-    table = lm.train(counts, steps=300, dimensions=4)
+    w = lm.train(counts, steps=300, dimensions=4)
+    table = lm.parameters_to_table(w)
     assert np.allclose((10**table).sum(1), 1)
     share = counts.sum(0) / counts.sum()
     assert (counts * table).sum() > (counts * np.log10(share)).sum()
     assert np.abs(10**table - counts / counts.sum(1, keepdims=True)).max() < 0.1
+    # a target or a nearer word fitted alone, all else given, is where it was
+    again = lm.fit_targets(counts.T[2:4], counts.sum(1), w, np.hstack([w["target"], w["bias"][:, None]])[2:4], steps=300)
+    ten = np.log(10) * table + lm.sums(w["near"], w["far"], w["target"], w["bias"]).T.ravel()[:, None]
+    own = (w["far"][:, None, :] + w["near"][None, :, :]).reshape(9, -1) @ again[:, :-1].T + again[:, -1]
+    z = lm.sums(w["near"], w["far"], w["target"], w["bias"]).T.ravel()[:, None]
+    assert np.abs(np.exp(own - z) - 10 ** table[:, 2:4]).max() < 0.03
+    assert np.allclose(np.exp(ten - lm.sums(w["near"], w["far"], w["target"], w["bias"]).T.ravel()[:, None]).sum(1), 1)
+
+
+def test_lm_nearer_words_learn_alone():
+    r = np.random.default_rng(3)
+    target, bias = r.normal(size=(30, 6)).astype(np.float32), np.zeros(30, np.float32)
+    truth = r.normal(size=(4, 6)).astype(np.float32)
+    p = np.exp(truth @ target.T)
+    p /= p.sum(1, keepdims=True)
+    counts = np.stack([r.multinomial(20_000, q) for q in p]).astype(np.float32)
+    share = (counts.sum(0) / counts.sum()).astype(np.float32)
+    start = np.zeros((4, 6), np.float32)
+    got = lm.fit_near(counts, share, target, np.log(share), start, start, steps=200)
+    out = got @ target.T + np.log(share)
+    out -= np.log(np.exp(out).sum(1, keepdims=True))
+    loss = lambda q: -(counts * q).sum() / counts.sum()
+    assert loss(out) < loss(np.log(share)) - 0.3 and loss(out) < loss(np.log(p)) + 0.3
 
 
 def test_lm_tokens():
@@ -205,14 +239,33 @@ def test_lm_tokens():
 
 
 def test_lm_contexts():
-    v = lm.Vocabulary({"a": 5, "b": 4, "": 2}, ["a", "b"], ["a"])
+    v = lm.Vocabulary({"a": 5, "b": 4, "c": 3, "": 2}, ["a", "b", "c"], 2, ["a"], ["a", "b"])
     n = lm._Numbers(v)
-    _, target, starts, rare, words, _ = n.lay(["a b zz", "", "a"])
+    index, target, starts, rare, words, _ = n.lay(["a b zz", "", "a c"])
     assert starts.tolist() == [0, 4, 5] and words == ["zz"] and rare.tolist() == [2]
-    ctx = lm.contexts_of(target, starts, v.group_of(), v.contexts)
-    before = v.contexts - 1
-    assert ctx[0] == before * v.contexts + before and ctx[4] == ctx[0] and ctx[5] == ctx[0]
-    assert ctx[1] == before * v.contexts + 0
+    far, one, near = lm.contexts_of(n, index, target, starts)
+    before, zz, c = v.contexts - 1, 1 + lm.shape("zz") // 4, 1 + lm.shape("c") // 4
+    assert far.tolist() == [before, before, 0, 1 + lm.shape("b") // 4, before, before, before, 0]
+    assert one.tolist() == [before, 0, 1 + lm.shape("b") // 4, zz, before, before, 0, c]
+    assert near.tolist() == [2 + before, 0, 1, 2 + zz, 2 + before, 2 + before, 0, 2 + c]
+    assert v.core_of()[:3].tolist() == [0, 1, 2 + lm.shape("c")] and v.core_of()[-1] == v.core_size - 1
+
+
+def test_lm_is_a_distribution(spark):
+    """Over all targets, every class split among its words and one unseen, probabilities add up to one in
+    every context."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").na.fill("", ["text"])
+    v = lm.Vocabulary({"the": 500, "of": 400, "and": 300, "la": 200, "": 200}, ["the", "of", "and", "la"], 2, ["the"], ["the", "of", "la", "never"])
+    m = lm.fit(lm.context_counts(docs, v), v)
+    for near in range(len(m.near)):
+        for far in (0, v.contexts - 1):
+            got = m.score(np.full(v.size, far), np.full(v.size, near), np.arange(v.size))
+            assert abs((10**got).sum() - 1) < 1e-3
+
+
+def test_lm_beats_its_base_on_held_out_rows(spark):
+    got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "sum(base_score) / sum(n_tokens) AS b", "avg(CAST(score > base_score AS double)) AS w").first()
+    assert got["s"] > got["b"] + 0.1 and got["w"] > 0.9
 
 
 def test_lm_end_is_counted_outside_the_head(spark, monkeypatch):
@@ -229,26 +282,88 @@ def test_lm_end_is_counted_outside_the_head(spark, monkeypatch):
 
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"idio": 1.0, "scum$": 0.8}, (-6.0, 8.0, 2.0))
-    plain, addressed = g.clauses("some idiotic noise"), g.clauses("you are an idiot")
-    denied, quoted = g.clauses("not an idiot"), g.clauses("he said idiot")
+    weight = lambda text: [w * g.counts[k] for k, w in g.clauses(text)]
+    plain, addressed = weight("some idiotic noise"), weight("you are an idiot")
+    denied, quoted = weight("not an idiot"), weight("he said idiot")
     assert plain == [1.0] and addressed[0] > plain[0] > denied[0] and quoted[0] < addressed[0]
-    assert g.clauses("scum scummy") == [0.8] and g.clauses("kill the lights.") == [] and g.clauses("kill") == []
-    assert g.clauses("they will kill you") and not g.clauses("")
-    assert g.score("") < 0.5 < g.score("you idiot")
+    assert weight("scum scummy") == [0.8] and weight("kill the lights.") == [] and weight("kill") == []
+    assert weight("idiot, you") == addressed and weight("idiot. you") == plain and weight("idiot scum idiot") == plain
+    for text in ("I will kill you", "kill you", "we will kill you", "kill or hurt, one day, you"):
+        assert weight(text) == [toxicity.ADDRESSED], text
+    assert weight("never kill you") == [toxicity.ADDRESSED * toxicity.DENIED] and not weight("") and not weight("kill a b c d e f you")
+    assert g.score("") < 0.5 < g.score("you idiot") and g.score("he said not idiot") < g.score("idiot")
+
+
+def _plain_clauses(g, text):
+    """The clauses by direct search over the words, without a machine."""
+    symbols = [g.symbol(w) for w in toxicity.words(text)] + [(toxicity.STOP, 0.0)]
+    marks_ends = (toxicity.BREAK, toxicity.STOP)
+
+    def marked(i, symbol, reach, ends):
+        left = reach
+        for c, _ in reversed(symbols[:i]):
+            if c == symbol:
+                return True
+            left -= c not in marks_ends
+            if c in ends or left <= 0:
+                return False
+        return False
+
+    found = []
+    for kind, threat in ((toxicity.INSULT, False), (toxicity.THREAT, True)):
+        i = 0
+        while i < len(symbols):
+            if symbols[i][0] != kind:
+                i += 1
+                continue
+            marks, weight, left, end, target = 3, 0.0, 6, False, False
+            while not end:
+                c, w = symbols[i]
+                if c == kind:
+                    marks &= marked(i, toxicity.DENY, 2, marks_ends) + 2 * marked(i, toxicity.REPORT, 6, (toxicity.STOP,))
+                    weight, left = max(weight, w), 6
+                    end = target = marked(i, toxicity.TARGET, 4, (toxicity.STOP,))
+                elif c == toxicity.TARGET:
+                    end = target = True
+                else:
+                    left -= c != toxicity.BREAK
+                    end = c == toxicity.STOP or left <= 0
+                i += 1
+            if target or not threat:
+                found.append((8 * threat + marks + 4 * target, weight))
+    return sorted(found)
+
+
+def test_machine_equals_direct_search():
+    r = random.Random(0)
+    g = toxicity.Grammar({"idio": 1.0, "scum$": 0.8})
+    for n in range(3000):
+        text = " ".join(r.choice(["the", "a", "b", "you", "not", "said", "idiot", "scum", "kill", ",", ".", "one", "two"]) for _ in range(r.randrange(1, 25)))
+        assert sorted(g.clauses(text)) == _plain_clauses(g, text), text
 
 
-def test_composition_is_the_product_of_its_parts():
-    r = random.Random(0)
-    for _ in range(300):
-        symbols = [r.randrange(8) for _ in range(12)]
-        states, at = [0, 0, 0], 0
-        for s in symbols:
-            t, d, q = (x > 0 for x in states)
-            matched = s == toxicity.INSULT or s == toxicity.THREAT and t
-            kind = (toxicity.ADDRESSED if t else 1) * (toxicity.DENIED if d else 1) * (toxicity.QUOTED if q else 1)
-            assert toxicity.MACHINE.weight[at][s] == (kind if matched else 0)
-            states = [f.moves.get((x, s), x) for f, x in zip((toxicity.TARGET_FST, toxicity.DENY_FST, toxicity.REPORT_FST), states, strict=True)]
-            at = toxicity.MACHINE.next[at][s]
+def test_scores_equal_direct_search(spark):
+    """Whole documents: learned grammar, score from clauses found without the machine."""
+    from math import exp, log1p
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    g = toxicity.Grammar({"worthl": 1.0, "of$": 0.2, "idio": 0.9}, (-4.0, 3.0, 2.0), tuple(1 + k / 20 for k in range(toxicity.KINDS)))
+    for r in toxicity.score(docs, g).join(docs, "doc_id").collect():
+        found = [w * g.counts[k] for k, w in _plain_clauses(g, r["text"] or "")]
+        b, m, s = g.weights
+        want = b + (m * max(found) + s * log1p(sum(found)) if found else 0.0)
+        assert abs(r["score"] - 1 / (1 + exp(-max(-30, min(30, want))))) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_counts_of_kinds_are_learned():
+    y = np.array([1] * 400 + [0] * 4000, dtype=float)
+    total = np.zeros((4400, toxicity.KINDS))
+    total[:300, 0] = 1
+    total[400:420, 0] = 1
+    total[300:380, 1] = 1
+    total[420:1220, 1] = 1  # denied insults are as frequent among clean rows
+    counts = toxicity.counted(total, y)
+    assert counts[0] == 1 and counts[1] < 0.3 and counts[2] == toxicity.given(2)
 
 
 def test_toxicity_held_out(spark):
@@ -308,6 +423,21 @@ def test_base_equals_patterns():
         assert pii.base(t) == _plain(t)
     for t in ("1" * 3000 + ".2.3.4", "a" * 200_000, "@" * 2000, "+1" * 2000):
         pii.base(t)
+    t = "1." + "0" * 5000 + ".2.3 0." + "0" * 5000 + "7.0.0"
+    assert pii.base(t)["ip"] == [(0, 5006), (5007, len(t))] and pii.base("1." + "9" * 5000 + ".2.3")["ip"] == []
+
+
+def test_decoding_equals_brute_force():
+    from itertools import product
+
+    r = np.random.default_rng(2)
+    t = Tagger(3, width=2, hidden=2)
+    allowed = np.array([[1, 1, 0], [1, 1, 1], [1, 1, 1]], bool)
+    for _ in range(20):
+        t.p["move"], t.p["start"] = r.normal(size=(3, 3)), r.normal(size=3)
+        e = r.normal(size=(6, 3))
+        value = lambda y: e[0, y[0]] + t.p["start"][y[0]] + sum(e[i, y[i]] + t.p["move"][y[i - 1], y[i]] for i in range(1, 6)) if all(allowed[a, b] for a, b in zip(y, y[1:], strict=False)) else -np.inf  # noqa: E731, B023
+        assert tuple(t.decode(e, allowed)) == max(product(range(3), repeat=6), key=value)
 
 
 def test_tagger_gradient():
@@ -367,15 +497,29 @@ def test_find_and_redact(spark, docs):
 
 
 def test_model_adds_written_out_forms():
-    x, y = pii.examples([], 1600)
-    tagger = Tagger(1 + 2 * len(pii.KINDS))
-    tagger.train(x, y, 260)
+    x, y = pii.examples([], 2000)
+    tagger = Tagger(1 + 2 * len(pii.LEARNED))
+    tagger.train(x, y, 320)
     finder = pii.Finder(tagger)
-    texts = ["please call (274) 555-9629 for it", "john.lee [at] mail.com is the name", "this line has 12 words and nothing else in 2024"]
+    texts = ["please call (274) 555-9629 for it", "john.lee [at] mail.com is the name", "this line has 12 words and nothing else in 2024", 'words token = "254a3ed195c502ef96b5857aa82e5fbcfb6b6856" words', "Apache License, Version 2.0. and 2852466340876421 there"]
     found = finder.added(texts, [pii.base(t) for t in texts])
     assert texts[0][slice(*found[0]["phone"][0])] == "(274) 555-9629"
     assert texts[1][slice(*found[1]["email"][0])] == "john.lee [at] mail.com"
-    assert not any(found[2].values())
+    assert texts[3][slice(*found[3]["secret"][0])] == "254a3ed195c502ef96b5857aa82e5fbcfb6b6856"
+    assert not any(found[2].values()) and not any(found[4].values())
     hx, hy = pii.examples([], 200, seed=99)
     got = np.stack([tagger.decode(e, pii.ALLOWED) for e in tagger.emissions(hx)])
-    assert (got == hy).mean() > 0.97
+    assert (got == hy).mean() > 0.95
+
+
+def test_secrets_of_documents(spark):
+    """The documents hold secrets, which no pattern knows; their writing is known here alone."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want, got = set(), set()
+    for r in pii.find(docs).join(docs, "doc_id").collect():
+        want |= {(r["doc_id"], *m.span(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"] or "")}
+        got |= {(r["doc_id"], *map(int, s.split(":")[1:])) for s in r["secrets"].split(",") if s}
+        assert r["n_spans"] == r["n_added"] + r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]
+    assert len(want) > 5 and len(want & got) >= 0.9 * len(want) and len(want & got) >= 0.9 * len(got)

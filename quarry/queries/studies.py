@@ -316,7 +316,7 @@ def ml_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     from quarry.plans import models
 
     rows = panel(spark, sf).withColumn("y", TARGETS["down_5pct_5d"].build()).select("snapshot_date", "y", "price_volatility_20d", "price_return_5d", "short_interest_pct")
-    got = models.walk_forward(rows, ["price_volatility_20d", "price_return_5d", "short_interest_pct"], WINDOWS)
+    got = models.walk_forward(rows, ["price_volatility_20d", "price_return_5d", "short_interest_pct"], WINDOWS, [m for m in models.MODELS.values() if m.task == "classification"])
     return spark.createDataFrame([(g["window"], g["status"], g.get("model"), g.get("n"), g.get("auc")) for g in got], "window string, status string, model string, n bigint, auc double")
 
 

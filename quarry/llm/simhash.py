@@ -121,7 +121,8 @@ def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 7) -> DataFrame:
     another. Every row is two fingerprints as close as that."""
     filed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(max_bits, blocks)])).alias("choice", "part"))
     shared = filed.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = filed.join(shared, ["choice", "part"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
+    # a row of distinct is filed many times over, which its estimated size does not tell: neither side is ever sent out whole
+    met = filed.hint("merge").join(shared, ["choice", "part"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     tiles = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = tiles.select("choice", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import components, copies, embeddings, simhash, topk, urls
 
@@ -95,6 +96,13 @@ def test_links_connect_exactly(spark, monkeypatch, bucket):
     assert _reach(len(fps), [(at[x["a"]], at[x["b"]]) for x in got]) == _reach(len(fps), near)
 
 
+def test_filed_fingerprints_are_not_broadcast(spark, tmp_path):
+    """A stored table is small as a file, and each row of it is filed 35 times."""
+    spark.range(3000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_documents(spark, docs):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == docs.count()

@@ -13,6 +13,22 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b)
 
 
+def mean(x: Column) -> Column:
+    """The average by an exact sum that is rounded once, so the same in whatever order rows come.
+
+    Numbers are summed in three parts as integers, down to 2^-52; where one is 2^40 or more, or no
+    number, it is the plain average."""
+    x = x.cast("double")
+    fits = F.when(F.abs(x) < 2.0**40, x)
+    whole = F.floor(fits)
+    rest = (fits - whole) * 2.0**26
+    low = F.sum(F.floor((rest - F.floor(rest)) * 2.0**26))
+    high = F.sum(F.floor(rest)) + F.shiftright(low, 26)
+    total = (F.sum(whole) + F.shiftright(high, 26)).cast("double")
+    part = (high.bitwiseAND(F.lit(2**26 - 1)) * F.lit(2**26) + low.bitwiseAND(F.lit(2**26 - 1))) / F.lit(2.0**52)
+    return F.when(F.count(fits) == F.count(x), (total + part) / F.count(x)).otherwise(F.avg(x))
+
+
 def lift(a: Column, b: Column) -> Column:
     """a / b only if b is above zero."""
     return F.when(b > 0, a / b)

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import stats
 from quarry.operators import asof, features
 from quarry.plans.spec import Window
 from quarry.sources.store import stored
@@ -51,8 +52,9 @@ WINDOWS = [Window("window_1", "1997-12-31", "1998-12-31", "1999-12-31"), Window(
 
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Averages do not depend on the order in which lines come: whoever asks again gets the same prices."""
     l = table(spark, sf, "lineitem")  # noqa: E741
-    return l.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(to_4(F.avg(F.col("l_extendedprice") / F.col("l_quantity"))).alias("close"))
+    return l.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(to_4(stats.mean(F.col("l_extendedprice") / F.col("l_quantity"))).alias("close"))
 
 
 def market(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Order statistics in pieces, intervals from counts, panel checks, stored panels and sinks."""
 
+import functools
+import math
+import operator
 import random
 from datetime import date, datetime, timezone
 
@@ -7,10 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import stats
 from quarry.operators import buckets, diagnostics, features, inference, order, portfolio, qc, replay
 from quarry.plans import research
 from quarry.plans.spec import SIGNALS, Signal, Spec, SpecError, load
-from quarry.queries.base import WINDOWS
+from quarry.queries.base import WINDOWS, prices
 from quarry.queries.research import RELATIVE_SPECS
 from quarry.sources import sinks, store, tables
 
@@ -35,6 +39,35 @@ def test_quantiles_in_pieces(spark, piece):
     assert order.quantiles(df.where("id < 0"), "x", wanted) == []
 
 
+def test_mean_is_exact(spark):
+    r = random.Random(3)
+    rows = [(g, r.choice([1, -1]) * r.uniform(0, 10 ** r.randrange(1, 9))) for g in range(60) for _ in range(g % 9 + 1)]
+    rows += [(60, None), (61, 1.5), (61, float("nan")), (62, 2.0**50), (62, 2.0**51), (63, None), (63, 2.5)]
+    got = {x["g"]: x["m"] for x in spark.createDataFrame(rows, "g long, x double").groupBy("g").agg(stats.mean(F.col("x")).alias("m")).collect()}
+    for g in range(60):
+        values = [x for k, x in rows if k == g]
+        assert got[g] == math.fsum(values) / len(values)
+    assert got[60] is None and math.isnan(got[61]) and got[62] == 1.5 * 2.0**50 and got[63] == 2.5
+
+
+def test_prices_do_not_depend_on_the_order_of_lines(spark, tmp_path):
+    """Averages at a half of the fourth digit, which plain sums of another order put on either side."""
+    r = random.Random(5)
+    four = lambda values: math.floor(functools.reduce(operator.add, values) / len(values) * 10000 + 0.5)
+    days = []
+    while len(days) < 5:
+        lines = [(round(r.uniform(900, 100_000), 2), float(r.choice([2, 4, 5, 8, 16, 20, 25, 40, 50]))) for _ in range(4)] * 2
+        values = [p / q for p, q in lines]
+        if four(values) != four(values[::-1]) or four(values) != four(sorted(values)):
+            days.append(sorted(lines, key=lambda t: t[0] / t[1]) if four(values) != four(sorted(values)) else lines)
+    found = []
+    for k, way in enumerate((lambda x: x, lambda x: x[::-1], lambda x: x[::2] + x[1::2])):
+        rows = [(d, p, q, datetime(1999, 1, 1)) for d, lines in enumerate(days) for p, q in way(lines)]
+        spark.createDataFrame(rows, "l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate timestamp").coalesce(1).write.parquet(str(tmp_path / str(k) / "lineitem.parquet"))
+        found.append(sorted(map(tuple, prices(spark, str(tmp_path / str(k))).collect())))
+    assert found[0] == found[1] == found[2]
+
+
 def test_top_fractions_in_pieces(spark, piece):
     df, rows = _numbers(spark)
     got = {r["fraction"]: (r["n"], r["mean"]) for r in order.top_fractions(df.where("x is not null and not isnan(x)"), "x", ["id"], [0.001, 0.1, 0.5], "v").collect()}

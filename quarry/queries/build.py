@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import parse, text
-from quarry.operators import asof, features, identity, replay, series
+from quarry.operators import asof, features, identity, order, replay, series
 from quarry.queries.base import _W, HISTORY, LOG, MARKET, OBSERVED, PANEL, PRICES, REGISTER, SECTORS, history, market, panel, position_log, prices, query, register, rounded, sectors, table, to_4
+from quarry.sources.store import stored
 
 _H = ("price_return_5d", "price_return_20d", "price_return_60d")
 
@@ -208,8 +209,11 @@ def feat_severity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("feat_forward_summary", "SELECT count(forward_return_5d) AS rows, count(*) FILTER (forward_return_5d > 0) AS positive, round(min(forward_return_5d), 6) AS least, round(median(forward_return_5d), 6) AS middle, round(max(forward_return_5d), 6) AS most FROM history", HISTORY)
 def feat_forward_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The column is made once and stored; its middle is found in pieces."""
     r = F.col("forward_return_5d")
-    return rounded(history(spark, sf).agg(F.count(r).alias("rows"), F.count_if(r > 0).alias("positive"), F.min(r).alias("least"), F.median(r).alias("middle"), F.max(r).alias("most")))
+    rows = stored(spark, "forward_return_5d", [f"{sf}/lineitem.parquet"], lambda: history(spark, sf).select(r))
+    middle = order.quantiles(rows, "forward_return_5d", [0.5])
+    return rounded(rows.agg(F.count(r).alias("rows"), F.count_if(r > 0).alias("positive"), F.min(r).alias("least"), F.lit(middle[0] if middle else None).cast("double").alias("middle"), F.max(r).alias("most")))
 
 
 _SECTOR = HISTORY + ", " + SECTORS + ", " + MARKET + ", sector_returns AS (SELECT sector, date, " + ", ".join(f"median(price_return_{n}d) AS sector_return_{n}d" for n in features.MOMENTUM) + " FROM history JOIN sectors USING (symbol) GROUP BY 1, 2), market_returns AS (SELECT market_date AS date, " + ", ".join(f"market_close / lag(market_close, {n}) OVER (ORDER BY market_date) - 1 AS market_return_{n}d" for n in features.MOMENTUM) + " FROM market)"

@@ -14,6 +14,7 @@ from quarry.functions import stats
 from quarry.operators import buckets, diagnostics, features, inference, order, portfolio, qc, replay
 from quarry.plans import research
 from quarry.plans.spec import SIGNALS, Signal, Spec, SpecError, load
+from quarry.queries import build
 from quarry.queries.base import WINDOWS, prices
 from quarry.queries.research import RELATIVE_SPECS
 from quarry.sources import sinks, store, tables
@@ -39,6 +40,25 @@ def test_quantiles_in_pieces(spark, piece):
     assert order.quantiles(df.where("id < 0"), "x", wanted) == []
 
 
+def test_only_pieces_that_matter_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(order, "PIECE", 10)
+    df = spark.range(3000).select((F.col("id") * 7 % 3000 / 2.0).alias("x"))
+    cut = order.edges(df, "x", 3000, [1500])
+    assert 2 <= len(cut) <= 4 and cut[0] < 749.5 < cut[-1] and len(order.edges(df, "x", 3000)) == 255
+    for q in (0.0, 0.001, 0.25, 0.5, 0.7777, 1.0):
+        assert order.quantiles(df, "x", [q])[0] == pytest.approx(np.quantile(np.arange(3000) / 2, q), abs=1e-9)
+    tied = df.select(F.when(F.col("x") < 1000, 1.0).otherwise(F.col("x")).alias("x"))
+    assert order.quantiles(tied, "x", [0.1, 0.5, 0.9]) == pytest.approx([1.0, 1.0, 0.9 * 2999 / 2])
+
+
+def test_forward_summary_in_pieces(spark, monkeypatch):
+    """The middle of all returns is not left to one task."""
+    whole = build.feat_forward_summary(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(order, "PIECE", 50)
+    found = build.feat_forward_summary(spark, "/root/testdata/sf0.001")
+    assert found.collect() == whole and "median" not in found._jdf.queryExecution().toString()
+
+
 def test_mean_is_exact(spark):
     r = random.Random(3)
     rows = [(g, r.choice([1, -1]) * r.uniform(0, 10 ** r.randrange(1, 9))) for g in range(60) for _ in range(g % 9 + 1)]

@@ -93,6 +93,13 @@ def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
+def by_rows(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+    """A side of a join that has about `rows` rows. A stored table's size as a file does not tell its size as a
+    broadcast, ten times that, held by the driver: up to `most` rows the session decides, beyond them the
+    join sorts."""
+    return df if rows <= most else df.hint("merge")
+
+
 def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, rows: int | dict[int, int], per_bucket: int = 100_000) -> DataFrame:
     """Add a rank from 0 without gaps within each key, however many rows a key holds.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import few, materialize, spare
+from quarry.llm.common import by_rows, few, materialize, spare
 from quarry.llm.components import components
 
 SEED = 42
@@ -331,7 +331,7 @@ def verified(met: DataFrame, owners: DataFrame, texts: DataFrame, words: int, si
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c, t: own.select(F.col("set").alias(c), F.col("text").alias(t))
-    return met.join(side("b", "tb"), "b").join(side("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return by_rows(met, met.count()).join(side("b", "tb"), "b").join(side("a", "ta"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def with_coarse(entries: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def _likely(met: DataFrame, ends: DataFrame, similarity: float) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     side = lambda c: ends.select(F.col("set").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s"))
-    return met.join(side("b"), "b").join(side("a"), "a").select("a", "b", "an", "bn", "as", "bs").mapInArrow(run, "a bigint, b bigint")
+    return by_rows(met, met.count()).join(by_rows(side("b"), ends.count()), "b").join(by_rows(side("a"), ends.count()), "a").select("a", "b", "an", "bn", "as", "bs").mapInArrow(run, "a bigint, b bigint")
 
 
 def _own(rows: DataFrame, words: int) -> DataFrame:

@@ -103,6 +103,15 @@ def test_filed_fingerprints_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_links_are_not_broadcast(spark, tmp_path):
+    """Stored links are a tenth as large as a file as they are in the driver."""
+    spark.range(1, 300_000).select(F.col("id").alias("u"), (F.col("id") % 100).alias("v")).where("u > v").write.parquet(str(tmp_path / "links"))
+    links = spark.read.parquet(str(tmp_path / "links"))
+    rows = links.count()
+    for found in (components._large_star(links, rows), components._small_star(links, rows)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_documents(spark, docs):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
